@@ -23,14 +23,16 @@ def concept_key(key: str, kind: int) -> Column:
 
 
 class Tables:
-    """The driver's tables, read on demand."""
+    """The driver's tables, each opened once, when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
 
 def concept(t: Tables) -> DataFrame:

@@ -32,6 +32,9 @@ STOP_WORDS = (
     "will", "just", "don", "should", "now",
 )
 
+# Search terms are split at whitespace.
+WORD_BREAK = r"[\s\x0b\p{Z}]+"
+
 # A lexeme is a run of letters and digits.
 LEXEME_BREAK = r"[^\p{L}\p{N}]+"
 
@@ -50,7 +53,7 @@ def lexemes(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
 def search_words(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Whitespace-separated lower-cased words of a search term, in order."""
     dropped = ["", *stop_words]
-    words = F.split(F.lower(text), r"\s+")
+    words = F.split(F.lower(text), WORD_BREAK)
     return F.filter(words, lambda word: ~word.isin(dropped))
 
 
