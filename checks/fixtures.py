@@ -6,8 +6,12 @@ aggregates, so its size grows in step with them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from termeval.sources.vocabulary import Vocabulary
 
@@ -22,19 +26,42 @@ def concept_key(key: str, kind: int) -> Column:
     return (F.col(key).cast("bigint") * 8 + kind).cast("bigint")
 
 
+# Schemas of the tables seen so far; knowing one saves a job that reads footers.
+SCHEMAS: dict[str, StructType] = {}
+
+
+def once(derive: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+    """Derive a view once per :class:`Tables`."""
+
+    @wraps(derive)
+    def view(t: Tables) -> DataFrame:
+        if derive.__name__ not in t.views:
+            t.views[derive.__name__] = derive(t)
+        return t.views[derive.__name__]
+
+    return view
+
+
 class Tables:
     """The driver's tables, each opened once, when first asked for."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self.views: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        table = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        path = f"{self.folder}/{name}.parquet"
+        reader = self.spark.read
+        if path in SCHEMAS:
+            reader = reader.schema(SCHEMAS[path])
+        table = reader.parquet(path)
+        SCHEMAS[path] = table.schema
         setattr(self, name, table)
         return table
 
 
+@once
 def concept(t: Tables) -> DataFrame:
     def rows(df, key, kind, name, vocabulary, code, standard):
         return df.select(
@@ -132,20 +159,15 @@ def concept_ancestor(t: Tables) -> DataFrame:
     )
 
 
+@once
 def concept_embedding(t: Tables) -> DataFrame:
     return t.embeddings.select(concept_key("vec_id", PART).alias("concept_id"), "embedding")
 
 
 def vocabulary(t: Tables) -> Vocabulary:
-    return Vocabulary.of(
-        {
-            "concept": concept(t),
-            "concept_synonym": concept_synonym(t),
-            "concept_relationship": concept_relationship(t),
-            "concept_ancestor": concept_ancestor(t),
-            "concept_embedding": concept_embedding(t),
-        }
-    )
+    views = (concept, concept_synonym, concept_relationship, concept_ancestor, concept_embedding)
+    derive = {view.__name__: view for view in views}
+    return Vocabulary(lambda table: derive[table](t))
 
 
 def name_seeds(t: Tables) -> DataFrame:
@@ -185,6 +207,7 @@ def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
     return means.groupBy(key).agg(F.transform(ordered, lambda e: e["x"]).alias("vector"))
 
 
+@once
 def name_vectors(t: Tables) -> DataFrame:
     """``(text, vector)``: the mean vector of the concepts of each name."""
     named = concept(t).join(concept_embedding(t), "concept_id")
@@ -207,6 +230,7 @@ def naming_set(t: Tables) -> DataFrame:
     )
 
 
+@once
 def eval_pairs(t: Tables) -> DataFrame:
     """Padded upper-case, equal and different predictions for part names."""
     n_parts = t.part.count()
@@ -266,6 +290,7 @@ def eval_turns(t: Tables) -> DataFrame:
     )
 
 
+@once
 def order_items(t: Tables) -> DataFrame:
     """``(row_id, item, l_quantity, l_returnflag)``: part names per order."""
     return t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey")).select(

@@ -447,7 +447,7 @@ ORACLES["rag_eval"] = sql(
     "ranked", **_LISTS, **ratios("SELECT first AS x, text AS y FROM lists"),
 )
 ORACLES["retrieval_naming"] = sql(
-    "SELECT 'nearest name' AS pipeline, metric, round(avg(value), 4) AS mean_value, count(*) AS n_rows, "
+    "SELECT 'nearest name' AS pipeline, metric, round(avg(value), 6) AS mean_value, count(*) AS n_rows, "
     "count(*) - count(value) AS n_undefined FROM ("
     "SELECT 'UncasedMatch' AS metric, CAST(lower(first) = text AS DOUBLE) AS value FROM lists WHERE k = 5 "
     "UNION ALL SELECT 'PrecisionMetric', hits / n FROM lists WHERE k = 5) GROUP BY metric",

@@ -405,7 +405,7 @@ def retrieval_naming(t):
         [metrics.UncasedMatch(), metrics.PrecisionMetric()],
     )
     summary = evaluation.summarise(run.run(fx.naming_set(t)))
-    return summary.withColumn("mean_value", F.round("mean_value", 4))
+    return summary.withColumn("mean_value", F.round("mean_value", 6))
 
 
 # Concept lookup

@@ -47,7 +47,9 @@ def normalise(text: Column) -> Column:
 def lexemes(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Distinct lower-cased words of ``text`` without stop words."""
     words = F.split(F.lower(text), LEXEME_BREAK)
-    return F.array_except(words, F.array(*map(F.lit, ["", *stop_words])))
+    # One folded literal; its first element is the empty string.
+    dropped = F.split(F.lit(" ".join(["", *stop_words])), " ")
+    return F.array_except(words, dropped)
 
 
 def search_words(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:

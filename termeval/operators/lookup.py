@@ -44,12 +44,12 @@ def concept_links(candidates: DataFrame, vocab: Vocabulary) -> DataFrame:
     """Linked entries of the candidates, one row each.
 
     ``section`` is CONCEPT_SYNONYM, CONCEPT_ANCESTOR or CONCEPT_RELATIONSHIP;
-    ``linked_id`` is NULL for synonyms. The links of a concept do not depend on
-    who searched for it: they are found once per distinct concept.
+    ``linked_id`` is NULL for synonyms. Links are restricted to the candidates
+    before their names are looked up.
     """
     found = candidates.select("query_id", "concept_id").distinct()
-    concepts = found.select("concept_id").distinct()
-    synonyms = vocab.concept_synonym.join(concepts, "concept_id", "left_semi").select(
+    synonyms = vocab.concept_synonym.join(found, "concept_id").select(
+        "query_id",
         "concept_id",
         F.lit("CONCEPT_SYNONYM").alias("section"),
         F.lit(None).cast("bigint").alias("linked_id"),
@@ -60,16 +60,14 @@ def concept_links(candidates: DataFrame, vocab: Vocabulary) -> DataFrame:
         related_edges(vocab).withColumn("section", F.lit("CONCEPT_RELATIONSHIP"))
     )
     names = vocab.concept.select(
-        F.col("concept_id").alias("target_id"), F.col("concept_name").alias("linked_name")
+        F.col("concept_id").alias("linked_id"), F.col("concept_name").alias("linked_name")
     )
     linked = (
-        edges.withColumnRenamed("seed_id", "concept_id")
-        .join(concepts, "concept_id", "left_semi")
-        .join(names, "target_id")
-        .select(
-            "concept_id", "section", F.col("target_id").alias("linked_id"), "linked_name"
+        edges.select(
+            F.col("seed_id").alias("concept_id"), F.col("target_id").alias("linked_id"), "section"
         )
+        .join(found, "concept_id")
+        .join(names, "linked_id")
+        .select("query_id", "concept_id", "section", "linked_id", "linked_name")
     )
-    return found.join(synonyms.unionByName(linked), "concept_id").select(
-        "query_id", "concept_id", "section", "linked_id", "linked_name"
-    )
+    return synonyms.unionByName(linked)

@@ -1,0 +1,260 @@
+"""Exact nearest vectors for query sets too large to send to every task.
+
+Vectors are placed in cells around pivots. For unit vectors the Euclidean
+distance e and the cosine distance d satisfy e * e = 2 * d, and the triangle
+inequality bounds how near any vector of a cell can be. A query first visits its
+home cell; its n-th best distance there tells which other cells can still hold a
+nearer vector, and only those are visited. Cells are split into blocks on both
+sides, so a cell that holds a large share of all vectors or queries is spread
+over as many tasks as its size asks for. (The scheme of Lu et al., "Efficient
+Processing of k Nearest Neighbor Joins using MapReduce", VLDB 2012.)
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from termeval.durable import materialise
+from termeval.functions.similarity import norm
+from termeval.operators.vectors import (
+    best_per_query,
+    candidate_schema,
+    list_matrix,
+    top_pairs,
+    unit_rows,
+)
+
+# At most this many pivots, hence cells; pivots are sent to every task.
+PIVOTS = 1024
+
+# Rows per side of a block.
+BLOCK_ROWS = 8192
+
+# Slack for rounding in the distance bounds; it only lets more cells be visited.
+SLACK = 1e-6
+
+
+def nearest_by_cells(
+    queries: DataFrame,
+    vectors: DataFrame,
+    n: int,
+    pivots: int = PIVOTS,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``(query_id, rank, concept_id, score)`` as ``vectors.nearest_vectors``."""
+    vectors = vectors.select("concept_id", "embedding")
+    candidates = _without_direction(queries, vectors, n)
+    queries = queries.filter(norm(F.col("vector")) > 0)
+    leaders = queries.groupBy("vector").agg(F.min("query_id").alias("query_id"))
+    found = _nearest_of_distinct(
+        leaders, first_copies(vectors.filter(norm(F.col("embedding")) > 0), n), n, pivots, block_rows
+    )
+    # Equal queries are answered once and share the answer.
+    led = queries.join(leaders.withColumnRenamed("query_id", "leader"), "vector")
+    shared = led.select("query_id", "leader").join(
+        found.withColumnRenamed("query_id", "leader"), "leader"
+    )
+    columns = ["query_id", "concept_id", "score"]
+    return best_per_query(shared.select(*columns).unionByName(candidates), n)
+
+
+def first_copies(vectors: DataFrame, n: int) -> DataFrame:
+    """Of equal vectors, the ``n`` smallest ids; no query needs more of them.
+
+    The limit per group also applies before the shuffle, so copies that make up
+    much of the data never meet in one task.
+    """
+    copies = Window.partitionBy(F.xxhash64("embedding"), "embedding").orderBy("concept_id")
+    return (
+        vectors.withColumn("copy", F.row_number().over(copies))
+        .filter(F.col("copy") <= n)
+        .drop("copy")
+    )
+
+
+def _without_direction(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
+    """Candidates with NaN distance, ranked last: a vector or query of length 0.
+
+    Either way the smallest ids win, so ``n`` ids are enough for all queries.
+    """
+
+    def smallest(df):
+        rows = df.select("concept_id").orderBy("concept_id").limit(n).collect()
+        return F.array(*(F.lit(row.concept_id).cast("bigint") for row in rows)).cast(
+            "array<bigint>"
+        )
+
+    no_length = norm(F.col("embedding")) == 0
+    any_ids, empty_ids = smallest(vectors), smallest(vectors.filter(no_length))
+    ids = F.when(norm(F.col("vector")) == 0, any_ids).otherwise(empty_ids)
+    return queries.select(
+        "query_id", F.explode(ids).alias("concept_id"), F.lit(float("nan")).alias("score")
+    )
+
+
+def _nearest_of_distinct(queries, vectors, n, pivots, block_rows) -> DataFrame:
+    spark = queries.sparkSession
+    queries = materialise(queries.select("query_id", "vector"), "queries")
+    vectors = materialise(vectors, "vectors")
+    chosen = (
+        vectors.orderBy(F.xxhash64("concept_id"), "concept_id").limit(pivots).toArrow()
+    )
+    id_type = queries.schema["query_id"].dataType
+    if chosen.num_rows == 0:
+        return spark.createDataFrame([], candidate_schema(id_type))
+    pivot_units = np.unique(unit_rows(list_matrix(chosen.column("embedding"))), axis=0)
+    placed = materialise(_place(vectors, pivot_units), "placed")
+    cells = placed.groupBy("cell").agg(
+        F.count("*").alias("n_vectors"), F.max("gap").alias("radius")
+    )
+    known = cells.orderBy("cell").toArrow().to_pandas()  # one row per pivot at most
+    shared = spark.sparkContext.broadcast(
+        (
+            pivot_units[known["cell"].to_numpy()],
+            known["cell"].to_numpy(),
+            known["n_vectors"].to_numpy(),
+            known["radius"].to_numpy(),
+        )
+    )
+    everywhere = queries.withColumn("limit", F.lit(float("inf")))
+    home = materialise(
+        _visit(_cells_to_visit(everywhere, shared, n, True), placed, known, n, block_rows),
+        "home",
+    )
+    # The n-th best distance so far, as a Euclidean distance.
+    limits = best_per_query(home, n).groupBy("query_id").agg(
+        F.when(F.count("*") == n, F.sqrt(2 * F.greatest(F.max("score"), F.lit(0.0))))
+        .otherwise(F.lit(float("inf")))
+        .alias("limit")
+    )
+    bounded = queries.join(limits, "query_id")
+    others = _visit(_cells_to_visit(bounded, shared, n, False), placed, known, n, block_rows)
+    return best_per_query(home.unionByName(others), n).drop("rank")
+
+
+def _distances(units: np.ndarray, pivot_units: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(2.0 - 2.0 * (units @ pivot_units.T), 0.0))
+
+
+def _place(vectors: DataFrame, pivot_units: np.ndarray) -> DataFrame:
+    """``vectors`` with the nearest pivot as ``cell`` and its distance as ``gap``."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivot_units)
+
+    def place(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            away = _distances(unit_rows(list_matrix(batch.column("embedding"))), shared.value)
+            cell = away.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("concept_id"),
+                    batch.column("embedding"),
+                    pa.array(cell.astype(np.int32)),
+                    pa.array(away[np.arange(len(cell)), cell]),
+                ],
+                names=["concept_id", "embedding", "cell", "gap"],
+            )
+
+    added = [T.StructField("cell", T.IntegerType()), T.StructField("gap", T.DoubleType())]
+    schema = T.StructType([*vectors.schema.fields, *added])
+    return vectors.mapInArrow(place, schema)
+
+
+def _cells_to_visit(queries: DataFrame, shared, n: int, home: bool) -> DataFrame:
+    """``(query_id, vector, cell)``: the home cell, or all others within reach."""
+
+    def visits(batches):
+        pivot_units, cells, n_vectors, radius = shared.value
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            away = _distances(unit_rows(list_matrix(batch.column("vector"))), pivot_units)
+            nearest = away.argmin(axis=1)
+            rows = np.arange(len(nearest))
+            if home:
+                row, cell = rows, nearest
+            else:
+                # Some cells together surely hold n vectors within this distance.
+                farthest = away + radius
+                order = farthest.argsort(axis=1)
+                enough = (n_vectors[order].cumsum(axis=1) >= n).argmax(axis=1)
+                sure = farthest[rows, order[rows, enough]]
+                sure = np.where(n_vectors.sum() >= n, sure, np.inf)
+                limit = np.minimum(batch.column("limit").to_numpy(), sure)
+                reach = away - radius <= limit[:, None] + SLACK
+                reach[rows, nearest] = False
+                row, cell = np.nonzero(reach)
+            taken = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("query_id").take(taken),
+                    batch.column("vector").take(taken),
+                    pa.array(cells[cell].astype(np.int32)),
+                ],
+                names=["query_id", "vector", "cell"],
+            )
+
+    schema = T.StructType(
+        [queries.schema["query_id"], queries.schema["vector"], T.StructField("cell", T.IntegerType())]
+    )
+    return queries.select("query_id", "vector", "limit").mapInArrow(visits, schema)
+
+
+def _visit(visits: DataFrame, placed: DataFrame, known, n: int, block_rows: int) -> DataFrame:
+    """``(query_id, concept_id, score)``: the ``n`` nearest per query and block."""
+    spark = visits.sparkSession
+    visits = materialise(visits, "visits")
+    asked = visits.groupBy("cell").count().toArrow().to_pandas()  # one row per pivot at most
+    sizes = asked.merge(known, on="cell")
+    blocks = spark.createDataFrame(
+        [
+            (int(cell), -(-int(n_queries) // block_rows), -(-int(n_vectors) // block_rows))
+            for cell, n_queries, n_vectors in zip(sizes["cell"], sizes["count"], sizes["n_vectors"])
+        ],
+        "cell int, query_blocks int, vector_blocks int",
+    )
+
+    def part(key, parts):
+        return F.pmod(F.xxhash64(key), F.col(parts)).cast("int")
+
+    def every(parts):
+        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+    keys = ["cell", "query_block", "vector_block"]
+    asking = visits.join(blocks, "cell").select(
+        "cell",
+        part("query_id", "query_blocks").alias("query_block"),
+        every("vector_blocks").alias("vector_block"),
+        "query_id",
+        "vector",
+    )
+    answering = placed.join(blocks, "cell").select(
+        "cell",
+        every("query_blocks").alias("query_block"),
+        part("concept_id", "vector_blocks").alias("vector_block"),
+        "concept_id",
+        "embedding",
+    )
+    schema = candidate_schema(visits.schema["query_id"].dataType)
+    names = schema.fieldNames()
+
+    def nearest(asked: pa.Table, vectors: pa.Table) -> pa.Table:
+        ids = asked.column("query_id").combine_chunks()
+        if asked.num_rows == 0 or vectors.num_rows == 0:
+            empty = [ids.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())]
+            return pa.Table.from_arrays(empty, names=names)
+        query, distance, concept = top_pairs(
+            unit_rows(list_matrix(asked.column("vector"))),
+            unit_rows(list_matrix(vectors.column("embedding"))),
+            vectors.column("concept_id").to_numpy(),
+            n,
+        )
+        found = [ids.take(pa.array(query)), pa.array(concept), pa.array(distance)]
+        return pa.Table.from_arrays(found, names=names)
+
+    return asking.groupBy(*keys).cogroup(answering.groupBy(*keys)).applyInArrow(nearest, schema)

@@ -66,10 +66,17 @@ def nearest_concepts_batch(queries: DataFrame, vocab: Vocabulary, n: int = 5) ->
 
 
 def nearest_vectors(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
-    """``(query_id, rank, concept_id, score)`` by scanning the vectors once."""
+    """``(query_id, rank, concept_id, score)`` of each query's ``n`` nearest vectors.
+
+    A query set of checked small size is sent to every task, and the vectors are
+    scanned once without a shuffle of their own. A larger one is joined to the
+    vectors cell by cell. Both are exact.
+    """
     rows = queries.limit(BROADCAST_QUERIES + 1).toArrow()
     if rows.num_rows > BROADCAST_QUERIES:
-        raise NotImplementedError
+        from termeval.operators.vector_cells import nearest_by_cells
+
+        return nearest_by_cells(queries, vectors, n)
     candidates = _scan(queries.sparkSession, rows, vectors, n, queries.schema["query_id"])
     return best_per_query(candidates, n)
 
@@ -104,14 +111,19 @@ def _scan(spark, rows, vectors, n, id_field) -> DataFrame:
                 names=["query_id", "concept_id", "score"],
             )
 
-    schema = T.StructType(
+    return vectors.select("concept_id", "embedding").mapInArrow(
+        best_of_task, candidate_schema(id_field.dataType)
+    )
+
+
+def candidate_schema(query_id: T.DataType) -> T.StructType:
+    return T.StructType(
         [
-            T.StructField("query_id", id_field.dataType),
+            T.StructField("query_id", query_id),
             T.StructField("concept_id", T.LongType()),
             T.StructField("score", T.DoubleType()),
         ]
     )
-    return vectors.select("concept_id", "embedding").mapInArrow(best_of_task, schema)
 
 
 def list_matrix(column) -> np.ndarray:

@@ -15,6 +15,8 @@ DEFAULTS = {
     # join's partitioning: one extra shuffle beats one task with a third of it.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Recording the Python call site of every column slows down large plans.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from dataclasses import dataclass, fields
+from collections.abc import Callable, Mapping
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,39 +65,56 @@ def conform(df: DataFrame, table: str) -> DataFrame:
     return df.select(*columns)
 
 
-@dataclass(frozen=True)
 class Vocabulary:
-    """The vocabulary tables; only ``concept.concept_id`` is unique."""
+    """The vocabulary tables, each opened when first used.
 
-    concept: DataFrame
-    concept_synonym: DataFrame
-    concept_relationship: DataFrame
-    concept_ancestor: DataFrame
-    concept_embedding: DataFrame
+    ``open_table`` maps a table name to its DataFrame. Only
+    ``concept.concept_id`` is unique.
+    """
+
+    def __init__(self, open_table: Callable[[str], DataFrame]):
+        self._open = open_table
+
+    def _table(self, name: str) -> DataFrame:
+        return conform(self._open(name), name)
+
+    @cached_property
+    def concept(self) -> DataFrame:
+        return self._table("concept")
+
+    @cached_property
+    def concept_synonym(self) -> DataFrame:
+        return self._table("concept_synonym")
+
+    @cached_property
+    def concept_relationship(self) -> DataFrame:
+        return self._table("concept_relationship")
+
+    @cached_property
+    def concept_ancestor(self) -> DataFrame:
+        return self._table("concept_ancestor")
+
+    @cached_property
+    def concept_embedding(self) -> DataFrame:
+        return self._table("concept_embedding")
 
     @classmethod
     def of(cls, tables: Mapping[str, DataFrame]) -> Vocabulary:
-        return cls(**{f.name: conform(tables[f.name], f.name) for f in fields(cls)})
+        return cls(tables.__getitem__)
 
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str) -> Vocabulary:
-        """Read ``<folder>/<table>`` or ``<folder>/<table>.parquet`` files.
-
-        ``folder`` may hold ``{table}`` to say where the name goes.
-        """
+        """Read ``<folder>/<table>``; ``{table}`` in ``folder`` places the name."""
         pattern = folder if "{table}" in folder else f"{folder.rstrip('/')}/{{table}}"
-        return cls.of(
-            {f.name: spark.read.parquet(pattern.format(table=f.name)) for f in fields(cls)}
-        )
+        return cls(lambda table: spark.read.parquet(pattern.format(table=table)))
 
     @classmethod
     def from_catalog(
         cls, spark: SparkSession, schema: str, embedding_table: str = "concept_embedding"
     ) -> Vocabulary:
         """Read catalog tables of one schema."""
-        names = {f.name: f.name for f in fields(cls)}
-        names["concept_embedding"] = embedding_table
-        return cls.of({k: spark.table(f"{schema}.{name}") for k, name in names.items()})
+        names = {"concept_embedding": embedding_table}
+        return cls(lambda table: spark.table(f"{schema}.{names.get(table, table)}"))
 
     @classmethod
     def from_jdbc(
@@ -115,19 +132,19 @@ class Vocabulary:
         so that large tables are read in parallel ranges. Vectors must arrive as
         an array type.
         """
-        tables = {}
-        for field in fields(cls):
-            name = field.name
-            source = embedding_table if name == "concept_embedding" else name
+        names = {"concept_embedding": embedding_table}
+
+        def open_table(table: str) -> DataFrame:
             reader = spark.read.format("jdbc").option("url", url).options(**options)
-            reader = reader.option("dbtable", f"{schema}.{source}")
-            if partitioning and name in partitioning:
-                column, lower, upper, partitions = partitioning[name]
+            reader = reader.option("dbtable", f"{schema}.{names.get(table, table)}")
+            if partitioning and table in partitioning:
+                column, lower, upper, partitions = partitioning[table]
                 reader = reader.options(
                     partitionColumn=column,
                     lowerBound=lower,
                     upperBound=upper,
                     numPartitions=partitions,
                 )
-            tables[name] = reader.load()
-        return cls.of(tables)
+            return reader.load()
+
+        return cls(open_table)
