@@ -25,7 +25,7 @@ def connect(folder: str) -> duckdb.DuckDBPyConnection:
 def differences(spark: SparkSession, connection, folder: str, name: str) -> list[str]:
     """What differs between the query ``name`` and its SQL; empty if nothing."""
     ours = QUERIES[name](spark, folder).toArrow()
-    theirs = connection.execute(ORACLES[name]).to_arrow_table()
+    theirs = connection.sql(ORACLES[name]).to_arrow_table()
     columns = sorted(ours.column_names)
     if columns != sorted(theirs.column_names):
         return [f"columns {columns} against {sorted(theirs.column_names)}"]
