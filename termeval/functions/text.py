@@ -44,19 +44,20 @@ def normalise(text: Column) -> Column:
     return F.lower(F.btrim(text, F.lit(WHITESPACE)))
 
 
+def without_stop_words(words: Column, stop_words: Sequence[str]) -> Column:
+    dropped = ["", *stop_words]
+    return F.filter(words, lambda word: ~word.isin(dropped))
+
+
 def lexemes(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Distinct lower-cased words of ``text`` without stop words."""
     words = F.split(F.lower(text), LEXEME_BREAK)
-    # One folded literal; its first element is the empty string.
-    dropped = F.split(F.lit(" ".join(["", *stop_words])), " ")
-    return F.array_except(words, dropped)
+    return F.array_distinct(without_stop_words(words, stop_words))
 
 
 def search_words(text: Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     """Whitespace-separated lower-cased words of a search term, in order."""
-    dropped = ["", *stop_words]
-    words = F.split(F.lower(text), WORD_BREAK)
-    return F.filter(words, lambda word: ~word.isin(dropped))
+    return without_stop_words(F.split(F.lower(text), WORD_BREAK), stop_words)
 
 
 def preprocess_search_term(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termeval.functions.similarity import fuzzy_ratio
-from termeval.operators.search import text_search
+from termeval.operators.search import concept_hits
 from termeval.operators.vocabulary import ancestor_edges, related_edges
 from termeval.sources.vocabulary import Vocabulary
 
@@ -26,8 +26,8 @@ def concept_candidates(
     dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """Matching standard concepts with their name similarity to the search term."""
-    found = text_search(searches, vocab, vocabulary_ids, mode=mode, dictionary=dictionary)
-    return found.join(searches.select("query_id", "search_term"), "query_id").select(
+    found = concept_hits(searches, vocab, vocabulary_ids, mode=mode, dictionary=dictionary)
+    return found.select(
         "query_id",
         "search_term",
         "concept_name",

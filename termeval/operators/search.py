@@ -1,4 +1,9 @@
-"""Full-text search: term sets against the lexemes of concept names."""
+"""Full-text search: term sets against the lexemes of concept names.
+
+Texts and searches meet in an equi-join on one lexeme and are then verified
+against each other's whole word arrays. A text that matches a search comes out
+exactly once, so nothing has to be grouped or deduplicated after the join.
+"""
 
 from __future__ import annotations
 
@@ -7,70 +12,95 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termeval.functions.text import STOP_WORDS
-from termeval.functions.text import lexemes as lexemes_of
+from termeval.functions.text import STOP_WORDS, lexemes
 from termeval.operators.vocabulary import in_vocabularies
 from termeval.sources.vocabulary import Vocabulary
 
 
-def lexeme_rows(
+def with_words(
     df: DataFrame,
     text: str,
-    keys: Sequence[str],
+    words: str,
     dictionary: DataFrame | None = None,
     stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
-    """One row ``(*keys, lexeme)`` per distinct word of ``text``.
+    """``df`` with the distinct lexemes of ``text`` as the array ``words``.
 
     ``dictionary`` is an optional ``(word, lexeme)`` table, one row per word,
     that brings inflected words to one lexeme; words it lacks stay as they are.
     """
-    rows = df.select(*keys, F.explode(lexemes_of(F.col(text), stop_words)).alias("lexeme"))
+    df = df.withColumn(words, lexemes(F.col(text), stop_words))
     if dictionary is None:
-        return rows
-    known = dictionary.select(
-        F.col("word").alias("lexeme"), F.col("lexeme").alias("dictionary_lexeme")
-    )
-    return (
-        rows.join(known, "lexeme", "left")
-        .select(*keys, F.coalesce("dictionary_lexeme", "lexeme").alias("lexeme"))
+        return df
+    # Only distinct texts are taken apart and put together again.
+    known = dictionary.select(F.col("word").alias("_word"), F.col("lexeme").alias("_lexeme"))
+    mapped = (
+        df.select(text, words)
         .distinct()
+        .select(text, F.explode(words).alias("_word"))
+        .join(known, "_word", "left")
+        .groupBy(text)
+        .agg(F.collect_set(F.coalesce("_lexeme", "_word")).alias(words))
     )
+    return df.drop(words).join(mapped, text, "left")
+
+
+def matches(searches: DataFrame, texts: DataFrame, mode: str = "any") -> DataFrame:
+    """Searches joined to the texts with any, or all, of their terms.
+
+    ``searches`` has an array column ``terms``, ``texts`` one named ``words``,
+    both without repeats; all other columns are kept. A search without terms
+    matches nothing.
+    """
+    if mode == "any":
+        # Of several common words only the first joins.
+        keyed = searches.withColumn("_lexeme", F.explode("terms"))
+        common = F.filter("words", lambda word: F.array_contains("terms", word))
+        verified = F.get(common, F.lit(0)) == F.col("_lexeme")
+    elif mode == "all":
+        # One term is enough to meet; the longest is rarely the most frequent.
+        sized = F.transform("terms", lambda t: F.struct(F.length(t).alias("size"), t.alias("term")))
+        keyed = searches.withColumn("_lexeme", F.array_max(sized)["term"])
+        verified = F.forall("terms", lambda term: F.array_contains("words", term))
+    else:
+        raise ValueError("mode must be 'any' or 'all'")
+    met = keyed.join(texts.withColumn("_lexeme", F.explode("words")), "_lexeme")
+    return met.filter(verified).drop("_lexeme", "terms", "words")
 
 
-def term_rows(
+def concept_hits(
     searches: DataFrame,
+    vocab: Vocabulary,
+    vocabulary_ids: Sequence[str] | None = None,
+    concept_synonym: bool = False,
+    mode: str = "any",
     dictionary: DataFrame | None = None,
     stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
-    """``(query_id, lexeme, n_terms)`` of searches ``(query_id, search_term)``."""
-    terms = lexemes_of(F.col("search_term"), stop_words)
-    if dictionary is None:
-        return searches.select(
-            "query_id", F.size(terms).alias("n_terms"), F.explode(terms).alias("lexeme")
-        )
-    rows = lexeme_rows(searches, "search_term", ["query_id"], dictionary, stop_words)
-    return rows.join(rows.groupBy("query_id").agg(F.count("*").alias("n_terms")), "query_id")
-
-
-def matches(terms: DataFrame, lexemes: DataFrame, keys: Sequence[str], mode: str) -> DataFrame:
-    """``(query_id, *keys)`` of the texts with any, or all, of a query's terms.
-
-    Both inputs are free of repeats, so the number of joined rows is the number
-    of terms found. All words of a text come from one input row and are counted
-    before the shuffle.
-    """
-    if mode not in ("any", "all"):
-        raise ValueError("mode must be 'any' or 'all'")
-    found = terms.join(lexemes, "lexeme")
-    if mode == "any":
-        return found.select("query_id", *keys).distinct()
-    return (
-        found.groupBy("query_id", "n_terms", *keys)
-        .agg(F.count("*").alias("n_found"))
-        .filter(F.col("n_found") == F.col("n_terms"))
-        .select("query_id", *keys)
+    """As :func:`text_search`, with the ``search_term`` of each row."""
+    terms = with_words(
+        searches.select("query_id", "search_term"), "search_term", "terms", dictionary, stop_words
+    )
+    standard = in_vocabularies(
+        vocab.concept.filter(F.col("standard_concept") == "S"), vocabulary_ids
+    ).drop("standard_concept")
+    names = with_words(standard, "concept_name", "words", dictionary, stop_words)
+    by_name = matches(terms, names, mode).withColumn(
+        "concept_synonym_name", F.lit(None).cast("string")
+    )
+    if not concept_synonym:
+        return by_name
+    synonyms = with_words(
+        vocab.concept_synonym.select("concept_id", "concept_synonym_name"),
+        "concept_synonym_name",
+        "words",
+        dictionary,
+        stop_words,
     )
+    by_synonym = matches(terms, synonyms, mode)
+    found_both_ways = by_synonym.select("query_id", "concept_id").distinct()
+    name_only = by_name.join(found_both_ways, ["query_id", "concept_id"], "left_anti")
+    return by_synonym.join(standard, "concept_id").unionByName(name_only)
 
 
 def text_search(
@@ -88,20 +118,9 @@ def text_search(
     row per matching synonym; a concept found by its name alone has one row with
     a NULL synonym.
     """
-    standard = in_vocabularies(
-        vocab.concept.filter(F.col("standard_concept") == "S"), vocabulary_ids
-    ).select("concept_id", "concept_name", "vocabulary_id", "concept_code")
-    terms = term_rows(searches, dictionary, stop_words)
-    names = lexeme_rows(standard, "concept_name", ["concept_id"], dictionary, stop_words)
-    by_name = matches(terms, names, ["concept_id"], mode)
-    unnamed = F.lit(None).cast("string").alias("concept_synonym_name")
-    if not concept_synonym:
-        found = by_name.select("query_id", "concept_id", unnamed)
-    else:
-        found = _with_synonyms(
-            by_name, terms, standard, vocab, mode, dictionary, stop_words, unnamed
-        )
-    return found.join(standard, "concept_id").select(
+    return concept_hits(
+        searches, vocab, vocabulary_ids, concept_synonym, mode, dictionary, stop_words
+    ).select(
         "query_id",
         "concept_id",
         "concept_name",
@@ -109,24 +128,3 @@ def text_search(
         "concept_code",
         "concept_synonym_name",
     )
-
-
-def _with_synonyms(by_name, terms, standard, vocab, mode, dictionary, stop_words, unnamed):
-    # Equal synonym rows of a concept stay separate rows, so words are matched
-    # per distinct text and the counted repeats restored afterwards.
-    synonyms = (
-        vocab.concept_synonym.join(standard.select("concept_id"), "concept_id", "left_semi")
-        .groupBy("concept_id", "concept_synonym_name")
-        .agg(F.count("*").alias("n_rows"))
-    )
-    keys = ["concept_id", "concept_synonym_name", "n_rows"]
-    words = lexeme_rows(synonyms, "concept_synonym_name", keys, dictionary, stop_words)
-    by_synonym = matches(terms, words, keys, mode)
-    name_only = by_name.join(
-        by_synonym.select("query_id", "concept_id").distinct(),
-        ["query_id", "concept_id"],
-        "left_anti",
-    )
-    repeats = F.explode(F.array_repeat(F.lit(0), F.col("n_rows").cast("int"))).alias("_")
-    restored = by_synonym.select("query_id", "concept_id", "concept_synonym_name", repeats)
-    return restored.drop("_").unionByName(name_only.select("query_id", "concept_id", unnamed))
