@@ -58,9 +58,7 @@ def matches(searches: DataFrame, texts: DataFrame, mode: str = "any") -> DataFra
         common = F.filter("words", lambda word: F.array_contains("terms", word))
         verified = F.get(common, F.lit(0)) == F.col("_lexeme")
     elif mode == "all":
-        # One term is enough to meet; the longest is rarely the most frequent.
-        sized = F.transform("terms", lambda t: F.struct(F.length(t).alias("size"), t.alias("term")))
-        keyed = searches.withColumn("_lexeme", F.array_max(sized)["term"])
+        keyed = _by_rarest_term(searches, texts)
         verified = F.forall("terms", lambda term: F.array_contains("words", term))
     else:
         raise ValueError("mode must be 'any' or 'all'")
@@ -68,6 +66,28 @@ def matches(searches: DataFrame, texts: DataFrame, mode: str = "any") -> DataFra
     return met.filter(verified).drop("_lexeme", "terms", "words")
 
 
+def _by_rarest_term(searches: DataFrame, texts: DataFrame) -> DataFrame:
+    """``searches`` with the term the fewest texts have, as ``_lexeme``.
+
+    A text with all terms has the rarest one too, so meeting there is enough; on
+    a common word every search would meet a large share of the texts.
+    """
+    columns = searches.columns
+    terms = searches.withColumn("_lexeme", F.explode("terms"))
+    frequency = (
+        texts.select(F.explode("words").alias("_lexeme"))
+        .join(terms.select("_lexeme").distinct(), "_lexeme", "left_semi")
+        .groupBy("_lexeme")
+        .agg(F.count("*").alias("_texts"))
+    )
+    ranked = F.struct(F.coalesce("_texts", F.lit(0)).alias("texts"), F.col("_lexeme").alias("term"))
+    return (
+        terms.join(frequency, "_lexeme", "left")
+        .groupBy(*columns)
+        .agg(F.min(ranked)["term"].alias("_lexeme"))
+    )
+
+
 def concept_hits(
     searches: DataFrame,
     vocab: Vocabulary,
