@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from termeval.durable import materialise
 from termeval.functions.similarity import norm
-from termeval.operators.vectors import (
+from termeval.operators.vector_blocks import (
     best_per_query,
     candidate_schema,
     list_matrix,
@@ -28,8 +28,10 @@ from termeval.operators.vectors import (
     unit_rows,
 )
 
-# At most this many pivots, hence cells; pivots are sent to every task.
-PIVOTS = 1024
+# Cells hold about this many vectors, unless that makes more cells than allowed:
+# their pivots are sent to every task, and a query may have to visit them all.
+CELL_ROWS = 4096
+MAX_CELLS = 1024
 
 # Rows per side of a block.
 BLOCK_ROWS = 8192
@@ -42,17 +44,17 @@ def nearest_by_cells(
     queries: DataFrame,
     vectors: DataFrame,
     n: int,
-    pivots: int = PIVOTS,
+    cell_rows: int = CELL_ROWS,
     block_rows: int = BLOCK_ROWS,
 ) -> DataFrame:
     """``(query_id, rank, concept_id, score)`` as ``vectors.nearest_vectors``."""
-    vectors = vectors.select("concept_id", "embedding")
+    queries = materialise(queries.select("query_id", "vector"), "queries")
+    vectors = materialise(vectors.select("concept_id", "embedding"), "vectors")
     candidates = _without_direction(queries, vectors, n)
     queries = queries.filter(norm(F.col("vector")) > 0)
     leaders = queries.groupBy("vector").agg(F.min("query_id").alias("query_id"))
-    found = _nearest_of_distinct(
-        leaders, first_copies(vectors.filter(norm(F.col("embedding")) > 0), n), n, pivots, block_rows
-    )
+    proper = first_copies(vectors.filter(norm(F.col("embedding")) > 0), n)
+    found = _nearest_of_distinct(leaders, proper, n, cell_rows, block_rows)
     # Equal queries are answered once and share the answer.
     led = queries.join(leaders.withColumnRenamed("query_id", "leader"), "vector")
     shared = led.select("query_id", "leader").join(
@@ -96,13 +98,12 @@ def _without_direction(queries: DataFrame, vectors: DataFrame, n: int) -> DataFr
     )
 
 
-def _nearest_of_distinct(queries, vectors, n, pivots, block_rows) -> DataFrame:
+def _nearest_of_distinct(queries, vectors, n, cell_rows, block_rows) -> DataFrame:
     spark = queries.sparkSession
-    queries = materialise(queries.select("query_id", "vector"), "queries")
-    vectors = materialise(vectors, "vectors")
-    chosen = (
-        vectors.orderBy(F.xxhash64("concept_id"), "concept_id").limit(pivots).toArrow()
-    )
+    queries = materialise(queries.select("query_id", "vector"), "leaders")
+    vectors = materialise(vectors, "distinct")
+    n_cells = min(MAX_CELLS, -(-vectors.count() // cell_rows))
+    chosen = vectors.orderBy(F.xxhash64("concept_id"), "concept_id").limit(n_cells).toArrow()
     id_type = queries.schema["query_id"].dataType
     if chosen.num_rows == 0:
         return spark.createDataFrame([], candidate_schema(id_type))

@@ -6,24 +6,25 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from termeval.functions.similarity import cosine_with_norms, norm
+from termeval.operators.vector_blocks import (
+    RANK_DECIMALS,
+    best_per_query,
+    candidate_schema,
+    list_matrix,
+    merge_top,
+    top_pairs,
+    unit_rows,
+)
+from termeval.operators.vector_cells import nearest_by_cells
 from termeval.sources.vocabulary import Vocabulary
 
-# Distances are ranked at this many decimals, so that rounding in the last bits
-# never decides between vectors that tie; ties go to the smaller concept id.
-RANK_DECIMALS = 12
-
 # Query sets of up to this many vectors are sent whole to every task.
 BROADCAST_QUERIES = 4096
 
-# Distances computed at a time (32 MiB of doubles).
-BLOCK_ELEMENTS = 4 * 1024 * 1024
-
 
 def nearest_concepts(query_vector: Sequence[float], vocab: Vocabulary, n: int = 5) -> DataFrame:
     """``(concept_id, content, score)`` of the ``n`` nearest concepts, nearest first.
@@ -74,24 +75,11 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame
     """
     rows = queries.limit(BROADCAST_QUERIES + 1).toArrow()
     if rows.num_rows > BROADCAST_QUERIES:
-        from termeval.operators.vector_cells import nearest_by_cells
-
         return nearest_by_cells(queries, vectors, n)
     candidates = _scan(queries.sparkSession, rows, vectors, n, queries.schema["query_id"])
     return best_per_query(candidates, n)
 
 
-def best_per_query(candidates: DataFrame, n: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(
-        F.round("score", RANK_DECIMALS), "concept_id"
-    )
-    return (
-        candidates.withColumn("rank", F.row_number().over(order))
-        .filter(F.col("rank") <= n)
-        .select("query_id", "rank", "concept_id", "score")
-    )
-
-
 def _scan(spark, rows, vectors, n, id_field) -> DataFrame:
     ids = rows.column("query_id").combine_chunks()
     shared = spark.sparkContext.broadcast((ids, unit_rows(list_matrix(rows.column("vector")))))
@@ -114,62 +102,3 @@ def _scan(spark, rows, vectors, n, id_field) -> DataFrame:
     return vectors.select("concept_id", "embedding").mapInArrow(
         best_of_task, candidate_schema(id_field.dataType)
     )
-
-
-def candidate_schema(query_id: T.DataType) -> T.StructType:
-    return T.StructType(
-        [
-            T.StructField("query_id", query_id),
-            T.StructField("concept_id", T.LongType()),
-            T.StructField("score", T.DoubleType()),
-        ]
-    )
-
-
-def list_matrix(column) -> np.ndarray:
-    """An Arrow column of equally long lists as a matrix of doubles."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
-    if len(lengths) and lengths.min() != lengths.max():
-        raise ValueError("vectors differ in length")
-    width = int(lengths[0]) if len(lengths) else 0
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
-
-
-def unit_rows(matrix: np.ndarray) -> np.ndarray:
-    """Rows scaled to unit length; rows without length become NaN."""
-    lengths = np.linalg.norm(matrix, axis=1, keepdims=True)
-    return matrix / np.where(lengths == 0.0, np.nan, lengths)
-
-
-def top_pairs(queries: np.ndarray, units: np.ndarray, ids: np.ndarray, n: int):
-    """The ``n`` nearest rows of ``units`` to each query: (query, distance, id)."""
-    if queries.shape[1] != units.shape[1]:
-        raise ValueError("vectors differ in length")
-    step = max(1, BLOCK_ELEMENTS // max(1, len(units)))
-    found = []
-    for start in range(0, len(queries), step):
-        distance = 1.0 - queries[start : start + step] @ units.T
-        ranked = np.round(np.where(np.isnan(distance), np.inf, distance), RANK_DECIMALS)
-        keep = np.ones(ranked.shape, dtype=bool)
-        if ranked.shape[1] > n:
-            keep = ranked <= np.partition(ranked, n - 1, axis=1)[:, n - 1 : n]
-        query, row = np.nonzero(keep)
-        found.append(first_n(query + start, distance[query, row], ids[row], n))
-    return tuple(np.concatenate(parts) for parts in zip(*found))
-
-
-def merge_top(a, b, n: int):
-    return first_n(*(np.concatenate(parts) for parts in zip(a, b)), n)
-
-
-def first_n(query: np.ndarray, distance: np.ndarray, ids: np.ndarray, n: int):
-    """Order by query, rounded distance and id; keep ``n`` per query."""
-    ranked = np.round(np.where(np.isnan(distance), np.inf, distance), RANK_DECIMALS)
-    order = np.lexsort((ids, ranked, query))
-    query = query[order]
-    starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]]) if len(query) else query
-    position = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
-    order = order[position < n]
-    return query[position < n], distance[order], ids[order]

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
-from termeval.operators import vector_cells, vectors
+from termeval.operators import vector_blocks, vector_cells, vectors
 from termeval.sources.vocabulary import Vocabulary
 
 
@@ -81,11 +81,11 @@ def test_scan_equals_brute_force(spark, n):
     assert sorted(map(tuple, found.collect())) == brute_force(asked, items, n)
 
 
-@pytest.mark.parametrize("n, pivots, block_rows", [(3, 8, 7), (1, 200, 1000), (120, 5, 16)])
-def test_cells_equal_brute_force(spark, n, pivots, block_rows):
+@pytest.mark.parametrize("n, cell_rows, block_rows", [(3, 8, 7), (1, 1, 1000), (120, 20, 16), (2, 1000, 9)])
+def test_cells_equal_brute_force(spark, n, cell_rows, block_rows):
     asked, items = made(5, 30, copies=15), made(6, 60, copies=40)
     queries, frame = frames(spark, asked, items)
-    found = vector_cells.nearest_by_cells(queries, frame, n, pivots, block_rows)
+    found = vector_cells.nearest_by_cells(queries, frame, n, cell_rows, block_rows)
     found = found.select("query_id", "rank", "concept_id")
     assert sorted(map(tuple, found.collect())) == brute_force(asked, items, n)
 
@@ -116,7 +116,7 @@ def test_vectors_of_different_length_fail(spark):
 
 
 def test_first_n_breaks_ties_by_id():
-    query, distance, ids = vectors.first_n(
+    query, distance, ids = vector_blocks.first_n(
         np.array([0, 0, 0, 1]), np.array([0.5, 0.5 + 1e-15, 0.1, np.nan]), np.array([9, 3, 7, 1]), 2
     )
     assert query.tolist() == [0, 0, 1] and ids.tolist() == [7, 3, 1]
