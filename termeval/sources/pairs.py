@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from termeval.durable import materialise
+
 REQUIRED = ("input_data", "expected_output")
 
 
@@ -16,14 +18,17 @@ def as_pairs(df: DataFrame, key: str | None = None, extra: tuple[str, ...] = ())
     """Select and check the columns of an evaluation set.
 
     ``key`` names a unique column to identify rows. Without one, ids follow the
-    order of the rows within each file; they are unique but have gaps.
+    order of the rows within each file; they are unique but have gaps. Such ids
+    are given once and stored, as plans that join a set to itself would go wrong
+    if a second reading numbered the rows differently.
     """
     wanted = [*REQUIRED, *extra, *([key] if key else [])]
     missing = [name for name in wanted if name not in df.columns]
     if missing:
         raise ValueError(f"the evaluation set lacks the columns {', '.join(missing)}")
     row_id = F.col(key) if key else F.monotonically_increasing_id()
-    return df.select(row_id.alias("row_id"), *(_text(c) for c in REQUIRED), *extra)
+    pairs = df.select(row_id.alias("row_id"), *(_text(c) for c in REQUIRED), *extra)
+    return pairs if key else materialise(pairs, "pairs")
 
 
 def read_csv_pairs(

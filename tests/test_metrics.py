@@ -35,7 +35,7 @@ def test_related_name_match(spark, vocab):
         (" TYLENOL ", "Acetaminophen"),
         ("Acetaminophen and codeine pill", "acetaminophen"),
         ("Retired product", "Acetaminophen"),
-        ("Oxford Circus", "Acetaminophen"),
+        ("Green Park", "Acetaminophen"),
         ("Tylenol", " Acetaminophen"),
         ("codeine", " Codeine"),
         (None, "Codeine"),
@@ -53,7 +53,7 @@ ANCESTOR_PAIRS = [
     ("opioids; systemic", "codeine"),
     (" opioids; systemic", "codeine"),
     (" codeine", "Codeine"),
-    ("Oxford Circus", "Codeine"),
+    ("Green Park", "Codeine"),
 ]
 
 
@@ -75,8 +75,8 @@ def test_ancestor_name_match_bounds(spark, vocab):
 
 LISTS = [
     (["Tylenol", "Tylenol", "Acetaminophen and Codeine Pill"], "ACETAMINOPHEN"),
-    (["Tylenol", "Tylenol", "grunge", "nato"], "Acetaminophen"),
-    (["banana", "tylenol"], "Acetaminophen"),
+    (["Tylenol", "Tylenol", "granite", "maple"], "Acetaminophen"),
+    (["plum", "tylenol"], "Acetaminophen"),
     ([], "Acetaminophen"),
     (None, "Acetaminophen"),
 ]
@@ -91,8 +91,8 @@ def test_ancestor_name_precision(spark, vocab):
     metric = m.AncestorNamePrecision(vocab, ["RxNorm"], min_separation_bound=1)
     pairs = [
         (["Analgesics", "Nervous System"], "codeine"),
-        (["Analgesics", "spoon", "Codeine", "Opioids; systemic"], "codeine"),
-        (["ice cream", "analgesics"], "codeine"),
+        (["Analgesics", "kettle", "Codeine", "Opioids; systemic"], "codeine"),
+        (["lemonade", "analgesics"], "codeine"),
         ([None, "Analgesics"], "codeine"),
     ]
     assert scores(spark, metric, pairs) == [1.0, 0.5, 0.0, 0.5]

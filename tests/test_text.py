@@ -37,10 +37,10 @@ def test_normalise_strips_as_python_does(spark, padded):
 
 def test_simple_prompt(spark):
     rendered = prompts.naming_prompt(F.col("t"), "Name it.", "llama-3-8b")
-    shown = one(spark, rendered, t="banana")
-    assert shown == "Name it.\n\nInformal name: banana\nResponse:"
+    shown = one(spark, rendered, t="plum")
+    assert shown == "Name it.\n\nInformal name: plum\nResponse:"
     with_token = prompts.naming_prompt(F.col("t"), "Name it.", "llama-3.1-8b")
-    assert "banana<|eot_id|>" in one(spark, with_token, t="banana")
+    assert "plum<|eot_id|>" in one(spark, with_token, t="plum")
     assert one(spark, rendered, t=None) is None
 
 
@@ -52,16 +52,16 @@ def test_end_of_turn_of_a_column(spark):
 
 def test_prompt_with_documents(spark):
     documents = F.array(
-        F.struct(F.lit("apple").alias("content"), F.lit(0.25).alias("score")),
+        F.struct(F.lit("quince").alias("content"), F.lit(0.25).alias("score")),
         F.struct(F.lit("pear").alias("content"), F.lit(0.5).alias("score")),
     )
     plain = prompts.naming_prompt(
         F.col("t"), "Name it.", "llama-3.1-8b", prompts.document_lines(documents)
     )
-    shown = one(spark, plain, t="banana")
-    assert "Possible related terms:\n    apple\n    pear\n" in shown
-    assert "banana<|eot_id|>" in shown
+    shown = one(spark, plain, t="plum")
+    assert "Possible related terms:\n    quince\n    pear\n" in shown
+    assert "plum<|eot_id|>" in shown
     scored = one(spark, prompts.scored_document_lines(documents), t="x")
-    assert scored.splitlines()[0] == "    apple (cosine distance = 0.2500)"
+    assert scored.splitlines()[0] == "    quince (cosine distance = 0.2500)"
     similar = one(spark, prompts.scored_document_lines(documents, 2, True), t="x")
-    assert similar.splitlines()[0] == "    apple (cosine similarity = 0.75)"
+    assert similar.splitlines()[0] == "    quince (cosine similarity = 0.75)"
