@@ -311,8 +311,8 @@ def predicted_items(t: Tables) -> DataFrame:
 
 
 def relevant_items(t: Tables) -> DataFrame:
-    """Relevant names per order: distinct names of lines that were kept."""
-    return order_items(t).filter(F.col("l_returnflag") != "R").select("row_id", "item").distinct()
+    """Relevant names per order, to be taken as a set: lines that were kept."""
+    return order_items(t).filter(F.col("l_returnflag") != "R").select("row_id", "item")
 
 
 def supplier_items(t: Tables) -> DataFrame:

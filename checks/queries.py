@@ -231,7 +231,11 @@ def ancestor_name_precision(t):
 
 def _order_scores(t, column, beta=1.0):
     scores = list_scores.list_scores(
-        fx.predicted_items(t), fx.relevant_items(t), fx.order_rows(t), beta
+        fx.predicted_items(t),
+        fx.relevant_items(t),
+        fx.order_rows(t),
+        beta,
+        relevant_is_set=True,
     )
     return scores.select("row_id", F.round(column, 6).alias("score"))
 

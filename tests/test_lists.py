@@ -62,3 +62,13 @@ def test_scores_of_lists_given_as_rows(spark):
         assert row.recall == pytest.approx(recall)
         assert row.f_score == pytest.approx(f_score(precision, recall, 2.0))
     assert found.count() == len(CASES)
+
+
+def test_relevant_items_as_a_set(spark):
+    predicted = spark.createDataFrame([(1, "a"), (1, "b"), (3, "a")], "row_id int, item string")
+    relevant = spark.createDataFrame([(1, "a"), (1, "a"), (2, "c")], "row_id int, item string")
+    rows = spark.createDataFrame([(1,), (2,)], "row_id int")
+    as_list = list_scores(predicted, relevant, rows).orderBy("row_id").collect()
+    as_set = list_scores(predicted, relevant, rows, relevant_is_set=True).orderBy("row_id").collect()
+    assert [(r.row_id, r.precision, r.recall) for r in as_list] == [(1, 0.5, 0.5), (2, None, 0.0)]
+    assert [(r.row_id, r.precision, r.recall) for r in as_set] == [(1, 0.5, 1.0), (2, None, 0.0)]
