@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termeval.llm import bpe, language, merkle
+from termeval.llm import bpe, language, licence_digest, merkle, url_trust
+from termeval.llm.licence_texts import LICENCES
 from termeval.llm.shared import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +26,23 @@ def op1_merkle(spark, folder):
     return merkle.edits(table(spark, folder, "documents"))
 
 
+# The rules of this query.
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query
+def op4_url_trust(spark, folder):
+    rules = spark.createDataFrame(RULES, "rule string, verdict string")
+    return url_trust.judge(table(spark, folder, "pages"), rules)
+
+
+@query
+def op5_licence_digest(spark, folder):
+    known = spark.createDataFrame(list(LICENCES.items()), "name string, text string")
+    found = licence_digest.scan(table(spark, folder, "documents"), known)
+    return found.withColumn("notices", F.array_join("notices", ";"))
+
+
 @query
 def op9_bpe(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
