@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termeval.llm import bpe, language, licence_digest, merkle, url_trust
+from termeval.llm import bpe, language, licence_digest, merkle, toxicity, url_trust
 from termeval.llm.licence_texts import LICENCES
 from termeval.llm.shared import held_out, table
 
@@ -26,6 +26,13 @@ def op1_merkle(spark, folder):
     return merkle.edits(table(spark, folder, "documents"))
 
 
+@query
+def op3_toxicity(spark, folder):
+    documents, kept = table(spark, folder, "documents"), held_out(F.col("doc_id"))
+    known = toxicity.labelled(documents.where(~kept), table(spark, folder, "labels"))
+    return toxicity.score(documents, toxicity.train(known), (F.col("doc_id"), kept.alias("held_out")))
+
+
 # The rules of this query.
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
 
