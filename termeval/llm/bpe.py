@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termeval.llm.shared import buffer_of, map_slices, mixed
+from termeval.llm.shared import buffer_of, map_slices, span_hashes
 
 # Fixed value: the public pre-token pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -32,12 +32,9 @@ REMEMBERED_LENGTH = 48
 
 # Fragments up to so many bytes are merged together, longer ones one by one.
 LONG = 32
-LETTER, NUMBER, SPACE, OTHER = range(4)
-# An odd number and its inverse modulo 2**64.
-ODD = np.uint64(0x9E3779B97F4A7C15)
-ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 NO_PAIR = 2**62
 PAD = 2**32 - 1
+LETTER, NUMBER, SPACE, OTHER = range(4)
 
 
 def byte_letters() -> dict[str, int]:
@@ -67,22 +64,6 @@ def gathered(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     return values[index], edges
 
 
-def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of code points, by differences of a prefix sum."""
-    n = len(points)
-    with np.errstate(over="ignore"):
-        power = np.full(n + 1, ODD, dtype=np.uint64)
-        power[0] = 1
-        np.multiply.accumulate(power, out=power)
-        inverse = np.full(n + 1, ODD_INVERSE, dtype=np.uint64)
-        inverse[0] = 1
-        np.multiply.accumulate(inverse, out=inverse)
-        sums = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(mixed(points.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
-        spans = (sums[ends] - sums[starts]) * inverse[starts]
-        return mixed(spans + (ends - starts).astype(np.uint64) * ODD)
-
-
 def replaced(ids: np.ndarray, n: np.ndarray, words: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``ids`` with those of ``words`` replaced by one id each."""
     at = np.cumsum(np.append(0, n))
