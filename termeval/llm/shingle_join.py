@@ -56,7 +56,7 @@ def bands(percent: int, largest: int) -> tuple[list[int], list[int], list[int]]:
     for low, high in zip(least, [x - 1 for x in least[1:]] + [least[-1] * 2]):
         totals = range(2 * low, high + high * 100 // percent + 1)
         apart = max(most_apart(t, percent) for t in totals)
-        spare.append(apart // 20 + 2 if apart else 0)
+        spare.append(apart // 12 + 4 if apart else 0)
         parts.append(apart + 1 + spare[-1])
     return least, parts, spare
 
