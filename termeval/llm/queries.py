@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termeval.llm import bpe, language, licence_digest, merkle, shingle_join, toxicity, url_trust
+from termeval.llm import bpe, decontaminate, language, licence_digest, merkle, shingle_join, toxicity, url_trust
 from termeval.llm.licence_texts import LICENCES
 from termeval.llm.shared import held_out, table
 
@@ -50,6 +50,11 @@ def op5_licence_digest(spark, folder):
     return found.withColumn("notices", F.array_join("notices", ";"))
 
 
+@query
+def op6_decontaminate(spark, folder):
+    return decontaminate.matches(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query
 def op7_shingle_join(spark, folder):
     return shingle_join.join(table(spark, folder, "documents"))
