@@ -445,12 +445,15 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     return rows.mapInArrow(run, f"`{id_col}` {kind}, text string")
 
 
-def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def round_trip(
+    df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False
+) -> DataFrame:
     """Digests of encoding every text and decoding its ids, in one pass over the texts.
 
     Columns: ``id_col``, ``n_tokens long``, ``ids_sha256`` of the decimal ids
-    joined by commas, ``decoded_sha256`` of the decoded text in UTF-8. A null
-    text counts as empty. Other columns are left out.
+    joined by commas, ``decoded_sha256`` of the decoded text in UTF-8; and, if
+    asked for, ``ids array<int>``. A null text counts as empty. Other columns are
+    left out.
     """
     shipped = _shipped(df, path)
 
@@ -467,20 +470,20 @@ def round_trip(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             spelled, at = model.spelled.joined(ids, counts)
             texts = [spelled[a:b].decode("utf-8", "replace").encode() for a, b in zip(at, at[1:])]
             lists = [shown[a : max(a, b - 1)] for a, b in zip(shown_at, shown_at[1:])]
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key"),
-                    pa.array(counts),
-                    pa.array(map(sha, lists), pa.string()),
-                    pa.array(map(sha, texts), pa.string()),
-                ],
-                names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+            columns = [
+                batch.column("key"),
+                pa.array(counts),
+                pa.array(map(sha, lists), pa.string()),
+                pa.array(map(sha, texts), pa.string()),
+            ]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum(np.append(0, counts)), pa.int32()), pa.array(ids, pa.int32())))
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         return run
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    return map_slices(
-        rows, make, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+    schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_slices(rows, make, schema + ", ids array<int>" * with_ids)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termeval.llm import bpe, decontaminate, language, licence_digest, merkle, shingle_join, toxicity, url_trust
+from termeval.llm import bpe, decontaminate, language, licence_digest, merkle, repeats, shingle_join, surrogates, toxicity, url_trust
 from termeval.llm.licence_texts import LICENCES
 from termeval.llm.shared import held_out, table
 
@@ -26,6 +26,16 @@ def op1_merkle(spark, folder):
     return merkle.edits(table(spark, folder, "documents"))
 
 
+# A secret of whoever runs the query; the same key gives the same surrogates.
+KEY = "change me"
+
+
+@query
+def op2_surrogates(spark, folder):
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    return surrogates.replace(documents, KEY)
+
+
 @query
 def op3_toxicity(spark, folder):
     documents, kept = table(spark, folder, "documents"), held_out(F.col("doc_id"))
@@ -60,6 +70,11 @@ def op7_shingle_join(spark, folder):
     return shingle_join.join(table(spark, folder, "documents"))
 
 
+@query
+def op8_repeats(spark, folder):
+    return repeats.passages(table(spark, folder, "documents"))
+
+
 @query
 def op9_bpe(spark, folder):
     return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

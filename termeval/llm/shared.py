@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 # Code points of text that one slice of an Arrow batch holds at most, save for
 # a single longer text; bounds the numpy arrays made from it.
-SLICE_CHARS = 2_000_000
+SLICE_CHARS = 1_000_000
+
+# Ids that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 
 # An odd number and its inverse modulo 2**64.
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -47,6 +50,17 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa
             start = stop
 
 
+def without(df: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``df`` whose id is not in ``removed``; a row without an id stays.
+
+    Up to ``BROADCAST_IDS`` ids are sent to every task, so that no text is dealt;
+    more are joined by a shuffle.
+    """
+    ids = removed.select(id_col).where(F.col(id_col).isNotNull()).distinct()
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if few else ids, id_col, "left_anti")
+
+
 def map_slices(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
@@ -100,3 +114,20 @@ def span_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
         np.cumsum(mixed(points.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
         spans = (sums[ends] - sums[starts]) * inverse[starts]
         return mixed(spans + (ends - starts).astype(np.uint64) * ODD)
+
+
+def words_of(data: bytes, lengths: np.ndarray) -> tuple[np.ndarray, list[int], np.ndarray, np.ndarray]:
+    """Hashes of all words, where each text's begin, and their byte spans; A-Z count as a-z."""
+    values = np.frombuffer(data.lower(), dtype=np.uint8)
+    edges = np.cumsum(np.append(0, lengths))
+    blank = (values == 32) | ((values >= 9) & (values <= 13))
+    full = edges[:-1][lengths > 0]
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    begins[full] = ~blank[full]
+    last = edges[1:][lengths > 0] - 1
+    ends = ~blank
+    ends[:-1] &= blank[1:]
+    ends[last] = ~blank[last]
+    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return span_hashes(values, starts, stops), np.searchsorted(starts, edges).tolist(), starts, stops

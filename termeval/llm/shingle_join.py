@@ -23,17 +23,15 @@ from pyspark.sql import functions as F
 
 from termeval.durable import materialise
 from termeval.llm.components import components
-from termeval.llm.shared import ODD, buffer_of, map_slices, mixed, slices, span_hashes
+from termeval.llm.shared import BROADCAST_IDS, ODD, buffer_of, map_slices, mixed, slices, words_of
 
 WORDS, PERCENT = 4, 85
 # Signatures a task gathers before it combines and hands them on.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 # Nodes of a group compared in one task; larger groups are dealt into blocks.
 BLOCK = 2_048
 # Buckets of tiles for each shuffle partition.
 BUCKETS_PER_PARTITION = 2
-# Up to so many documents are picked from the table by a broadcast of their ids.
-BROADCAST_IDS = 1_000_000
 
 
 def linked(shared: int, one: int, other: int, percent: int) -> bool:
@@ -63,19 +61,7 @@ def bands(percent: int, largest: int) -> tuple[list[int], list[int], list[int]]:
 
 def sets_of(data: bytes, lengths: np.ndarray, words: int = WORDS) -> list[np.ndarray]:
     """The sorted distinct 64-bit shingle hashes of each text; A-Z are lower-cased."""
-    values = np.frombuffer(data.lower(), dtype=np.uint8)
-    edges = np.cumsum(np.append(0, lengths))
-    blank = (values == 32) | ((values >= 9) & (values <= 13))
-    # A blank between texts: the first byte of a text starts a word unless it is a blank.
-    begins = ~blank
-    begins[1:] &= blank[:-1]
-    begins[edges[:-1][lengths > 0]] = ~blank[edges[:-1][lengths > 0]]
-    ends = ~blank
-    ends[:-1] &= blank[1:]
-    ends[edges[1:][lengths > 0] - 1] = ~blank[edges[1:][lengths > 0] - 1]
-    starts, stops = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    hashes = span_hashes(values, starts, stops)
-    at = np.searchsorted(starts, edges).tolist()
+    hashes, at, _, _ = words_of(data, lengths)
     rolled = hashes[: max(0, len(hashes) - words + 1)].copy()
     for i in range(1, words):
         rolled *= ODD

@@ -227,7 +227,7 @@ def _features(table: np.ndarray, points: np.ndarray) -> tuple[float, float, floa
 
 
 def features(df: DataFrame, model: Model, keep: tuple[Column, ...]) -> DataFrame:
-    """``keep`` and ``features array<double>`` of the column ``text``."""
+    """``kept``, a struct of ``keep``, and ``features array<double>`` of the column ``text``."""
     shipped = df.sparkSession.sparkContext.broadcast(model)
     name = f"{df.sparkSession.sparkContext.applicationId}-{shipped._jbroadcast.id() if shipped._jbroadcast else 0}"
 
@@ -236,13 +236,16 @@ def features(df: DataFrame, model: Model, keep: tuple[Column, ...]) -> DataFrame
 
         def run(batch):
             found = [_features(table, points) for points in _points(batch)]
-            kept = [batch.column(i) for i in range(1, batch.num_columns)]
-            return pa.RecordBatch.from_arrays([*kept, pa.array(found, pa.list_(pa.float64()))], names=schema.names)
+            return pa.RecordBatch.from_arrays(
+                [batch.column("kept"), pa.array(found, pa.list_(pa.float64()))], names=["kept", "features"]
+            )
 
         return run
 
-    schema = df.select(*keep, F.array(F.lit(0.0)).alias("features")).schema
-    return map_slices(df.select("text", *keep), make, schema)
+    # Kept columns travel as one, so that none of their names can clash.
+    rows = df.select("text", F.struct(*keep).alias("kept"))
+    schema = rows.select("kept", F.array(F.lit(0.0)).alias("features")).schema
+    return map_slices(rows, make, schema)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -277,7 +280,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         count(rows.select("text", (F.col("toxic") * 2 + apart.cast("int")).alias("part"))), "letter-counts"
     )
     without = model_of(counts, {2}, {0})
-    sample = features(rows.where(apart), without, (F.col("toxic"), F.col("order"))).orderBy("order").limit(FIT_ROWS)
+    sample = features(rows.where(apart), without, (F.col("toxic"), F.col("order"))).select("kept.*", "features").orderBy("order").limit(FIT_ROWS)
     found = sample.toPandas()
     model = model_of(counts, {2, 3}, {0, 1})
     x = np.array(found["features"].tolist(), dtype=float).reshape(len(found), -1)
@@ -303,7 +306,7 @@ def score(df: DataFrame, model: Model, keep: tuple[Column, ...] = (), text_col:
     for i, (m, d, w) in enumerate(zip(mean, deviation, weights)):
         total = total + (F.col("features")[i] - m) / d * w
     found = found.withColumn("score", 1 / (1 + F.exp(-F.least(F.greatest(total, F.lit(-30.0)), F.lit(30.0)))))
-    return found.drop("features").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
+    return found.select("kept.*", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def labelled(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
