@@ -51,6 +51,10 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 UNIT = r"[\p{L}\p{N}]"
+# Draws before the surrogates of a format count as used up.
+MOST_DRAWS = 60
+# Every entity holds one of these; a text without any needs no further search.
+SIGNS = [*(title for titles in TITLES.values() for title in titles), "password", "token", "secret", "api_key"]
 
 
 def kind(surface: Column) -> Column:
@@ -146,8 +150,11 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """
     pending = materialise(entities.withColumn("attempt", F.lit(0)), "entities")
     originals = pending.select("kind", F.lower("canon").alias("form"))
-    given = None
+    given, draws = None, 0
     while not pending.isEmpty():
+        draws += 1
+        if draws > MOST_DRAWS:
+            raise ValueError("there are more entities than surrogates of their format")
         drawn = pending.withColumn(
             "surrogate", _surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))
         ).withColumn("form", F.lower("surrogate"))
@@ -195,7 +202,10 @@ def replace(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "te
     """
     text = F.col(text_col)
     found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
-    has = F.coalesce(text.rlike(ENTITY), F.lit(False))
+    signs = text.rlike("[0-9@]")
+    for sign in SIGNS:
+        signs = signs | text.contains(sign)
+    has = F.coalesce(signs & text.rlike(ENTITY), F.lit(False))
     plain = df.where(~has).withColumn("n_entities", F.lit(0))
     # Few texts hold an entity; only these are written, dealt and joined.
     held = materialise(

@@ -1,0 +1,353 @@
+"""The text operators on small fixtures, by brute force and on odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from termeval.llm import (
+    bpe,
+    components,
+    decontaminate,
+    language,
+    licence_digest,
+    merkle,
+    repeats,
+    shingle_join,
+    surrogates,
+    toxicity,
+    url_trust,
+)
+
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+needs_vocabulary = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="vocabulary file absent")
+LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(30_000))
+ODD = [(1, None), (2, ""), (3, "  \n\n "), (4, "one"), (5, LONG), (6, "漢字 and ́ 😀"), (7, "one"), (7, "one"), (None, "no id")]
+
+
+def frame(spark, rows):
+    """Rows with extra columns whose names the operators use themselves."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.select("*", *(F.lit(None).cast("string").alias(c) for c in ("key", "node", "score", "_row", "place", "kept")))
+
+
+def words(rng, n, vocabulary=60):
+    return [f"t{rng.randrange(vocabulary)}" for _ in range(n)]
+
+
+# Fingerprints
+
+
+def test_edits_equal_brute_force(spark):
+    rows = [r for r in ODD if r[0] is not None]
+    found = merkle.edits(frame(spark, rows)).collect()
+    ordered = sorted(rows, key=lambda r: (r[0], r[1] or ""))
+    expected = []
+    for i, (doc, text) in enumerate(ordered):
+        text, following = text or "", ordered[(i + 1) % len(ordered)][1] or ""
+        quarter = len(text) // 4
+        edited = text[: len(text) - quarter] + following[:quarter]
+        expected.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in found) == sorted(expected)
+    by_text = {}
+    for r in found:
+        by_text.setdefault(dict(rows)[r.doc_id] or "", set()).add(r.fingerprint)
+    assert all(len(x) == 1 for x in by_text.values())
+    assert len({x for y in by_text.values() for x in y}) == len(by_text)
+    assert {r.near_edited for r in found if r.doc_id in (1, 2)} == {1.0}
+    assert [r.near_edited for r in found if r.doc_id == 5][0] > 0.6
+
+
+def test_a_row_without_id_has_no_next_document(spark):
+    (row,) = merkle.edits(frame(spark, [(None, "abcdefgh")])).collect()
+    assert row.near_next is None and row.edited_sha256 == hashlib.sha256(b"abcdef").hexdigest()
+
+
+def test_changed_branches_locate_the_edit(spark):
+    df = spark.createDataFrame([("a\nb\n\nc\nd", "a\nb\n\nc\nX")], "one string, other string")
+    trees = df.select(merkle.tree(F.col("one")).alias("one"), merkle.tree(F.col("other")).alias("other"))
+    assert [(r.section, r.paragraph) for r in merkle.changed(trees, "one", "other").collect()] == [(1, 1)]
+
+
+def test_edits_of_an_empty_table(spark):
+    assert merkle.edits(frame(spark, [])).count() == 0
+
+
+# Surrogates
+
+
+def test_surrogates_keep_identity_and_format(spark):
+    rows = [
+        (1, "Mail ann.lee@site.example.org or +1 (212) 555-8457 from 10.1.2.3."),
+        (2, "ANN.LEE@site.example.org again; card 4111 1111 1111 1111, 4111111111111111"),
+        (3, "Mrs. Anna Smith met Mr Smith and Госпожа Иванова; password=0123abcd99"),
+        *((10 + i, f"user{i}@mail.example.com") for i in range(40)),
+    ]
+    found = {r.doc_id: r for r in surrogates.replace(frame(spark, rows), "k").collect()}
+    one, two, three = found[1].text, found[2].text, found[3].text
+    for real in ("ann.lee", "212", "10.1.2.3", "Anna", "Smith", "Иванова", "0123abcd99"):
+        assert real not in one + two.lower() + three
+    mail = one.split()[1]
+    assert two.split()[0].lower() == mail and two.split()[0].split("@")[0].isupper()
+    assert "".join(two.split()[3:7]).rstrip(",") == two.split()[7]
+    assert three.startswith("Mrs. ") and three.split()[1] in surrogates.GIVEN["f", "latin"]
+    assert len({found[10 + i].text for i in range(40)}) == 40
+    again = {r.doc_id: r.text for r in surrogates.replace(frame(spark, rows), "k").collect()}
+    assert again == {k: r.text for k, r in found.items()}
+
+
+def test_texts_without_personal_data_stay(spark):
+    found = surrogates.replace(frame(spark, ODD), "k").collect()
+    assert sorted(((r.doc_id, r.text) for r in found), key=repr) == sorted(ODD, key=repr)
+
+
+def test_colliding_surrogates_are_drawn_again(spark):
+    many = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(0, 300)], "kind string, canon string")
+    rows = surrogates.surrogates(many, "k").collect()
+    assert len({r.surrogate for r in rows}) == len(rows) == 300
+    assert not {r.surrogate for r in rows} & {r.canon for r in rows}
+
+
+# Toxicity
+
+
+def test_toxic_texts_are_told_apart(spark):
+    rng = random.Random(5)
+    plain = ["river", "stone", "garden", "window", "music", "table", "friend", "letter"]
+    rows = []
+    for i in range(400):
+        own = [rng.choice(plain) for _ in range(40)]
+        if i % 5 == 0:
+            own[rng.randrange(40)] = own[rng.randrange(40)] = "zxgrob"
+        rows.append((i, " ".join(own), int(i % 5 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.where("doc_id < 300"))
+    found = toxicity.score(df.where("doc_id >= 300"), model, (F.col("doc_id"), F.col("toxic"))).collect()
+    assert all(r.predicted == r.toxic for r in found) and all(0 <= r.score <= 1 for r in found)
+    odd = toxicity.score(frame(spark, ODD), model, (F.col("doc_id"), F.col("score").alias("mine"))).collect()
+    assert len(odd) == len(ODD)
+
+
+def test_without_labels_every_text_has_a_score(spark):
+    nothing = spark.createDataFrame([], "doc_id long, text string, toxic int")
+    found = toxicity.score(frame(spark, ODD), toxicity.train(nothing), (F.col("doc_id"),)).collect()
+    assert {r.predicted for r in found} == {0} and len(found) == len(ODD)
+
+
+# URL trust
+
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("b.org/", "block")]
+
+
+def test_links_carry_distrust_backwards(spark):
+    pages = [
+        (1, "http://x.net/a", None),
+        (2, "http://Www.Example.NET/en/?q#x", "<p>"),
+        (3, "http://b.org/", ""),
+        (4, "http://c.org/", '<a href="https://B.org/x"><a href="//b.org/y">'),
+        (5, "http://d.org/", "<a href='http://c.org/'><a href=http://e.org/>"),
+        (6, None, None),
+        (7, "mailto:x", "x"),
+        (8, "http://net?x", "y"),
+        (8, "http://net?x", "y"),
+    ]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").withColumn("host", F.lit("clash"))
+    rules = spark.createDataFrame(RULES, "rule string, verdict string")
+    found = [tuple(r) for r in url_trust.judge(df, rules).orderBy("page_id").collect()]
+    assert found == [
+        (1, "x.net", "/a", "net/", "block"),
+        (2, "www.example.net", "/en/", "example.net/en/", "allow"),
+        (3, "b.org", "/", "b.org/", "block"),
+        (4, "c.org", "/", None, "block"),
+        (5, "d.org", "/", None, "allow"),
+        (6, "", "", None, "allow"),
+        (7, "", "", None, "allow"),
+        (8, "net", "", None, "allow"),
+        (8, "net", "", None, "allow"),
+    ]
+    assert url_trust.judge(df.limit(0), rules).count() == 0
+
+
+# Licences
+
+
+def test_licences_by_canonical_text(spark):
+    known = spark.createDataFrame([("A", "The Licence, v1.\nTerms of the Organisation")], "name string, text string")
+    rows = [*ODD, (20, "Copyright (c) 2020 X\nTHE LICENSE -- v1\n\n terms of the organization!"), (21, "x\nthe licence v1 terms of the organisation.\ny")]
+    found = {r.doc_id: r for r in licence_digest.scan(frame(spark, rows), known).collect()}
+    assert found[20].licence == "A" and found[20].notices == ["A"]
+    assert found[21].licence is None and found[21].notices == ["A"]
+    assert found[1].licence is None and found[1].digest == found[2].digest and found[5].notices == []
+
+
+# Decontamination
+
+
+def test_items_are_found_with_few_edits(spark):
+    rng = random.Random(3)
+    item = " ".join(words(rng, 40, 5000))
+    letters = list(item)
+    for at in (30, 90, 140):
+        letters[at] = "z"
+    del letters[60]
+    letters.insert(110, "q")
+    far = list(item)
+    for at in range(0, len(far), 6):
+        far[at] = "z"
+    rows = [
+        *ODD,
+        (30, "Before, " + item.upper().replace(" ", "\n ") + " after"),
+        (31, LONG + " " + "".join(letters) + " " + LONG),
+        (32, "".join(far)),
+    ]
+    benchmark = spark.createDataFrame([(1, item), (2, None), (3, "short")], "item_id long, text string")
+    found = {r.doc_id: r for r in decontaminate.matches(frame(spark, rows), benchmark).collect()}
+    assert found.keys() == {30, 31}
+    assert found[30].edits == 0 and found[30].start == 8 and 1 <= found[31].edits <= 5
+    assert decontaminate.matches(frame(spark, []), benchmark).count() == 0
+    assert decontaminate.matches(frame(spark, ODD), benchmark.limit(0)).count() == 0
+
+
+# Shingle join
+
+
+def brute_components(rows):
+    sets = {}
+    for doc, text in rows:
+        own = (text or "").encode().lower().split()
+        sets[doc] = {tuple(own[i : i + 4]) for i in range(len(own) - 3)} or ({tuple(own)} if own else set())
+    parent = {doc: doc for doc in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    docs = sorted(sets)
+    for i, a in enumerate(docs):
+        for b in docs[i + 1 :]:
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {doc: (len(sets[doc]), root(doc)) for doc in sets}
+
+
+def near_copies(seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(12):
+        base = words(rng, rng.choice([3, 5, 9, 30, 90, 300]), 10_000)
+        for _ in range(rng.randrange(1, 9)):
+            own = list(base)
+            for _ in range(rng.randrange(0, 1 + len(base) // 60 + 1)):
+                own[rng.randrange(len(own))] = "edit%d" % rng.randrange(10**6)
+            rows.append((len(rows), " ".join(own[: len(own) - rng.randrange(0, 2)])))
+    return rows
+
+
+@pytest.mark.parametrize("block", [2_048, 3])
+def test_join_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(shingle_join, "BLOCK", block)
+    rows = near_copies(1) + [(1000 + d, t) for d, t in ODD[:6]]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in shingle_join.join(frame(spark, rows)).collect()}
+    assert found == brute_components(rows)
+
+
+def test_join_of_odd_and_no_rows(spark):
+    found = shingle_join.join(frame(spark, ODD)).collect()
+    assert len(found) == len(ODD)
+    assert {(r.doc_id, r.component_id) for r in found if r.doc_id in (1, 2, 4, 7)} == {(1, 1), (2, 2), (4, 4), (7, 4)}
+    assert shingle_join.join(frame(spark, [])).count() == 0
+
+
+def test_components_of_a_long_path(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (5, 5)], "a long, b long")
+    found = {r.node: r.component for r in components.components(links).collect()}
+    assert found == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+# Repeated passages
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(9)
+    shared = [words(rng, n, 400) for n in (49, 50, 51, 80, 200)]
+    rows = []
+    for i in range(30):
+        own = words(rng, rng.randrange(0, 120), 400)
+        at = rng.randrange(len(own) + 1)
+        rows.append((i, " ".join(own[:at] + rng.choice(shared) + own[at:])))
+    rows += [(100, "same " * 300), (101, None), (102, ""), (103, " ".join(shared[3]).upper())]
+    held, texts = {}, {}
+    for doc, text in rows:
+        texts[doc] = (text or "").encode().lower().split()
+        for i in range(len(texts[doc]) - 49):
+            held.setdefault(tuple(texts[doc][i : i + 50]), set()).add(doc)
+    expected = set()
+    for doc, own in texts.items():
+        covered = sorted({j for i in range(len(own) - 49) if len(held[tuple(own[i : i + 50])]) > 1 for j in range(i, i + 50)})
+        for j in covered:
+            if j - 1 not in covered:
+                stop = j
+                while stop in covered:
+                    stop += 1
+                expected.add((doc, j, stop - j))
+    found = repeats.passages(frame(spark, rows)).collect()
+    merged = {(r.doc_id, r.first_word, r.n_words) for r in found}
+    assert {d for d, _, _ in merged} == {d for d, _, _ in expected}
+    assert sum(n for _, _, n in merged) == sum(n for _, _, n in expected)
+    for r in found:
+        text = dict(rows)[r.doc_id][r.start : r.end]
+        assert text.encode().lower().split() == texts[r.doc_id][r.first_word : r.first_word + r.n_words]
+    assert repeats.passages(frame(spark, ODD)).count() == 0 and repeats.passages(frame(spark, [])).count() == 0
+
+
+# Encoding
+
+
+@needs_vocabulary
+def test_encoding_equals_the_library(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(VOCABULARY)
+    rng = random.Random(2)
+    bits = ["a", "the", " ", "  ", "\n", "'s", "'", "!", "é", "漢", "<|endoftext|>", "12", "don't", "\x1c", "😀", "́"]
+    rows = [*ODD, *((100 + i, "".join(rng.choices(bits, k=rng.randrange(12)))) for i in range(300))]
+    expected = []
+    for doc, text in rows:
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        expected.append((doc, ids, library.decode(ids, skip_special_tokens=False)))
+    found = bpe.encode(frame(spark, rows), VOCABULARY)
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.ids) for r in found.collect()), key=key) == sorted(((d, i) for d, i, _ in expected), key=key)
+    texts = [(r.doc_id, r.text) for r in bpe.decode(found, VOCABULARY).collect()]
+    assert sorted(texts, key=key) == sorted(((d, t) for d, _, t in expected), key=key)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    digests = [(r.doc_id, r.ids_sha256, r.n_tokens, r.decoded_sha256) for r in bpe.round_trip(frame(spark, rows), VOCABULARY).collect()]
+    assert sorted(digests, key=key) == sorted(
+        ((d, sha(",".join(map(str, i))), len(i), sha(t)) for d, i, t in expected), key=key
+    )
+
+
+# Languages
+
+
+def test_languages_are_told_apart(spark):
+    rng = random.Random(4)
+    parts = {"aa": ["tion", "the", "ing", "re"], "bb": ["sch", "ung", "ein", "er"]}
+    rows = []
+    for i in range(60):
+        lang = "aa" if i % 2 else "bb"
+        rows.append((i, " ".join("".join(rng.choices(parts[lang], k=2)) for _ in range(30)), lang))
+    df = spark.createDataFrame([*rows, (99, None, "aa"), (98, "the", None)], "doc_id long, text string, lang string")
+    model = language.profiles(df.where("doc_id < 30 or doc_id > 90"))
+    found = {r.doc_id: r for r in language.predict(df, model).collect()}
+    assert all(found[d].lang_pred == lang for d, _, lang in rows) and found[99].lang_pred == "und"
+    assert all(0 <= r.score <= 1 for r in found.values())
+    odd = [(r.doc_id, r.lang_pred) for r in language.predict(frame(spark, ODD), model).collect()]
+    assert len(odd) == len(ODD) and dict(odd)[3] == "und"
+    assert {r.lang_pred for r in language.predict(df, model.limit(0)).collect()} == {"und"}
