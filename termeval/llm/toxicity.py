@@ -253,7 +253,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     mean, deviation = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.column_stack([np.ones(len(x)), (x - mean) / deviation])
     w = np.zeros(z.shape[1])
-    hold = np.diag([1e-6, *[0.1] * x.shape[1]])
+    hold = np.diag([1e-6, *[1.0] * x.shape[1]])
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         slope = z.T @ (p - y) + hold @ w
@@ -283,7 +283,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     sample = features(rows.where(apart), without, (F.col("toxic"), F.col("order"))).select("kept.*", "features").orderBy("order").limit(FIT_ROWS)
     found = sample.toPandas()
     model = model_of(counts, {2, 3}, {0, 1})
-    x = np.array(found["features"].tolist(), dtype=float).reshape(len(found), -1)
+    x = np.array(found["features"].tolist(), dtype=float).reshape(-1, 3)
     y = found["toxic"].to_numpy(dtype=float)
     if 0 < y.sum() < len(y):
         model.weights = _logistic(x, y)
