@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder; a cluster
-    session is refused, because executors on other machines could not read it.
-    """
+    """The folder named by ``spark.checkpoint.dir``, which all executors must share."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="termeval-")
-    spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 

@@ -57,6 +57,14 @@ class ExactMatch(ColumnMetric):
     def expr(self, predicted, actual):
         return similarity.exact_match(predicted, actual)
 
+    def apply(self, df: DataFrame) -> DataFrame:
+        kinds = {df.schema[c].dataType.simpleString() for c in (self.predicted, self.actual)}
+        if kinds & {"float", "double"}:
+            # A number that is no number equals nothing, itself included.
+            score = similarity.exact_match_float(F.col(self.predicted), F.col(self.actual))
+            return df.withColumn(self.label, score)
+        return super().apply(df)
+
 
 class UncasedMatch(ColumnMetric):
     description = "Uncased match: equal when case and surrounding whitespace are ignored"

@@ -6,6 +6,9 @@ these settings to be right, they only make local runs predictable.
 
 from __future__ import annotations
 
+import os
+import tempfile
+
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
@@ -25,6 +28,9 @@ def build_session(
     master: str | None = None, app_name: str = "termeval", **conf: str
 ) -> SparkSession:
     """Get or create a session with the defaults above."""
+    if (master or "").startswith("local"):
+        # One machine: any folder is shared. A cluster's session names its own.
+        conf.setdefault("spark.checkpoint.dir", os.path.join(tempfile.gettempdir(), "termeval-checkpoints"))
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)

@@ -185,9 +185,10 @@ def _json_text(name: str) -> Column:
 def read_document(spark: SparkSession, path: str) -> DataFrame:
     """Scores of an existing result document, in long form.
 
-    ``row_id`` is the position of the row within its pipeline's results.
+    ``row_id`` is the position of the row within its pipeline's results. A file
+    that is no whole document, such as one of several part files, fails.
     """
-    document = spark.read.schema(DOCUMENT_SCHEMA).json(path, multiLine=True)
+    document = spark.read.schema(DOCUMENT_SCHEMA).json(path, multiLine=True, mode="FAILFAST")
     return (
         document.select(
             F.col("Experiment").alias("experiment"),

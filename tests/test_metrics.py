@@ -119,3 +119,10 @@ def test_list_metrics_follow_options(spark):
     for metric, expected in ((m.PrecisionMetric(), 1.0), (m.RecallMetric(), 0.5), (m.FScoreMetric(1.0), 2 / 3)):
         assert metric.apply(df).first()[metric.label] == pytest.approx(expected)
     assert "2.0" in m.FScoreMetric(2.0).description
+
+
+def test_exact_match_of_numbers_by_type(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(nan, nan), (1.5, 1.5), (1.5, None)], "prediction double, expected_output double")
+    metric = m.ExactMatch()
+    assert [r[metric.label] for r in metric.apply(df).collect()] == [0, 1, 0]
