@@ -30,6 +30,8 @@ WORDS, PERCENT = 4, 85
 GATHERED = 1_000_000
 # Nodes of a group compared in one task; larger groups are dealt into blocks.
 BLOCK = 2_048
+# Divisions a set is dealt by at most, each only if those before leave too many parts empty.
+DIVISIONS = 8
 # Buckets of tiles for each shuffle partition.
 BUCKETS_PER_PARTITION = 2
 
@@ -54,7 +56,7 @@ def bands(percent: int, largest: int) -> tuple[list[int], list[int], list[int]]:
     for low, high in zip(least, [x - 1 for x in least[1:]] + [least[-1] * 2]):
         totals = range(2 * low, high + high * 100 // percent + 1)
         apart = max(most_apart(t, percent) for t in totals)
-        spare.append(apart // 12 + 4 if apart else 0)
+        spare.append(apart // 12)
         parts.append(apart + 1 + spare[-1])
     return least, parts, spare
 
@@ -101,19 +103,25 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
         m = parts[b]
         if m == 1:
             continue
-        # Sets of one band and the next share this division of all hashes.
-        part = (mixed(own ^ np.uint64(b + 1)) % np.uint64(m)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(own[order] * ODD), dtype=np.uint64)])
-        counts = np.bincount(part, minlength=m)
-        ends = np.cumsum(counts)
-        value = sums[ends] - sums[ends - counts]
-        held = counts > 0
-        if m - np.count_nonzero(held) > spare[b]:
-            # So many empty parts that two sets might agree in these alone.
-            held[:] = True
-        name = (np.arange(m, dtype=np.uint64) << np.uint64(16)) | np.uint64(b)
-        found.append(mixed(value[held] * ODD + mixed(name[held])))
+        numbers = np.arange(m, dtype=np.uint64) << np.uint64(16)
+        for division in range(DIVISIONS):
+            # Sets of one band and the next share this division of all hashes.
+            seed = np.uint64(b + 1 + (division << 16))
+            part = (mixed(own ^ seed) % np.uint64(m)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(own[order] * ODD), dtype=np.uint64)])
+            counts = np.bincount(part, minlength=m)
+            ends = np.cumsum(counts)
+            value = sums[ends] - sums[ends - counts]
+            held = counts > 0
+            # With so many empty parts two linked sets might agree in these alone. Then
+            # both have them empty, so both go on to the next division.
+            enough = m - np.count_nonzero(held) <= spare[b]
+            if not enough and division == DIVISIONS - 1:
+                held[:] = True
+            found.append(mixed(value[held] * ODD + mixed(numbers[held] | seed << np.uint64(40))))
+            if enough:
+                break
     return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
 
 
