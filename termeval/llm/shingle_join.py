@@ -1,19 +1,19 @@
 """Jaccard join of documents on sets of word shingles, exact, and its components.
 
 Sets alike in all elements are one node. Nodes meet in tiles: for each band of
-set sizes the hashes are dealt into a few more parts than two linked sets can
-differ in elements, so two linked sets hold the same elements in at least one
-part, and that part's elements name a tile. What meets in tiles forms groups of
-candidates. Inside a group bitmaps of hashed elements come first: the bits in
-which two bitmaps differ are at most the elements in which the sets differ, so
-their count bounds the overlap from above. What passes is intersected exactly,
-as sorted arrays.
+set sizes the hashes are dealt into more parts than two linked sets can differ
+in elements, so two linked sets hold the same elements in at least one part, and
+that part's elements name a tile. What meets in tiles of one band forms groups of
+candidates. Inside a group only bitmaps of hashed elements are compared: the bits
+in which two bitmaps differ are at most the elements in which the sets differ, so
+their count bounds the overlap from above. What these let pass forms much smaller
+groups, whose sets are intersected exactly, as sorted arrays.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -92,17 +92,33 @@ def node_of(own: np.ndarray) -> int:
     return int(mixed(np.array([total])).view(np.int64)[0])
 
 
-def signatures(own: np.ndarray, percent: int) -> np.ndarray:
-    """The tiles of a set: those of its own band and, if it can link to smaller sets there, of the one below."""
-    n = len(own)
+def bands_of(n: int, percent: int) -> list[tuple[int, int, int]]:
+    """Bands in which a set of ``n`` meets others, with parts and spare parts: its own and,
+    if it can link to smaller sets there, the one below."""
     least, parts, spare = bands(percent, 1 << max(6, n.bit_length()))
     band = int(np.searchsorted(least, n, side="right")) - 1
-    found = []
     below = band > 0 and -(-percent * n // 100) < least[band]
-    for b in (band, band - 1) if below else (band,):
-        m = parts[b]
-        if m == 1:
-            continue
+    return [(b, parts[b], spare[b]) for b in ((band, band - 1) if below else (band,)) if parts[b] > 1]
+
+
+def places_of(node: int, n: int, percent: int) -> list[int]:
+    """A node's names in the bands of ``bands_of``."""
+    at = np.array([b + 1 for b, _, _ in bands_of(n, percent)], dtype=np.uint64)
+    return mixed(np.uint64(node & (1 << 64) - 1) ^ mixed(at * ODD)).view(np.int64).tolist()
+
+
+def bitmap_of(own: np.ndarray) -> np.ndarray:
+    """The parity of the elements that fall on each bit; at least two bits an element."""
+    width = max(64, 1 << (2 * len(own) - 1).bit_length())
+    odd = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+
+
+def signatures(own: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The tiles of a set in each of its bands."""
+    all_found = []
+    for b, m, spare in bands_of(len(own), percent):
+        found = []
         numbers = np.arange(m, dtype=np.uint64) << np.uint64(16)
         for division in range(DIVISIONS):
             # Sets of one band and the next share this division of all hashes.
@@ -116,35 +132,39 @@ def signatures(own: np.ndarray, percent: int) -> np.ndarray:
             held = counts > 0
             # With so many empty parts two linked sets might agree in these alone. Then
             # both have them empty, so both go on to the next division.
-            enough = m - np.count_nonzero(held) <= spare[b]
+            enough = m - np.count_nonzero(held) <= spare
             if not enough and division == DIVISIONS - 1:
                 held[:] = True
             found.append(mixed(value[held] * ODD + mixed(numbers[held] | seed << np.uint64(40))))
             if enough:
                 break
-    return np.concatenate(found) if found else np.zeros(0, dtype=np.uint64)
+        all_found.append(np.concatenate(found))
+    return all_found
 
 
-def nodes(df: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """``key``, ``n_shingles`` and ``node`` of every text."""
+def nodes(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """``key``, ``n_shingles``, ``node``, its ``places`` in bands and its ``bits``, of every text."""
 
     def make():
         def run(batch):
             found = sets_of(*buffer_of(batch.column("text")), words)
+            names = [node_of(x) for x in found]
             return pa.RecordBatch.from_arrays(
                 [
                     batch.column("key"),
                     pa.array([len(x) for x in found], pa.int64()),
-                    pa.array([node_of(x) for x in found], pa.int64()),
+                    pa.array(names, pa.int64()),
+                    pa.array([places_of(k, len(x), percent) if len(x) else [] for k, x in zip(names, found)], pa.list_(pa.int64())),
+                    pa.array([bitmap_of(x).tobytes() if len(x) else None for x in found], pa.binary()),
                 ],
-                names=["key", "n_shingles", "node"],
+                names=["key", "n_shingles", "node", "places", "bits"],
             )
 
         return run
 
     rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    return map_slices(rows, make, f"key {kind}, n_shingles long, node long")
+    return map_slices(rows, make, f"key {kind}, n_shingles long, node long, places array<bigint>, bits binary")
 
 
 def _first_of_each(signature: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -158,7 +178,7 @@ def _first_of_each(signature: np.ndarray, node: np.ndarray) -> tuple[np.ndarray,
 
 
 def candidates(df: DataFrame, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Pairs ``a``, ``b`` of nodes that chain together all nodes that meet in a tile.
+    """Pairs ``a``, ``b`` of places that chain together all nodes that meet in tiles of one band.
 
     Tasks combine what they have gathered first: one node of each tile goes on,
     with pairs for the others, so a tile never holds more rows than tasks wrote.
@@ -195,9 +215,9 @@ def candidates(df: DataFrame, text_col: str, words: int = WORDS, percent: int =
                 if not len(own) or (node := node_of(own)) in known:
                     continue
                 known.add(node)
-                found = signatures(own, percent)
-                held.append((found, np.full(len(found), node, dtype=np.int64)))
-                size += len(found)
+                for found, place in zip(signatures(own, percent), places_of(node, len(own), percent)):
+                    held.append((found, np.full(len(found), place, dtype=np.int64)))
+                    size += len(found)
             if size > GATHERED:
                 yield from combined()
                 held, size = [], 0
@@ -223,25 +243,41 @@ def candidates(df: DataFrame, text_col: str, words: int = WORDS, percent: int =
 
 
 class Compared:
-    """Sets that are compared with each other: bitmaps first, then the arrays."""
-
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.sets, self.percent = sets, percent
-        self.sizes = np.array([len(x) for x in sets], dtype=np.int64)
-        width = max(64, 1 << int(self.sizes.max()).bit_length())
-        self.bitmaps = np.zeros((len(sets), width // 64), dtype=np.uint64)
-        for i, own in enumerate(sets):
-            odd = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-            self.bitmaps[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+    """Sets that are compared with each other: bitmaps first, then the sorted arrays if there are any."""
+
+    def __init__(self, sizes: np.ndarray, bitmaps: list[np.ndarray], sets: list[np.ndarray] | None, percent: int):
+        self.sizes, self.sets, self.percent = sizes, sets, percent
+        self.width = np.array([len(x) for x in bitmaps], dtype=np.int64)
+        self.place = np.zeros(len(bitmaps), dtype=np.int64)
+        self.of_width = {}
+        for width in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width == width)
+            self.place[at] = np.arange(len(at))
+            self.of_width[width] = np.stack([bitmaps[i] for i in at.tolist()])
+
+    def apart(self, i: int, others: np.ndarray) -> np.ndarray:
+        """The bits in which ``i`` and each of ``others`` differ; wider bitmaps are folded."""
+        found = np.zeros(len(others), dtype=np.int64)
+        own, widths = self.of_width[int(self.width[i])][self.place[i]][None], self.width[others]
+        for width in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == width)
+            one, other = own, self.of_width[width][self.place[others[at]]]
+            while one.shape[1] > other.shape[1]:
+                one = one[:, : one.shape[1] // 2] ^ one[:, one.shape[1] // 2 :]
+            while other.shape[1] > one.shape[1]:
+                other = other[:, : other.shape[1] // 2] ^ other[:, other.shape[1] // 2 :]
+            found[at] = np.bitwise_count(one ^ other).sum(axis=1, dtype=np.int64)
+        return found
 
     def links(self, i: int, others: np.ndarray) -> np.ndarray:
-        """Those of ``others`` that link with ``i``."""
+        """Those of ``others`` that link with ``i`` or, without sets, may do so."""
+        sizes = self.sizes[others]
+        others = others[100 * np.minimum(sizes, self.sizes[i]) >= self.percent * np.maximum(sizes, self.sizes[i])]
         both = self.sizes[others] + self.sizes[i]
-        near = 100 * np.minimum(self.sizes[others], self.sizes[i]) >= self.percent * np.maximum(self.sizes[others], self.sizes[i])
-        others, both = others[near], both[near]
-        apart = np.bitwise_count(self.bitmaps[others] ^ self.bitmaps[i]).sum(axis=1, dtype=np.int64)
-        bound = (both - apart) // 2
+        bound = (both - self.apart(i, others)) // 2
         others = others[100 * bound >= self.percent * (both - bound)]
+        if self.sets is None:
+            return others
         own, found = self.sets[i], []
         for j in others.tolist():
             other = self.sets[j]
@@ -271,42 +307,63 @@ def links(
 ) -> DataFrame:
     """Exact links ``a``, ``b`` that connect every two nodes connected by links.
 
-    ``of_node`` has ``node`` and ``key``, one document of each node. Groups of
-    candidates over ``BLOCK`` nodes are dealt into blocks. Then the first node of
-    each part of a block meets all blocks, and last every node outside the
-    group's largest part does, so that no link between different parts is lost.
+    ``of_node`` has one row of ``nodes`` for each node.
     """
-    groups = components(candidates(df, text_col, words, percent)).withColumnRenamed("component", "group")
-    sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = groups.join(sizes, "group").select(
-        "node", "group", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")
-    )
-    chosen = materialise(dealt.join(of_node, "node"), "join-members")
-    few = chosen.count() <= BROADCAST_IDS
+    met = components(candidates(df, text_col, words, percent)).select(F.col("node").alias("place"), F.col("component").alias("group"))
+    placed = of_node.select("node", F.explode("places").alias("place")).join(met, "place").select("node", "group")
+
+    def with_bits(members: DataFrame) -> DataFrame:
+        return members.join(of_node.select("node", "n_shingles", F.col("bits").alias("held")), "node")
+
+    likely = components(_connecting(placed, with_bits, percent, exact=False))
+    near = likely.select("node", F.col("component").alias("group")).join(of_node.select("node", "key"), "node")
+    near = materialise(near, "join-near")
+    keys = near.select("key", "node")
+
+    def make():
+        def run(batch):
+            out = [[] for _ in range(6)]
+            for own, places in zip(sets_of(*buffer_of(batch.column("text")), words), batch.column("places").to_pylist()):
+                shown, node = own.tobytes(), node_of(own)
+                for place in places:
+                    # Of texts that share an id only those of the node.
+                    if place["node"] == node:
+                        values = (node, place["group"], place["block"], place["extra"], len(own), shown)
+                        for column, value in zip(out, values):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary())
+            names = ["node", "group", "block", "extra", "n_shingles", "held"]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds)], names=names)
+
+        return run
 
     def with_sets(members: DataFrame) -> DataFrame:
-        ids = members.groupBy("key").agg(F.collect_list(F.struct("node", "group", "block", "extra")).alias("places"))
+        place = F.struct("node", "group", "block", "extra")
+        ids = members.join(keys, "node").groupBy("key").agg(F.collect_list(place).alias("places"))
+        few = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         texts = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
         rows = texts.join(F.broadcast(ids) if few else ids, "key").select("text", "places")
+        return map_slices(rows, make, "node long, group long, block int, extra boolean, n_shingles long, held binary")
 
-        def make():
-            def run(batch):
-                out = [[] for _ in range(5)]
-                for own, places in zip(sets_of(*buffer_of(batch.column("text")), words), batch.column("places").to_pylist()):
-                    shown, node = own.tobytes(), node_of(own)
-                    for place in places:
-                        if place["node"] == node:
-                            for column, value in zip(out, (node, place["group"], place["block"], place["extra"], shown)):
-                                column.append(value)
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-                return pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(out, kinds)], names=["node", "group", "block", "extra", "own"]
-                )
+    return _connecting(near.select("node", "group"), with_sets, percent, exact=True)
 
-            return run
 
-        return map_slices(rows, make, "node long, group long, block int, extra boolean, own binary")
+def _connecting(
+    groups: DataFrame, with_held: Callable[[DataFrame], DataFrame], percent: int, exact: bool
+) -> DataFrame:
+    """Links ``a``, ``b`` that connect every two nodes of a ``group`` connected by links in it.
+
+    ``with_held`` adds ``n_shingles`` and ``held``, the set or, unless ``exact``,
+    its bitmap. Groups over ``BLOCK`` nodes are dealt into blocks. Then the first
+    node of each part of a block meets all blocks, and last every node outside
+    the group's largest part does, so that no link between different parts is lost.
+    """
+    sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = groups.join(sizes, "group").select(
+        "node", "group", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")
+    )
+    chosen = materialise(dealt, "join-members")
 
     def compare(members: DataFrame) -> DataFrame:
         def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
@@ -314,19 +371,21 @@ def links(
             extra = rows.column("extra").to_numpy(zero_copy_only=False).astype(bool)
             _, first = np.unique(np.column_stack([node, extra]), axis=0, return_index=True)
             first = first[np.argsort(extra[first], kind="stable")]
-            node, extra = node[first], extra[first]
-            owned = rows.column("own")
-            sets = [np.frombuffer(owned[int(i)].as_py(), dtype=np.uint64) for i in first]
-            compared, n = Compared(sets, percent), int(np.count_nonzero(~extra))
+            node, extra, sizes = node[first], extra[first], rows.column("n_shingles").to_numpy()[first]
+            column = rows.column("held")
+            held = [np.frombuffer(column[int(i)].as_py(), dtype=np.uint64) for i in first]
+            bitmaps = [bitmap_of(x) for x in held] if exact else held
+            compared, n = Compared(sizes, bitmaps, held if exact else None, percent), int(np.count_nonzero(~extra))
             if extra.any():
                 own = np.arange(n)
-                found = [(i, j) for i in range(n, len(sets)) for j in compared.links(i, own).tolist()]
+                found = [(i, j) for i in range(n, len(held)) for j in compared.links(i, own).tolist()]
             else:
                 found = _spread(compared, n)
             pairs = node[np.array(found, dtype=np.int64).reshape(-1, 2)]
             return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
-        return with_sets(members).groupBy("group", "block").applyInArrow(run, "a long, b long").where("a != b")
+        rows = with_held(members.select("node", "group", "block", "extra"))
+        return rows.groupBy("group", "block").applyInArrow(run, "a long, b long").where("a != b")
 
     found = materialise(compare(chosen.withColumn("extra", F.lit(False))), "join-links")
     split = chosen.where("blocks > 1")
@@ -336,7 +395,7 @@ def links(
     def joined(parts: DataFrame, outside: DataFrame) -> DataFrame:
         """Compare ``outside`` with all blocks of its groups."""
         everywhere = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        columns = ["node", "key", "group", "blocks", "block"]
+        columns = ["node", "group", "block"]
         members = split.select(*columns, F.lit(False).alias("extra")).unionByName(
             everywhere.select(*columns, F.lit(True).alias("extra"))
         )
@@ -346,7 +405,7 @@ def links(
         known = components(links_)
         return split.join(known, "node", "left").withColumn("part", F.coalesce("component", "node"))
 
-    firsts = parts_of(found).groupBy("group", "block", "part").agg(F.min_by(F.struct("node", "key", "blocks"), "node").alias("x"))
+    firsts = parts_of(found).groupBy("group", "block", "part").agg(F.min_by(F.struct("node", "blocks"), "node").alias("x"))
     found = joined(found, firsts.select("group", "x.*"))
     parted = materialise(parts_of(found), "join-parts")
     by_size = parted.groupBy("group", "part").agg(F.count("*").alias("n"))
@@ -366,9 +425,12 @@ def join(
     and null ids are kept; a null id is greater than any other. Other columns are
     left out.
     """
-    rows = materialise(nodes(df, id_col, text_col, words), "join-nodes")
+    rows = materialise(nodes(df, id_col, text_col, words, percent), "join-nodes")
     filled = rows.where("n_shingles > 0")
-    of_node = filled.groupBy("node").agg(F.min("key").alias("key"))
+    of_node = filled.groupBy("node").agg(
+        F.min("key").alias("key"), *(F.any_value(c).alias(c) for c in ("n_shingles", "places", "bits"))
+    )
+    of_node = materialise(of_node, "join-nodes")
     found = components(links(df, of_node, id_col, text_col, words, percent))
     least = of_node.join(found, "node").groupBy("component").agg(F.min("key").alias("joined"))
     of_linked = found.join(least, "component").select("node", "joined")
