@@ -19,6 +19,7 @@ def components(links: DataFrame) -> DataFrame:
     links = materialise(_tidy(links), "links")
     if links.isEmpty():
         return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    mark = _mark(links)
     while True:
         # Large star: from each node to the least around it, for its greater neighbours.
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -31,7 +32,8 @@ def components(links: DataFrame) -> DataFrame:
             .alias("link")
         ).select("link.*")
         moved = materialise(_tidy(moved), "links")
-        if _mark(moved) == _mark(links):
+        before, mark = mark, _mark(moved)
+        if mark == before:
             return moved.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 moved.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
