@@ -172,6 +172,10 @@ ORACLES: dict[str, str] = {}
 ORACLES["exact_match"] = sql(
     "SELECT row_id, CAST(prediction = expected_output AS INT) AS score FROM eval_pairs", "eval_pairs"
 )
+ORACLES["exact_match_numbers"] = (
+    "SELECT l_orderkey * 16 + l_linenumber AS row_id, "
+    "CAST(l_tax <> 0 AND CAST(l_tax AS DOUBLE) = CAST(l_discount AS DOUBLE) AS INT) AS score FROM lineitem"
+)
 ORACLES["uncased_match"] = sql(
     f"SELECT row_id, CAST({normal('prediction')} = {normal('expected_output')} AS DOUBLE) AS score "
     "FROM eval_pairs",
@@ -263,6 +267,16 @@ ORACLES["vector_topk_batch"] = sql(
     means=_MEANS.format(key="label", source="embeddings"),
 )
 
+ORACLES["vector_self_topk"] = sql(
+    "SELECT query_id, CAST(rank AS INT) AS rank, concept_id, content, round(score, 4) AS score FROM ("
+    "SELECT query_id, concept_id, content, score, row_number() OVER ("
+    "PARTITION BY query_id ORDER BY round(score, 12), concept_id) AS rank FROM ("
+    "SELECT q.concept_id AS query_id, c.concept_id, c.concept_name AS content, "
+    "1 - list_cosine_similarity(c.v, q.v) AS score "
+    "FROM vectors AS q JOIN vectors AS c ON q.concept_id <> c.concept_id)) WHERE rank <= 5",
+    "vectors",
+)
+
 ORACLES["search_term_preprocess"] = (
     "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), "
     rf"'[\s\x0b\p{{Z}}]+'), lambda w: NOT list_contains({STOPS}, w)), ' | ') AS search_term FROM documents"

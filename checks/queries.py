@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import fixtures as fx
@@ -36,6 +36,18 @@ def exact_match(t):
     return scored(fx.eval_pairs(t), metrics.ExactMatch())
 
 
+@query
+def exact_match_numbers(t):
+    """Tax against discount of each line, either no number where there is no tax."""
+    taxed = lambda c: F.when(F.col("l_tax") == 0, F.lit(float("nan"))).otherwise(F.col(c).cast("double"))
+    lines = t.lineitem.select(
+        (F.col("l_orderkey") * 16 + F.col("l_linenumber")).alias("row_id"),
+        taxed("l_tax").alias("prediction"),
+        taxed("l_discount").alias("expected_output"),
+    )
+    return scored(lines, metrics.ExactMatch())
+
+
 @query
 def uncased_match(t):
     return scored(fx.eval_pairs(t), metrics.UncasedMatch())
@@ -148,6 +160,16 @@ def vector_topk_batch(t):
     return found.withColumn("score", F.round("score", 4))
 
 
+@query
+def vector_self_topk(t):
+    """The five other concepts nearest to each concept that has a vector."""
+    own = fx.concept_embedding(t).select(F.col("concept_id").alias("query_id"), F.col("embedding").alias("vector"))
+    found = vectors.nearest_concepts_batch(own, fx.vocabulary(t), 6).filter("query_id != concept_id")
+    order = Window.partitionBy("query_id").orderBy("rank")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
+    return ranked.withColumn("score", F.round("score", 4))
+
+
 # Text search
 
 

@@ -111,7 +111,9 @@ def concept_hits(
     if not concept_synonym:
         return by_name
     synonyms = with_words(
-        vocab.concept_synonym.select("concept_id", "concept_synonym_name"),
+        vocab.concept_synonym.select("concept_id", "concept_synonym_name").join(
+            standard.select("concept_id"), "concept_id", "left_semi"
+        ),
         "concept_synonym_name",
         "words",
         dictionary,

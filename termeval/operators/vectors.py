@@ -19,18 +19,22 @@ from termeval.operators.vector_blocks import (
     top_pairs,
     unit_rows,
 )
-from termeval.operators.vector_cells import nearest_by_cells
+from termeval.operators.vector_grid import nearest_by_blocks
 from termeval.sources.vocabulary import Vocabulary
 
-# Query sets of up to this many vectors are sent whole to every task.
+# Query sets of up to this many vectors and bytes are sent whole to every task.
 BROADCAST_QUERIES = 4096
+BROADCAST_BYTES = 64 * 1024 * 1024
+
+# Ids of vectors without a concept that are broadcast at most.
+BROADCAST_IDS = 1_000_000
 
 
 def nearest_concepts(query_vector: Sequence[float], vocab: Vocabulary, n: int = 5) -> DataFrame:
     """``(concept_id, content, score)`` of the ``n`` nearest concepts, nearest first.
 
-    Vectors are reduced to their distance before the join, so that the shuffle
-    carries an id and a number instead of the vector.
+    Vectors are reduced to their distance before they meet the ids of concepts,
+    and names are joined to the ``n`` winners.
     """
     query = F.array(*(F.lit(float(x)) for x in query_vector))
     length = F.lit(float(np.linalg.norm(np.asarray(query_vector, dtype=float))))
@@ -39,13 +43,11 @@ def nearest_concepts(query_vector: Sequence[float], vocab: Vocabulary, n: int =
     scored = vocab.concept_embedding.filter(vector.isNotNull()).select(
         "concept_id", (F.lit(1.0) - similarity).alias("score")
     )
+    order = F.round("score", RANK_DECIMALS), "concept_id"
+    known = scored.join(vocab.concept.select("concept_id"), "concept_id", "left_semi")
+    best = known.orderBy(*order).limit(n)
     names = vocab.concept.select("concept_id", F.col("concept_name").alias("content"))
-    return (
-        scored.join(names, "concept_id")
-        .select("concept_id", "content", "score")
-        .orderBy(F.round("score", RANK_DECIMALS), "concept_id")
-        .limit(n)
-    )
+    return best.join(names, "concept_id").select("concept_id", "content", "score").orderBy(*order)
 
 
 def nearest_concepts_batch(queries: DataFrame, vocab: Vocabulary, n: int = 5) -> DataFrame:
@@ -53,11 +55,14 @@ def nearest_concepts_batch(queries: DataFrame, vocab: Vocabulary, n: int = 5) ->
 
     ``queries`` holds unique ``query_id`` and a ``vector``. Vectors are compared
     in matrix blocks and only the best ``n`` of a task leave it; names are joined
-    to the winners.
+    to the winners. Vectors without a concept are left out: only ids are
+    shuffled to find them, unless there are over ``BROADCAST_IDS`` of them.
     """
-    vectors = vocab.concept_embedding.filter(F.col("embedding").isNotNull()).join(
-        vocab.concept.select("concept_id"), "concept_id", "left_semi"
-    )
+    vectors = vocab.concept_embedding.filter(F.col("embedding").isNotNull())
+    lost = vectors.select("concept_id").join(vocab.concept.select("concept_id"), "concept_id", "left_anti")
+    n_lost = lost.limit(BROADCAST_IDS + 1).count()
+    if n_lost:
+        vectors = vectors.join(F.broadcast(lost) if n_lost <= BROADCAST_IDS else lost, "concept_id", "left_anti")
     queries = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
     ranked = nearest_vectors(queries, vectors, n)
     names = vocab.concept.select("concept_id", F.col("concept_name").alias("content"))
@@ -70,12 +75,14 @@ def nearest_vectors(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame
     """``(query_id, rank, concept_id, score)`` of each query's ``n`` nearest vectors.
 
     A query set of checked small size is sent to every task, and the vectors are
-    scanned once without a shuffle of their own. A larger one is joined to the
-    vectors cell by cell. Both are exact.
+    scanned once without a shuffle of their own. A larger one meets the vectors
+    block by block. Both compare all pairs by the same function. A vector with a
+    NULL, NaN or infinite element, or of length 0, has distance NaN to all, and
+    all have distance NaN to it; such pairs rank last, by id.
     """
     rows = queries.limit(BROADCAST_QUERIES + 1).toArrow()
-    if rows.num_rows > BROADCAST_QUERIES:
-        return nearest_by_cells(queries, vectors, n)
+    if rows.num_rows > BROADCAST_QUERIES or rows.nbytes > BROADCAST_BYTES:
+        return nearest_by_blocks(queries, vectors, n)
     candidates = _scan(queries.sparkSession, rows, vectors, n, queries.schema["query_id"])
     return best_per_query(candidates, n)
 

@@ -63,7 +63,15 @@ class ResultLog:
         return stored.join(completed, "run_id", "left_semi")
 
     def write_document(self, path: str) -> None:
-        """Write the runs as one JSON document, split over ordered part files.
+        """Write the scores of all runs as JSON, one scored row a line, for :func:`read_document`."""
+        heads = self.runs().select("run_id", "time", "description", "pipeline", "metric", "metric_description")
+        scored = self.scores().join(heads, ["run_id", "pipeline", "metric"])
+        # NaN has no JSON form and is written as null.
+        value = F.nanvl("value", F.lit(None).cast("double"))
+        scored.withColumn("value", value).write.option("ignoreNullFields", "false").json(path)
+
+    def write_nested_document(self, path: str) -> None:
+        """Write the runs as one nested JSON document, split over ordered part files.
 
         The part files in name order, put together, are the document.
         """
@@ -182,8 +190,20 @@ def _json_text(name: str) -> Column:
     return F.substring(wrapped, F.lit(2), F.length(wrapped) - 2)
 
 
-def read_document(spark: SparkSession, path: str) -> DataFrame:
-    """Scores of an existing result document, in long form.
+def read_document(spark: SparkSession, path: str, row_id_type: str = "bigint") -> DataFrame:
+    """Scores of documents that :meth:`ResultLog.write_document` wrote, with their runs.
+
+    Files are split between tasks; a line that is no scored row fails.
+    """
+    schema = (
+        "run_id string, experiment string, description string, time double, pipeline string, "
+        f"row_id {row_id_type}, metric string, metric_description string, value double"
+    )
+    return spark.read.schema(schema).json(path, mode="FAILFAST")
+
+
+def read_nested_document(spark: SparkSession, path: str) -> DataFrame:
+    """Scores of an existing nested result document, in long form.
 
     ``row_id`` is the position of the row within its pipeline's results. A file
     that is no whole document, such as one of several part files, fails.

@@ -152,7 +152,7 @@ def test_result_log_and_document(spark, dataset, rows, tmp_path):
     assert log.scores().count() == 6 + 9
     assert {r.experiment for r in log.scores().select("experiment").distinct().collect()} == {"007", "second"}
 
-    log.write_document(str(tmp_path / "document"))
+    log.write_nested_document(str(tmp_path / "document"))
     found = document(tmp_path / "document")
     assert [(e["Experiment"], e["Description"], e["Time"]) for e in found] == [("007", quoted, 1.5), ("second", "", 2.5)]
     (only,) = found[0]["Results"]
@@ -164,12 +164,30 @@ def test_result_log_and_document(spark, dataset, rows, tmp_path):
 
     stored = tmp_path / "results.json"
     stored.write_text(json.dumps(found))
-    back = results.read_document(spark, str(stored))
+    back = results.read_nested_document(spark, str(stored))
     assert rows(back.filter("pipeline = 'identity' AND experiment = '007'"), "row_id", "metric", "value") == rows(
         log.scores().filter("pipeline = 'identity' AND experiment = '007'"), "row_id", "metric", "value"
     )
 
 
+def test_written_documents_are_read_whole(spark, rows, tmp_path):
+    many = spark.range(2000).select(
+        F.col("id").alias("row_id"), F.col("id").cast("string").alias("input_data"), F.lit("7").alias("expected_output")
+    ).repartition(4)
+    log = results.ResultLog(spark, str(tmp_path / "log"))
+    first, second = ev.Experiment("one", [identity()], "first", time=1.5), ev.Experiment("two", [identity()], time=2.5)
+    log.append(first, first.run(many))
+    log.write_document(str(tmp_path / "document"))
+    assert len([f for f in (tmp_path / "document").iterdir() if f.name.startswith("part-")]) >= 2
+    columns = ["run_id", "experiment", "pipeline", "row_id", "metric", "value"]
+    back = results.read_document(spark, str(tmp_path / "document"))
+    assert rows(back, *columns) == rows(log.scores(), *columns) and back.count() >= 2000
+    assert {(r.description, r.time) for r in back.select("description", "time").distinct().collect()} == {("first", 1.5)}
+    log.append(second, second.run(many))
+    log.write_document(str(tmp_path / "again"))
+    assert rows(results.read_document(spark, str(tmp_path / "again")), *columns) == rows(log.scores(), *columns)
+
+
 def test_unfinished_runs_are_not_read(spark, dataset, tmp_path):
     log = results.ResultLog(spark, str(tmp_path / "log"))
     done, failed = ev.Experiment("done", [identity()]), ev.Experiment("failed", [identity()])

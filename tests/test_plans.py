@@ -52,16 +52,13 @@ def test_single_vector_query_takes_ordered(stored):
     assert "TakeOrderedAndProject" in found
 
 
-def test_copies_are_limited_before_the_shuffle(spark):
-    items = spark.createDataFrame([(1, [1.0])], "concept_id bigint, embedding array<double>")
-    found = plan(vectors_first_copies(items))
-    assert re.search(r"WindowGroupLimit.*Final[\s\S]*Exchange[\s\S]*WindowGroupLimit.*Partial", found)
-
-
-def vectors_first_copies(items):
-    from termeval.operators.vector_cells import first_copies
-
-    return first_copies(items, 3)
+def test_names_are_joined_after_the_limit(stored):
+    found = plan(vectors.nearest_concepts([1.0, 0.0, 0.0], stored, 3))
+    lines = found.splitlines()
+    depths = [len(line) - len(line.lstrip(" :+-")) for line in lines]
+    (top,) = (i for i, line in enumerate(lines) if "TakeOrderedAndProject" in line)
+    stop = next((i for i in range(top + 1, len(lines)) if depths[i] <= depths[top]), len(lines))
+    assert "concept_name" in found and not any("concept_name" in line for line in lines[top:stop])
 
 
 def test_list_counts_combine_before_each_shuffle(spark):

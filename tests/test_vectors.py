@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.errors import PySparkException
 
-from termeval.operators import vector_blocks, vector_cells, vectors
+from termeval.operators import vector_blocks, vector_grid, vectors
 from termeval.sources.vocabulary import Vocabulary
 
 
@@ -81,16 +81,31 @@ def test_scan_equals_brute_force(spark, n):
     assert sorted(map(tuple, found.collect())) == brute_force(asked, items, n)
 
 
-@pytest.mark.parametrize("n, cell_rows, block_rows", [(3, 8, 7), (1, 1, 1000), (120, 20, 16), (2, 1000, 9)])
-def test_cells_equal_brute_force(spark, n, cell_rows, block_rows):
+@pytest.mark.parametrize("n, block_rows", [(3, 7), (1, 1000), (120, 16), (2, 9)])
+def test_blocks_equal_brute_force(spark, n, block_rows):
     asked, items = made(5, 30, copies=15), made(6, 60, copies=40)
     queries, frame = frames(spark, asked, items)
-    found = vector_cells.nearest_by_cells(queries, frame, n, cell_rows, block_rows)
+    found = vector_grid.nearest_by_blocks(queries, frame, n, block_rows)
     found = found.select("query_id", "rank", "concept_id")
     assert sorted(map(tuple, found.collect())) == brute_force(asked, items, n)
 
 
-def test_large_query_sets_go_by_cells(spark, monkeypatch):
+def test_both_ways_agree_on_improper_vectors(spark):
+    odd = [[math.nan] + [1.0] * 63, [None] + [1.0] * 63, [0.0] * 64, [math.inf] + [1.0] * 63]
+    asked = made(10, 40, dim=64) + [(900 + i, v) for i, v in enumerate(odd)]
+    items = made(11, 300, dim=64) + [(-1 - i, v) for i, v in enumerate(odd)]
+    queries, frame = frames(spark, asked, items)
+    columns = ["query_id", "rank", "concept_id"]
+    scanned = sorted(map(tuple, vectors.nearest_vectors(queries, frame, 5).select(*columns).collect()))
+    blocks = vector_grid.nearest_by_blocks(queries, frame, 5, 50).select(*columns)
+    assert scanned == sorted(map(tuple, blocks.collect()))
+    assert len(scanned) == 5 * len(asked)
+    proper = [(q, v) for q, v in asked if q < 40]
+    assert [r for r in scanned if r[0] < 40] == brute_force(proper, [x for x in items if 0 <= x[0] < 300], 5)
+    assert [r[2] for r in scanned if r[0] == 900] == [-4, -3, -2, -1, 0]
+
+
+def test_large_query_sets_go_by_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BROADCAST_QUERIES", 10)
     asked, items = made(7, 20), made(8, 40)
     queries, frame = frames(spark, asked, items)
@@ -98,15 +113,9 @@ def test_large_query_sets_go_by_cells(spark, monkeypatch):
     assert sorted(map(tuple, found.collect())) == brute_force(asked, items, 2)
 
 
-def test_cells_without_vectors(spark):
+def test_blocks_without_vectors(spark):
     queries, items = frames(spark, made(9, 3), [])
-    assert vector_cells.nearest_by_cells(queries, items, 2).collect() == []
-
-
-def test_copies_are_limited_per_vector(spark):
-    _, items = frames(spark, [(1, [1.0])], [(i, [1.0, 2.0]) for i in range(100)] + [(200, [2.0, 1.0])])
-    kept = vector_cells.first_copies(items, 3)
-    assert sorted(r.concept_id for r in kept.collect()) == [0, 1, 2, 200]
+    assert vector_grid.nearest_by_blocks(queries, items, 2).collect() == []
 
 
 def test_vectors_of_different_length_fail(spark):
