@@ -2,47 +2,91 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termeval.durable import materialise
 
+# Links a task gathers before it reduces and hands them on.
+GATHERED = 1_000_000
+
 
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``component``: the least node reachable, of every node in a link.
 
     ``links`` has columns ``a`` and ``b``. Alternates between giving each node's
     greater neighbours, and then its lesser ones, the least node around it, until
-    nothing moves; the number of rounds grows with the logarithm of the longest
-    path. Neighbours are never gathered: each step is a minimum and a join.
+    every node has one link, to a node that has none; the number of rounds grows
+    with the logarithm of the longest path. Neighbours are never gathered: each
+    step is a minimum and a join. Before links are shuffled, each task reduces
+    those it has to one for each node.
     """
     links = materialise(_tidy(links), "links")
-    if links.isEmpty():
-        return links.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    mark = _mark(links)
-    while True:
+    while not _settled(links):
         # Large star: from each node to the least around it, for its greater neighbours.
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = _tidy(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: the same for its lesser neighbours and itself.
         lesser = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(lesser, "a").select(
             F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
             .alias("link")
         ).select("link.*")
-        moved = materialise(_tidy(moved), "links")
-        before, mark = mark, _mark(moved)
-        if mark == before:
-            return moved.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
-                moved.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-            )
-        links = moved
+        links = materialise(_tidy(moved), "links")
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+        links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    )
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A link from each node of these links to the least it reaches by them."""
+    names, places = np.unique(np.concatenate([a, b]), return_inverse=True)
+    one, other = places[: len(a)], places[len(a) :]
+    least = np.arange(len(names))
+    while True:
+        before = least.copy()
+        x, y = least[one], least[other]
+        # Both ends and what they pointed at take the lesser of the two.
+        low = np.minimum(x, y)
+        for at in (one, other, x, y):
+            np.minimum.at(least, at, low)
+        while not np.array_equal(further := least[least], least):
+            least = further
+        if np.array_equal(least, before):
+            break
+    moved = np.flatnonzero(least != np.arange(len(names)))
+    return names[moved], names[least[moved]]
 
 
 def _tidy(links: DataFrame) -> DataFrame:
-    return links.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    """Distinct links ``a > b`` that connect the same nodes."""
+
+    def reduced(batches):
+        held, size = [], 0
+
+        def out():
+            a, b = _forest(*(np.concatenate(x) for x in zip(*held)))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+        for batch in batches:
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            size += batch.num_rows
+            if size > GATHERED:
+                yield out()
+                held, size = [], 0
+        if size:
+            yield out()
+
+    proper = links.select("a", "b").where("a != b")
+    return proper.mapInArrow(reduced, "a long, b long").distinct()
 
 
-def _mark(links: DataFrame) -> tuple:
-    return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
+def _settled(links: DataFrame) -> bool:
+    """Whether every node has one link at most, and none if it ends one."""
+    begun = links.select(F.col("a").alias("node"), F.lit(1).alias("begins"), F.lit(0).alias("ends"))
+    ended = links.select(F.col("b").alias("node"), F.lit(0).alias("begins"), F.lit(1).alias("ends"))
+    by_node = begun.unionByName(ended).groupBy("node").agg(F.sum("begins").alias("begins"), F.max("ends").alias("ends"))
+    return by_node.where("begins > 1 or (begins > 0 and ends > 0)").isEmpty()

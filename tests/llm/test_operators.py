@@ -236,6 +236,32 @@ def brute_components(rows):
     return {doc: (len(sets[doc]), root(doc)) for doc in sets}
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_chains_hubs_and_repeats(spark, seed):
+    rng = random.Random(seed)
+    names = rng.sample(range(-(10**9), 10**9), 600)
+    edges = [(names[i], names[i + 1]) for i in range(0, 300) if i % 50 != 49]  # long paths
+    edges += [(names[400], x) for x in names[401:500]]  # a hub
+    edges += [(names[i], names[rng.randrange(500, 600)]) for i in range(500, 600)]
+    edges += edges[:40] + [(names[0], names[0])]
+    rng.shuffle(edges)
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    links = spark.createDataFrame(edges, "a long, b long").repartition(16)
+    found = {r["node"]: r["component"] for r in components.components(links).collect()}
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    assert found == {x: root(x) for x in linked}
+    assert components.components(links.limit(0)).collect() == []
+
+
 def near_copies(seed):
     rng = random.Random(seed)
     rows = []
