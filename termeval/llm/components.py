@@ -16,26 +16,19 @@ GATHERED = 1_000_000
 def components(links: DataFrame) -> DataFrame:
     """``node``, ``component``: the least node reachable, of every node in a link.
 
-    ``links`` has columns ``a`` and ``b``. Alternates between giving each node's
-    greater neighbours, and then its lesser ones, the least node around it, until
-    every node has one link, to a node that has none; the number of rounds grows
-    with the logarithm of the longest path. Neighbours are never gathered: each
-    step is a minimum and a join. Before links are shuffled, each task reduces
-    those it has to one for each node.
+    ``links`` has columns ``a`` and ``b``; null ends are left out. Each round gives
+    a link's lesser end way to the least node below it, by a join, and then connects
+    all that one node has links to, until every node has one link, to a node that
+    has none. The number of rounds grows with the logarithm of the longest path.
+    Each task reduces the links it has to one for each node before they are dealt by
+    node, so a node never brings more links together than tasks wrote.
     """
     links = materialise(_tidy(links), "links")
     while not _settled(links):
-        # Large star: from each node to the least around it, for its greater neighbours.
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # Small star: the same for its lesser neighbours and itself.
-        lesser = large.groupBy("a").agg(F.min("b").alias("m"))
-        moved = large.join(lesser, "a").select(
-            F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b"))))
-            .alias("link")
-        ).select("link.*")
+        least = links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        moved = links.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         links = materialise(_tidy(moved), "links")
+    links = links.distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
@@ -62,31 +55,37 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tidy(links: DataFrame) -> DataFrame:
-    """Distinct links ``a > b`` that connect the same nodes."""
+    """Links ``a > b`` that connect the same nodes, after all links of one ``a`` have met."""
 
     def reduced(batches):
         held, size = [], 0
-
-        def out():
-            a, b = _forest(*(np.concatenate(x) for x in zip(*held)))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
         for batch in batches:
             held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
             size += batch.num_rows
             if size > GATHERED:
-                yield out()
-                held, size = [], 0
+                a, b = (np.concatenate(x) for x in zip(*held))
+                # The links of the last node may go on in the next batch.
+                cut = int(np.flatnonzero(a != a[-1])[-1]) + 1 if (a != a[-1]).any() else 0
+                if cut:
+                    yield _batch(*_forest(a[:cut], b[:cut]))
+                held, size = [(a[cut:], b[cut:])], len(a) - cut
         if size:
-            yield out()
+            yield _batch(*_forest(*(np.concatenate(x) for x in zip(*held))))
+
+    kind = "a long, b long"
+    met = links.select("a", "b").where("a != b").mapInArrow(reduced, kind).repartition("a").sortWithinPartitions("a")
+    return met.mapInArrow(reduced, kind)
 
-    proper = links.select("a", "b").where("a != b")
-    return proper.mapInArrow(reduced, "a long, b long").distinct()
+
+def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _settled(links: DataFrame) -> bool:
-    """Whether every node has one link at most, and none if it ends one."""
-    begun = links.select(F.col("a").alias("node"), F.lit(1).alias("begins"), F.lit(0).alias("ends"))
-    ended = links.select(F.col("b").alias("node"), F.lit(0).alias("begins"), F.lit(1).alias("ends"))
-    by_node = begun.unionByName(ended).groupBy("node").agg(F.sum("begins").alias("begins"), F.max("ends").alias("ends"))
-    return by_node.where("begins > 1 or (begins > 0 and ends > 0)").isEmpty()
+    """Whether every node has links to one node at most, and to none if it ends one."""
+    begun = links.select(F.col("a").alias("node"), "b")
+    ended = links.select(F.col("b").alias("node"), F.lit(None).cast("long").alias("b"))
+    by_node = begun.unionByName(ended).groupBy("node").agg(
+        F.min("b").alias("least"), F.max("b").alias("most"), F.max(F.col("b").isNull()).alias("ends")
+    )
+    return by_node.where("least < most or (least is not null and ends)").isEmpty()

@@ -239,7 +239,7 @@ def candidates(df: DataFrame, text_col: str, words: int = WORDS, percent: int =
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     packs = df.select(F.col(text_col).alias("text")).mapInArrow(gather, "bucket int, one binary, other binary")
-    return packs.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
+    return packs.groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 class Compared:

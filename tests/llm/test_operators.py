@@ -236,9 +236,10 @@ def brute_components(rows):
     return {doc: (len(sets[doc]), root(doc)) for doc in sets}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_components_of_chains_hubs_and_repeats(spark, seed):
-    rng = random.Random(seed)
+@pytest.mark.parametrize("gathered", [1_000_000, 7])
+def test_components_of_chains_hubs_and_repeats(spark, monkeypatch, gathered):
+    monkeypatch.setattr(components, "GATHERED", gathered)
+    rng = random.Random(1)
     names = rng.sample(range(-(10**9), 10**9), 600)
     edges = [(names[i], names[i + 1]) for i in range(0, 300) if i % 50 != 49]  # long paths
     edges += [(names[400], x) for x in names[401:500]]  # a hub
