@@ -11,6 +11,7 @@ from termeval.durable import materialise
 
 # Links a task gathers before it reduces and hands them on.
 GATHERED = 1_000_000
+KIND = "a long, b long"
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,14 +21,15 @@ def components(links: DataFrame) -> DataFrame:
     a link's lesser end way to the least node below it, by a join, and then connects
     all that one node has links to, until every node has one link, to a node that
     has none. The number of rounds grows with the logarithm of the longest path.
-    Each task reduces the links it has to one for each node before they are dealt by
-    node, so a node never brings more links together than tasks wrote.
+    Each task has at most one link for each node, at first and after each round, before
+    links are dealt by node, so a node brings together no more links than tasks wrote.
     """
-    links = materialise(_tidy(links), "links")
+    proper = links.select("a", "b").where("a != b")
+    links = materialise(_met(proper.mapInArrow(_reduced, KIND)), "links")
     while not _settled(links):
         least = links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
         moved = links.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
-        links = materialise(_tidy(moved), "links")
+        links = materialise(_met(moved), "links")
     links = links.distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
@@ -54,27 +56,26 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[moved], names[least[moved]]
 
 
-def _tidy(links: DataFrame) -> DataFrame:
+def _reduced(batches):
+    """The links of a task, reduced to one for each node of at most about ``GATHERED`` links."""
+    held, size = [], 0
+    for batch in batches:
+        held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+        size += batch.num_rows
+        if size > GATHERED:
+            a, b = (np.concatenate(x) for x in zip(*held))
+            # The links of the last node may go on in the next batch.
+            cut = int(np.flatnonzero(a != a[-1])[-1]) + 1 if (a != a[-1]).any() else 0
+            if cut:
+                yield _batch(*_forest(a[:cut], b[:cut]))
+            held, size = [(a[cut:], b[cut:])], len(a) - cut
+    if size:
+        yield _batch(*_forest(*(np.concatenate(x) for x in zip(*held))))
+
+
+def _met(links: DataFrame) -> DataFrame:
     """Links ``a > b`` that connect the same nodes, after all links of one ``a`` have met."""
-
-    def reduced(batches):
-        held, size = [], 0
-        for batch in batches:
-            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
-            size += batch.num_rows
-            if size > GATHERED:
-                a, b = (np.concatenate(x) for x in zip(*held))
-                # The links of the last node may go on in the next batch.
-                cut = int(np.flatnonzero(a != a[-1])[-1]) + 1 if (a != a[-1]).any() else 0
-                if cut:
-                    yield _batch(*_forest(a[:cut], b[:cut]))
-                held, size = [(a[cut:], b[cut:])], len(a) - cut
-        if size:
-            yield _batch(*_forest(*(np.concatenate(x) for x in zip(*held))))
-
-    kind = "a long, b long"
-    met = links.select("a", "b").where("a != b").mapInArrow(reduced, kind).repartition("a").sortWithinPartitions("a")
-    return met.mapInArrow(reduced, kind)
+    return links.repartition("a").sortWithinPartitions("a").mapInArrow(_reduced, KIND)
 
 
 def _batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:

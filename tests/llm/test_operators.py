@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,9 +237,17 @@ def brute_components(rows):
     return {doc: (len(sets[doc]), root(doc)) for doc in sets}
 
 
-@pytest.mark.parametrize("gathered", [1_000_000, 7])
-def test_components_of_chains_hubs_and_repeats(spark, monkeypatch, gathered):
-    monkeypatch.setattr(components, "GATHERED", gathered)
+def test_links_are_cut_between_nodes(monkeypatch):
+    monkeypatch.setattr(components, "GATHERED", 7)
+    rows = sorted((i % 9 + 10, i % 4) for i in range(60))
+    batches = [components._batch(*np.array(rows[i : i + 5]).T.copy()) for i in range(0, 60, 5)]
+    out = [x.to_pydict() for x in components._reduced(batches)]
+    assert len(out) > 1
+    firsts = [set(x["a"]) & set(range(10, 19)) for x in out]
+    assert set().union(*firsts) == set(range(10, 19)) and sum(map(len, firsts)) == 9
+
+
+def test_components_of_chains_hubs_and_repeats(spark):
     rng = random.Random(1)
     names = rng.sample(range(-(10**9), 10**9), 600)
     edges = [(names[i], names[i + 1]) for i in range(0, 300) if i % 50 != 49]  # long paths
