@@ -25,8 +25,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the least id of each group of near copies."""
-    joined = shingle_join.join(docs)
+    """The document with the least id of each group of near copies: texts that share 80 % of all five-word shingles of both."""
+    joined = shingle_join.join(docs, words=5, percent=80)
     return without(docs, joined.where("component_id < doc_id"))
 
 

@@ -36,3 +36,14 @@ def test_stages(spark):
     assert final.keys() == clean
     assert all(r.decoded_sha256 == hashlib.sha256(texts[4][d].encode()).hexdigest() for d, r in final.items())
     assert all(r.n_tokens == len(r.ids) for r in final.values())
+
+
+def test_near_copies_of_four_fifths_go(spark):
+    def text(name, n, *edits):
+        return " ".join(f"{name}{i}" if i not in edits else f"new{i}" for i in range(n))
+
+    # Five-word likeness 86/106, 80/100 and 79/99; all three are under 85 % on four words.
+    rows = [(1, text("a", 100)), (2, text("a", 100, 30, 60)), (3, text("b", 94)), (4, text("b", 94, 30, 60))]
+    rows += [(5, text("c", 93)), (6, text("c", 93, 30, 60))]
+    kept = corpus_pipeline.drop_near_copies(spark, spark.createDataFrame(rows, "doc_id long, text string"), FOLDER)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 5, 6]
