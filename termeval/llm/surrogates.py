@@ -68,11 +68,14 @@ def kind(surface: Column) -> Column:
 
 
 def canonical(surface: Column, of_kind: Column) -> Column:
-    """What forms of one entity share: letters in lower case and digits; of a name all but the title."""
+    """What forms of one entity share: letters in lower case and digits; of a name all but the title,
+    with the blank that tells a given name and a family name from one word."""
     titled = F.regexp_replace(surface, r"^\p{L}+\.?[ \x{A0}]", "")
     plain = F.when(of_kind.startswith("name"), titled).otherwise(surface)
     # Dots tell addresses apart.
-    kept = F.when(of_kind.isin("ip", "email"), F.lower(plain))
+    kept = F.when(of_kind.isin("ip", "email"), F.lower(plain)).when(
+        of_kind.startswith("name"), F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N} ]", "")
+    )
     return F.coalesce(kept, F.regexp_replace(F.lower(plain), r"[^\p{L}\p{N}]", ""))
 
 
@@ -135,9 +138,9 @@ def _surrogate(key: str, of_kind: Column, canon: Column, attempt: Column) -> Col
         family = F.array_join(
             F.transform(F.sequence(F.lit(1), F.lit(3) + F.floor(attempt / 4).cast("int")), lambda i: _picked(syllables, at(i))), ""
         )
-        found = F.when(
-            of_kind == f"name {gender} {script}", F.concat(_picked(given, at(0)), F.lit(" "), F.initcap(family))
-        ).otherwise(found)
+        # A name of one word after the title is a family name.
+        before = F.when(canon.contains(" "), F.concat(_picked(given, at(0)), F.lit(" "))).otherwise("")
+        found = F.when(of_kind == f"name {gender} {script}", F.concat(before, F.initcap(family))).otherwise(found)
     return found
 
 
@@ -146,10 +149,12 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     ``entities`` has distinct ``kind`` and ``canon``. Entities whose surrogate is
     taken, or is an entity itself, draw again; the least of those that draw the
-    same keeps it.
+    same keeps it. Names of all genders and scripts count as one kind here. A
+    surrogate is what is shown, so for a name of one word the family name alone.
     """
     pending = materialise(entities.withColumn("attempt", F.lit(0)), "entities")
-    originals = pending.select("kind", F.lower("canon").alias("form"))
+    alike = F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind"))
+    originals = pending.select(alike.alias("alike"), F.lower("canon").alias("form"))
     given, draws = None, 0
     while not pending.isEmpty():
         draws += 1
@@ -157,28 +162,26 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
             raise ValueError("there are more entities than surrogates of their format")
         drawn = pending.withColumn(
             "surrogate", _surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))
-        ).withColumn("form", F.lower("surrogate"))
+        ).withColumns({"alike": alike, "form": F.lower("surrogate")})
         drawn = materialise(drawn, "surrogates")
-        winners = drawn.groupBy("kind", "form").agg(F.min("canon").alias("canon"))
-        won = drawn.join(winners, ["kind", "form", "canon"], "left_semi").join(originals, ["kind", "form"], "left_anti")
+        winners = drawn.groupBy("alike", "form").agg(F.min(F.struct("kind", "canon")).alias("first"))
+        winners = winners.select("alike", "form", "first.*")
+        won = drawn.join(winners, ["alike", "form", "kind", "canon"], "left_semi").join(originals, ["alike", "form"], "left_anti")
         if given is not None:
-            won = won.join(given, ["kind", "form"], "left_anti")
-        won = materialise(won.select("kind", "canon", "surrogate", "form"), "surrogates")
+            won = won.join(given, ["alike", "form"], "left_anti")
+        won = materialise(won.select("kind", "canon", "surrogate", "alike", "form"), "surrogates")
         pending = materialise(
             pending.join(won, ["kind", "canon"], "left_anti").withColumn("attempt", F.col("attempt") + 1), "entities"
         )
         given = won if given is None else given.unionByName(won)
     empty = entities.select("kind", "canon", F.col("canon").alias("surrogate")).limit(0)
-    return empty if given is None else given.drop("form")
+    return empty if given is None else given.drop("alike", "form")
 
 
 def rendered(surface: Column, of_kind: Column, surrogate: Column) -> Column:
     """The surrogate in the form of ``surface``: its separators, its cases, its title."""
     title = F.regexp_extract(surface, r"^\p{L}+\.?[ \x{A0}]", 0)
-    family = F.substring_index(surrogate, " ", -1)
-    # A name of one word after the title is a family name.
-    single = ~F.substring(surface, F.length(title) + 1, F.length(surface)).contains(" ")
-    name = F.concat(title, F.when(single, family).otherwise(surrogate))
+    name = F.concat(title, surrogate)
     letters = F.regexp_replace(surrogate, r"[^\p{L}\p{N}]", "")
     places = F.sequence(F.lit(1), F.length(surface))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import random
 
@@ -113,6 +114,22 @@ def test_colliding_surrogates_are_drawn_again(spark):
     assert not {r.surrogate for r in rows} & {r.canon for r in rows}
 
 
+def test_names_of_one_word_stay_different(spark):
+    spelt = ["".join(x).capitalize() for x in itertools.product("bdgk", "aeiou", "lmnr", "aeiou", "st", "ao")]
+    rows = [(i, f"{('Mr', 'Herr', 'Frau')[i % 3]} {x}") for i, x in enumerate(spelt)]
+    shown = [r.text.split(" ", 1)[1] for r in surrogates.replace(frame(spark, rows), "k").collect()]
+    assert len(set(shown)) == len(spelt) == 1600 and not {" "} & set("".join(shown))
+
+
+def test_no_real_name_is_brought_in(spark):
+    rows = [(1, "Mr John Smith"), (2, "Herr Weber")]
+    first = {r.doc_id: r.text for r in surrogates.replace(frame(spark, rows), "k").collect()}
+    both = surrogates.replace(frame(spark, [*rows, (3, first[1]), (4, first[2])]), "k").collect()
+    shown = [r.text.split(" ", 1)[1] for r in both]
+    real = {x.split(" ", 1)[1] for x in ("Mr John Smith", "Herr Weber", first[1], first[2])}
+    assert len(set(shown)) == 4 and not real & set(shown)
+
+
 # Toxicity
 
 
