@@ -39,7 +39,7 @@ _NAME = r"[ \x{A0}](?:\p{Lu}[\p{L}'’-]+)(?: \p{Lu}[\p{L}'’-]+)?"
 # The kinds of entity; of two that start in one place the first is taken.
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
-    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=\b(?:password|token|secret|api_key)[ ]{0,2}[=:][ ]{0,2}\"?)[A-Za-z0-9+/_-]{8,}",
+    "secret": r"\bAKIA[0-9A-Z]{16}\b|(?<=\b(?i:password|token|secret|api_key)[ ]{0,2}[=:][ ]{0,2}\"?)[A-Za-z0-9+/_-]{8,}",
     "card": r"(?<![\d.])\d{4}([ -]?)\d{4}\1\d{4}\1\d{4}(?![\d.]\d|\d)",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\w.-])(?:\(\d{3}\) ?|\d{3}[.-])\d{3}[.-]\d{4}(?![\w-])",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
@@ -54,7 +54,9 @@ UNIT = r"[\p{L}\p{N}]"
 # Draws before the surrogates of a format count as used up.
 MOST_DRAWS = 60
 # Every entity holds one of these; a text without any needs no further search.
-SIGNS = [*(title for titles in TITLES.values() for title in titles), "password", "token", "secret", "api_key"]
+SIGNS = [*(title for titles in TITLES.values() for title in titles), "AKIA"]
+# Or one of these, in any case.
+KEYWORDS = ["password", "token", "secret", "api_key"]
 
 
 def kind(surface: Column) -> Column:
@@ -208,6 +210,8 @@ def replace(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "te
     signs = text.rlike("[0-9@]")
     for sign in SIGNS:
         signs = signs | text.contains(sign)
+    for keyword in KEYWORDS:
+        signs = signs | F.lower(text).contains(keyword)
     has = F.coalesce(signs & text.rlike(ENTITY), F.lit(False))
     plain = df.where(~has).withColumn("n_entities", F.lit(0))
     # Few texts hold an entity; only these are written, dealt and joined.
