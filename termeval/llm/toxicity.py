@@ -9,14 +9,15 @@ log-likelihood ratio per letter, per square root of its length, and that of its
 most telling passage; a logistic fit on texts the models have not seen turns
 them into a score.
 
-Letters are folded to 32 symbols, so at most 2**25 five-letter counts exist,
-whatever the size of the corpus. That bounds what the driver and each task hold.
+Letters of all scripts are themselves, in lower case. The model is a table of
+n-grams, which grows with the corpus; hashes of 64 bits stand for n-grams. Texts
+are scored in buckets of bounded size, each of which gets the ratios of its own
+n-grams by a join.
 """
 
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,226 +27,201 @@ from pyspark.sql import functions as F
 
 from termeval.durable import materialise
 from termeval.llm.language import _points
-from termeval.llm.shared import fold, map_slices, slices
+from termeval.llm.shared import ODD, fold, map_slices, mixed
 
-BITS, ORDER = 5, 5
-CODES = 1 << (BITS * ORDER)
-HISTORIES = CODES >> BITS
+ORDER = 5
 DISCOUNT = 0.75
 # Letters in the most telling passage.
 PASSAGE = 32
-# Ratios are kept as 16-bit numbers of this many steps per unit.
-STEPS = 1024
-# Counts are summed in so many ranges of codes.
-RANGES = 1024
+# Bytes of text scored together, save for a single longer text.
+BUCKET_BYTES = 4_000_000
 # Up to so many labels are sent to every task; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 # Rows the logistic fit takes at most: a bounded sample of labelled texts, by hash of the id.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
+# An n-gram's hash, and those of its history and of its ends with their histories.
+GRAMS = ["g5", "h4", "g4", "h3", "g3", "h2", "g2", "h1", "g1"]
 
 
 @lru_cache(maxsize=1)
 def symbols() -> np.ndarray:
-    """The symbol of each code point: 0 blank, 1-26 letters without marks, 27 digits, 28-30 other letters, 31 the rest."""
-    found = np.full(0x110000, 31, dtype=np.uint8)
+    """The symbol of each code point: 0 a blank, one for all digits, else itself in lower case."""
+    found = np.arange(0x110000, dtype=np.uint32)
     for p in range(0x110000):
         c = chr(p)
-        kind = unicodedata.category(c)[0]
+        lower = c.lower()
         if c.isspace():
             found[p] = 0
-        elif kind == "L":
-            base = unicodedata.normalize("NFD", c)[0].lower()
-            found[p] = ord(base) - 96 if "a" <= base <= "z" else 28 + p % 3
-        elif kind == "N":
-            found[p] = 27
-        elif kind == "M":
-            found[p] = 0
+        elif unicodedata.category(c)[0] == "N":
+            found[p] = ord("0")
+        elif len(lower) == 1:
+            found[p] = ord(lower)
     return found
 
 
-def codes_of(points: np.ndarray) -> np.ndarray:
-    """The code of every letter with the four before it; runs of blanks count as one."""
-    own = symbols()[points].astype(np.uint32)
+def hashes_of(points: np.ndarray) -> list[np.ndarray]:
+    """Of each length up to ``ORDER`` the hashes of the n-grams that end at each letter, and first of
+    that before the text; runs of blanks count as one."""
+    own = symbols()[points]
     if len(own):
         own = own[np.concatenate([[True], (own[1:] != 0) | (own[:-1] != 0)])]
-    padded = np.concatenate([np.zeros(ORDER - 1, dtype=np.uint32), own])
-    n = len(own)
-    codes = padded[:n].copy()
-    for i in range(1, ORDER):
-        codes <<= np.uint32(BITS)
-        codes |= padded[i : i + n]
-    return codes
-
-
-def _summed(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(codes, kind="stable")
-    codes, counts = codes[order], counts[order]
-    edges = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
-    return codes[edges], np.add.reduceat(counts, edges) if len(edges) else counts
+    padded = np.concatenate([np.zeros(ORDER, dtype=np.uint64), own.astype(np.uint64)]) + np.uint64(1)
+    n = len(own) + 1
+    total, found = np.zeros(n, dtype=np.uint64), []
+    for i in range(ORDER):
+        power = np.uint64(pow(int(ODD), i, 1 << 64))
+        total = total + padded[ORDER - 1 - i : ORDER - 1 - i + n] * power
+        found.append(mixed(total + np.uint64(i + 1)).view(np.int64))
+    return found
 
 
 def count(texts: DataFrame) -> DataFrame:
-    """How often each code occurs: ``part``, ``range``, ``codes binary``, ``counts binary``.
+    """How often each n-gram occurs: ``GRAMS``, ``part`` and ``n``.
 
-    ``texts`` has ``text`` and ``part``, a small number by which counts are kept
-    apart. Every task sums its own counts, then they are summed by ranges.
+    ``texts`` has ``text`` and ``part``, a small number by which counts are kept apart.
     """
 
-    def run(batches):
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for batch in slices(batches):
-            by_part: dict[int, list[np.ndarray]] = {}
-            for part, points in zip(batch.column("part").to_pylist(), _points(batch)):
-                by_part.setdefault(part, []).append(codes_of(points))
-            for part, found in by_part.items():
-                codes = np.sort(np.concatenate(found))
-                edges = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, int)
-                codes, counts = codes[edges], np.diff(np.append(edges, len(codes))).astype(np.int64)
-                if part in held:
-                    codes = np.concatenate([held[part][0], codes])
-                    counts = np.concatenate([held[part][1], counts])
-                    codes, counts = _summed(codes, counts)
-                held[part] = codes, counts
-        for part, (codes, counts) in held.items():
-            yield from _ranges(part, codes, counts)
-
-    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        # One range holds at most CODES / RANGES codes, however many tasks counted.
-        for row in batches:
-            for a, b in zip(row.column("codes").to_pylist(), row.column("counts").to_pylist()):
-                codes = np.concatenate([codes, np.frombuffer(a, dtype=np.uint32)])
-                counts = np.concatenate([counts, np.frombuffer(b, dtype=np.int64)])
-            codes, counts = _summed(codes, counts)
-        yield next(_ranges(key[0].as_py(), codes, counts))
-
-    schema = "part int, range int, codes binary, counts binary"
-    return texts.mapInArrow(run, schema).groupBy("part", "range").applyInArrow(merge, schema)
-
-
-def _ranges(part: int, codes: np.ndarray, counts: np.ndarray):
-    own = codes // np.uint32(CODES // RANGES)
-    edges = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, int)
-    ends = np.append(edges[1:], len(own))
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([part] * len(edges), pa.int32()),
-            pa.array(own[edges].astype(np.int32)),
-            pa.array([codes[a:b].tobytes() for a, b in zip(edges, ends)], pa.binary()),
-            pa.array([counts[a:b].tobytes() for a, b in zip(edges, ends)], pa.binary()),
-        ],
-        names=["part", "range", "codes", "counts"],
+    def make():
+        def run(batch):
+            parts = batch.column("part").to_pylist()
+            made = []
+            for part in sorted(set(parts)):
+                found = [hashes_of(x) for x, own in zip(_points(batch), parts) if own == part]
+                ends = [np.concatenate([x[k][1:] for x in found]) for k in range(ORDER)]
+                before = [np.concatenate([x[k][:-1] for x in found]) for k in range(ORDER)]
+                _, first, n = np.unique(ends[-1], return_index=True, return_counts=True)
+                columns = [ends[-1][first]]
+                for k in range(ORDER - 1, 0, -1):
+                    columns += [before[k - 1][first], ends[k - 1][first]]
+                made.append([*columns, np.full(len(n), part), n])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x), pa.int64()) for x in zip(*made)], names=[*GRAMS, "part", "n"]
+            )
+
+        return run
+
+    schema = ", ".join(f"{x} long" for x in [*GRAMS, "part", "n"])
+    return (
+        map_slices(texts, make, schema)
+        .groupBy("g5", "part")
+        .agg(F.sum("n").alias("n"), *(F.any_value(x).alias(x) for x in GRAMS[1:]))
     )
 
 
-def _shared(codes: np.ndarray) -> np.ndarray:
-    """The shared probability of each four-letter code's last letter, from kinds of letters before it."""
-    probability = np.full(1 << BITS, 1.0 / (1 << BITS))
-    kinds = [np.bincount(codes & np.uint32(HISTORIES - 1), minlength=HISTORIES)]
-    for order in range(ORDER - 2, 0, -1):
-        types = np.flatnonzero(kinds[0])
-        kinds.insert(0, np.bincount(types & ((1 << (BITS * order)) - 1), minlength=1 << (BITS * order)))
-    for found in kinds:
-        by_history = found.reshape(-1, 1 << BITS)
-        total = by_history.sum(axis=1, keepdims=True)
-        rest = np.where(total > 0, DISCOUNT * (by_history > 0).sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
-        # A history's shorter form drops its first letter: codes repeat with that period.
-        lower = np.tile(probability, found.size // probability.size).reshape(by_history.shape)
-        own = np.maximum(by_history - DISCOUNT, 0) / np.maximum(total, 1)
-        probability = (own + rest * lower).reshape(-1)
-    return probability
-
-
-def ratios(codes: np.ndarray, toxic: np.ndarray, ordinary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Log ratios of the two models: of each of ``codes``, and of any other code by its history."""
-    shared = _shared(codes)[codes & np.uint32(HISTORIES - 1)] if len(codes) else np.zeros(0)
-    history = codes >> np.uint32(BITS)
-    logs, rests = [], []
-    for counts in (toxic, ordinary):
-        total = np.bincount(history, weights=counts, minlength=HISTORIES)
-        kinds = np.bincount(history, weights=counts > 0, minlength=HISTORIES)
-        rest = np.where(total > 0, DISCOUNT * kinds / np.maximum(total, 1), 1.0)
-        own = np.maximum(counts - DISCOUNT, 0) / np.maximum(total[history], 1)
-        logs.append(np.log(own + rest[history] * shared))
-        rests.append(np.log(rest))
-    return logs[0] - logs[1], rests[0] - rests[1]
+def _shared(grams: DataFrame) -> DataFrame:
+    """``g4`` and ``shared``, the shared probability of its last letter, from kinds of letters before it."""
+    kinds, above = {}, grams
+    for k in range(ORDER - 1, 0, -1):
+        rest = GRAMS[GRAMS.index(f"g{k}") + 1 :]
+        above = above.groupBy(f"g{k}").agg(F.count("*").alias("kinds"), *(F.any_value(x).alias(x) for x in rest))
+        above = kinds[k] = materialise(above, "letter-kinds")
+    total, letters = kinds[1].agg(F.sum("kinds"), F.count("*")).first()
+    # One more stands for all letters that were never seen.
+    even = DISCOUNT * letters / max(total or 0, 1) / (letters + 1)
+    found = kinds[1].select("g1", (F.greatest(F.col("kinds") - DISCOUNT, F.lit(0.0)) / max(total or 0, 1) + even).alias("shared"))
+    for k in range(2, ORDER):
+        totals = kinds[k].groupBy(f"h{k - 1}").agg(F.sum("kinds").alias("total"), F.count("*").alias("types"))
+        own = F.greatest(F.col("kinds") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types") * F.col("shared")
+        found = kinds[k].join(totals, f"h{k - 1}").join(found, f"g{k - 1}")
+        found = found.select(f"g{k}", (own / F.col("total")).alias("shared"))
+    return found
 
 
 class Model:
-    """What a task needs to score: the ratios of seen codes and of histories, and the logistic fit."""
-
-    def __init__(self, codes, of_codes, of_histories, weights=None):
-        self.codes = codes
-        self.of_codes = np.clip(of_codes * STEPS, -32000, 32000).astype(np.int16)
-        self.of_histories = np.clip(of_histories * STEPS, -32000, 32000).astype(np.int16)
-        self.weights = weights
+    """``ratios``, the log ratio (``ratio``) of each n-gram and of any other by its history (``key``), and the logistic fit."""
 
-    def table(self) -> np.ndarray:
-        table = np.repeat(self.of_histories, 1 << BITS)
-        table[self.codes] = self.of_codes
-        return table
+    def __init__(self, ratios: DataFrame, weights=None):
+        self.ratios, self.weights = ratios, weights
 
 
 def model_of(counts: DataFrame, toxic: set[int], ordinary: set[int]) -> Model:
-    """The model of the given parts of ``counts``. The driver holds at most ``CODES`` codes."""
-    codes, n, is_toxic = [], [], []
-    for row in counts.where(F.col("part").isin(list(toxic | ordinary))).toLocalIterator():
-        own = np.frombuffer(row.codes, dtype=np.uint32)
-        codes.append(own)
-        n.append(np.frombuffer(row.counts, dtype=np.int64))
-        is_toxic.append(np.full(len(own), row.part in toxic))
-    if not codes:
-        return Model(np.zeros(0, dtype=np.uint32), np.zeros(0), np.zeros(HISTORIES))
-    codes, n, is_toxic = np.concatenate(codes), np.concatenate(n), np.concatenate(is_toxic)
-    unique, place = np.unique(codes, return_inverse=True)
-    totals = [np.bincount(place, weights=np.where(is_toxic == side, n, 0), minlength=len(unique)) for side in (True, False)]
-    return Model(unique, *ratios(unique, *totals))
-
-
-_TABLES: dict[str, np.ndarray] = {}
-
-
-def _table(name: str, model: Model) -> np.ndarray:
-    """The table of the model in use, kept between the tasks of a worker."""
-    if name not in _TABLES:
-        _TABLES.clear()
-        _TABLES[name] = model.table()
-    return _TABLES[name]
-
-
-def _features(table: np.ndarray, points: np.ndarray) -> tuple[float, float, float]:
-    codes = codes_of(points)
-    n = len(codes)
+    """The model of the given parts of ``counts``."""
+
+    def of(parts: set[int]) -> Column:
+        return F.sum(F.when(F.col("part").isin(list(parts)), F.col("n")).otherwise(0))
+
+    grams = counts.where(F.col("part").isin(list(toxic | ordinary))).groupBy("g5")
+    grams = grams.agg(of(toxic).alias("n1"), of(ordinary).alias("n0"), *(F.any_value(x).alias(x) for x in GRAMS[1:]))
+    grams = materialise(grams, "letter-grams")
+    sides = ("1", "0")
+    histories = grams.groupBy("h4").agg(
+        *(F.sum(f"n{x}").alias(f"total{x}") for x in sides), *(F.count_if(F.col(f"n{x}") > 0).alias(f"kinds{x}") for x in sides)
+    )
+    rest = {x: F.when(F.col(f"total{x}") > 0, DISCOUNT * F.col(f"kinds{x}") / F.col(f"total{x}")).otherwise(1.0) for x in sides}
+    histories = histories.withColumns({f"rest{x}": rest[x] for x in sides})
+    log = {
+        x: F.log(
+            F.greatest(F.col(f"n{x}") - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"total{x}"), F.lit(1))
+            + F.col(f"rest{x}") * F.col("shared")
+        )
+        for x in sides
+    }
+    seen = grams.join(histories, "h4").join(_shared(grams), "g4").select(F.col("g5").alias("key"), (log["1"] - log["0"]).alias("ratio"))
+    other = histories.select(F.col("h4").alias("key"), (F.log("rest1") - F.log("rest0")).alias("ratio"))
+    return Model(materialise(seen.unionByName(other), "letter-ratios"))
+
+
+def _bucket_hashes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the n-grams and of the histories of all letters, and where each text ends."""
+    found = [hashes_of(x) for batch in rows.to_batches() for x in _points(batch)]
+    ends = np.cumsum([len(x[0]) - 1 for x in found])
+    return np.concatenate([x[-1][1:] for x in found]), np.concatenate([x[-2][:-1] for x in found]), ends
+
+
+def _asked(rows: pa.Table) -> pa.Table:
+    """The different n-grams and histories of a bucket."""
+    own, history, _ = _bucket_hashes(rows)
+    keys = np.concatenate([np.unique(own), np.unique(history)])
+    return pa.table({"bucket": pa.array(np.full(len(keys), rows.column("bucket")[0].as_py()), pa.int64()), "key": pa.array(keys, pa.int64())})
+
+
+def _features(values: np.ndarray) -> tuple[float, float, float]:
+    n = len(values)
     if not n:
         return 0.0, 0.0, 0.0
-    sums = np.concatenate([[0], np.cumsum(table[codes], dtype=np.int64)])
+    sums = np.concatenate([[0.0], np.cumsum(values)])
     span = min(PASSAGE, n)
-    best = (sums[span:] - sums[:-span]).max() / (span * STEPS)
-    whole = sums[-1] / STEPS
-    return whole / n, whole / np.sqrt(n), float(best)
+    best = (sums[span:] - sums[:-span]).max() / span
+    return sums[-1] / n, sums[-1] / np.sqrt(n), float(best)
 
 
-def features(df: DataFrame, model: Model, keep: tuple[Column, ...]) -> DataFrame:
-    """``kept``, a struct of ``keep``, and ``features array<double>`` of the column ``text``."""
-    shipped = df.sparkSession.sparkContext.broadcast(model)
-    name = f"{df.sparkSession.sparkContext.applicationId}-{shipped._jbroadcast.id() if shipped._jbroadcast else 0}"
+def _scored(rows: pa.Table, known: pa.Table) -> pa.Table:
+    """The features of a bucket's texts, from the ratios of its n-grams and histories."""
+    own, history, ends = _bucket_hashes(rows)
+    keys, ratios = known.column("key").to_numpy(), known.column("ratio").to_numpy()
+    order = np.argsort(keys)
+    # The last one stands for all that the model does not know.
+    keys, ratios = keys[order], np.append(ratios[order], 0.0)
 
-    def make():
-        table = _table(name, shipped.value)
+    def place(asked: np.ndarray) -> np.ndarray:
+        found = np.searchsorted(keys, asked)
+        hit = found < len(keys)
+        hit[hit] = keys[found[hit]] == asked[hit]
+        return np.where(hit, found, len(keys))
 
-        def run(batch):
-            found = [_features(table, points) for points in _points(batch)]
-            return pa.RecordBatch.from_arrays(
-                [batch.column("kept"), pa.array(found, pa.list_(pa.float64()))], names=["kept", "features"]
-            )
+    unique, first, inverse = np.unique(own, return_index=True, return_inverse=True)
+    at = place(unique)
+    at = np.where(at < len(keys), at, place(history[first]))
+    values = ratios[at][inverse]
+    found = [_features(x) for x in np.split(values, ends[:-1])]
+    return pa.table({"kept": rows.column("kept"), "features": pa.array(found, pa.list_(pa.float64()))})
 
-        return run
 
+def features(df: DataFrame, model: Model, keep: tuple[Column, ...]) -> DataFrame:
+    """``kept``, a struct of ``keep``, and ``features array<double>`` of the column ``text``."""
     # Kept columns travel as one, so that none of their names can clash.
     rows = df.select("text", F.struct(*keep).alias("kept"))
-    schema = rows.select("kept", F.array(F.lit(0.0)).alias("features")).schema
-    return map_slices(rows, make, schema)
+    schema = rows.select("kept", F.lit(None).cast("array<double>").alias("features")).schema
+    buckets = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES + 1
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("text", "kept"), F.lit(buckets)))
+    asked = dealt.groupBy("bucket").applyInArrow(_asked, "bucket long, key long")
+    known = asked.join(model.ratios, "key").select("bucket", "key", "ratio")
+
+    def scored(rows: pa.Table, known: pa.Table) -> pa.Table:
+        return _scored(rows, known)
+
+    return dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(scored, schema)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -165,6 +165,22 @@ def test_without_labels_every_text_has_a_score(spark):
     assert {r.predicted for r in found} == {0} and len(found) == len(ODD)
 
 
+def test_toxic_texts_of_any_script_are_told_apart(spark):
+    rng = random.Random(6)
+    plain = ["река", "камень", "сад", "окно", "музыка", "стол", "друг", "письмо"]
+    rows = []
+    for i in range(400):
+        own = [rng.choice(plain) for _ in range(40)]
+        if i % 5 == 0:
+            # The letters of a plain word, each three further on.
+            own[rng.randrange(40)] = own[rng.randrange(40)] = "".join(chr(ord(c) + 3) for c in "камень")
+        rows.append((i, " ".join(own), int(i % 5 == 0)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.where("doc_id < 300"))
+    found = toxicity.score(df.where("doc_id >= 300"), model, (F.col("doc_id"), F.col("toxic"))).collect()
+    assert len(found) == 100 and all(r.predicted == r.toxic for r in found)
+
+
 # URL trust
 
 RULES = [("net/", "block"), ("example.net/en/", "allow"), ("b.org/", "block")]
