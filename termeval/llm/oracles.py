@@ -91,3 +91,51 @@ def _licence_digest() -> str:
 
 ORACLES["op4_url_trust"] = _url_trust()
 ORACLES["op5_licence_digest"] = _licence_digest()
+
+# Words are separated by ASCII blanks; windows are compared as lists of words.
+ORACLES["op11_substring_dedup"] = r"""
+    WITH texts AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+    windows AS (
+        SELECT doc_id, i, sha256(array_to_string(words[i:i + 49], ' ')) AS name
+        FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM texts)),
+    least AS (SELECT name, min(doc_id) AS doc_id FROM windows GROUP BY name),
+    starts AS (
+        SELECT w.doc_id, w.i FROM windows w JOIN least l ON l.name = w.name WHERE l.doc_id < w.doc_id),
+    places AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS i, unnest(words) AS word FROM texts),
+    -- A word goes if one of the 50 windows that cover it does.
+    judged AS (
+        SELECT p.doc_id, p.i, p.word, max(s.i) OVER (
+            PARTITION BY p.doc_id ORDER BY p.i ROWS UNBOUNDED PRECEDING) > p.i - 50 AS gone
+        FROM places p LEFT JOIN starts s ON s.doc_id = p.doc_id AND s.i = p.i),
+    kept AS (
+        SELECT doc_id, count(*) FILTER (gone) AS n_removed,
+               coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone IS NOT TRUE), '') AS text
+        FROM judged GROUP BY doc_id)
+    SELECT t.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+           sha256(coalesce(k.text, '')) AS kept_sha256
+    FROM texts t LEFT JOIN kept k ON k.doc_id = t.doc_id"""
+
+_TERMS = (
+    r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+ORACLES["op12_lexical_search"] = f"""
+    WITH found AS (SELECT doc_id, {_TERMS} AS terms FROM documents),
+    sizes AS (SELECT doc_id, len(terms)::BIGINT AS n FROM found WHERE len(terms) > 0),
+    corpus AS (SELECT count(*)::BIGINT AS nn, sum(n)::BIGINT AS l FROM sizes),
+    asked AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+    counts AS (
+        SELECT doc_id, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, unnest(terms) AS term FROM found)
+        WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+    weights AS (
+        SELECT term, floor(1000 * ln((2 * any_value(nn) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+        FROM counts, corpus GROUP BY term),
+    impacts AS (
+        SELECT c.doc_id, term, (1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * nn) // l)) AS impact
+        FROM counts c JOIN sizes USING (doc_id), corpus),
+    scores AS (
+        SELECT item_id, doc_id, sum(w * impact)::BIGINT AS score
+        FROM asked JOIN weights USING (term) JOIN impacts USING (term) GROUP BY ALL)
+    SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+    FROM scores WHERE score > 0 QUALIFY rank <= 10"""

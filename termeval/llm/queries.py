@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termeval.llm import bpe, decontaminate, language, licence_digest, merkle, repeats, shingle_join, surrogates, toxicity, url_trust
+from termeval.llm import (
+    bpe,
+    decontaminate,
+    language,
+    lexical_search,
+    licence_digest,
+    merkle,
+    repeats,
+    shingle_join,
+    spelling,
+    substring_dedup,
+    surrogates,
+    toxicity,
+    url_trust,
+)
 from termeval.llm.licence_texts import LICENCES
 from termeval.llm.shared import held_out, table
 
@@ -86,3 +100,19 @@ def op10_language(spark, folder):
     training = documents.where(~held_out(F.col("doc_id")))
     kept = held_out(F.col("doc_id")).alias("held_out")
     return language.predict(documents, language.profiles(training), keep=(kept,))
+
+
+@query
+def op11_substring_dedup(spark, folder):
+    kept = substring_dedup.remove(table(spark, folder, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_lexical_search(spark, folder):
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op13_spelling(spark, folder):
+    return spelling.variants(table(spark, folder, "documents"))
