@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -61,6 +62,18 @@ def without(df: DataFrame, removed: DataFrame, id_col: str = "doc_id") -> DataFr
     return df.join(F.broadcast(ids) if few else ids, id_col, "left_anti")
 
 
+def release() -> None:
+    """Give free memory back to the system.
+
+    Spark uses its Python workers again and again; what one task's arrays took
+    would else stay with the worker while others need it.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def map_slices(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]],
@@ -75,6 +88,8 @@ def map_slices(
             made = function(piece)
             if made.num_rows:
                 yield made
+        del function
+        release()
 
     return df.mapInArrow(run, schema)
 

@@ -10,9 +10,10 @@ most telling passage; a logistic fit on texts the models have not seen turns
 them into a score.
 
 Letters of all scripts are themselves, in lower case. The model is a table of
-n-grams, which grows with the corpus; hashes of 64 bits stand for n-grams. Texts
-are scored in buckets of bounded size, each of which gets the ratios of its own
-n-grams by a join.
+n-grams, as text, which grows with the corpus; for scoring, hashes of 64 bits
+stand for n-grams. A model of checked size is sent to the tasks that read the
+texts; of a larger one, buckets of texts of bounded size get the ratios of their
+own n-grams by a join. Both give the same scores.
 """
 
 from __future__ import annotations
@@ -27,105 +28,167 @@ from pyspark.sql import functions as F
 
 from termeval.durable import materialise
 from termeval.llm.language import _points
-from termeval.llm.shared import ODD, fold, map_slices, mixed
+from termeval.llm.shared import ODD, fold, map_slices, mixed, release, slices
 
 ORDER = 5
+# Discounts are estimated from the counts; this stands for one that cannot be.
 DISCOUNT = 0.75
 # Letters in the most telling passage.
 PASSAGE = 32
-# Bytes of text scored together, save for a single longer text.
+# A model of up to so many ratios (16 bytes each) is sent to every task.
+BROADCAST_RATIOS = 2_000_000
+# Bytes of text that are scored together otherwise, save for a single longer text.
 BUCKET_BYTES = 4_000_000
+# Different n-grams a task gathers before it hands them on.
+GATHERED = 1_000_000
 # Up to so many labels are sent to every task; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 # Rows the logistic fit takes at most: a bounded sample of labelled texts, by hash of the id.
 FIT_ROWS = 20_000
 THRESHOLD = 0.3
-# An n-gram's hash, and those of its history and of its ends with their histories.
-GRAMS = ["g5", "h4", "g4", "h3", "g3", "h2", "g2", "h1", "g1"]
+BLANK = 32
 
 
 @lru_cache(maxsize=1)
 def symbols() -> np.ndarray:
-    """The symbol of each code point: 0 a blank, one for all digits, else itself in lower case."""
+    """The symbol of each code point: one for all blanks, one for all digits, else itself in lower case."""
     found = np.arange(0x110000, dtype=np.uint32)
     for p in range(0x110000):
         c = chr(p)
         lower = c.lower()
         if c.isspace():
-            found[p] = 0
+            found[p] = BLANK
         elif unicodedata.category(c)[0] == "N":
             found[p] = ord("0")
         elif len(lower) == 1:
             found[p] = ord(lower)
+    # Text ends at a zero in numpy.
+    found[0] = BLANK
     return found
 
 
-def hashes_of(points: np.ndarray) -> list[np.ndarray]:
-    """Of each length up to ``ORDER`` the hashes of the n-grams that end at each letter, and first of
-    that before the text; runs of blanks count as one."""
+def padded(points: np.ndarray) -> np.ndarray:
+    """The symbols of a text behind ``ORDER`` blanks; runs of blanks count as one."""
     own = symbols()[points]
     if len(own):
-        own = own[np.concatenate([[True], (own[1:] != 0) | (own[:-1] != 0)])]
-    padded = np.concatenate([np.zeros(ORDER, dtype=np.uint64), own.astype(np.uint64)]) + np.uint64(1)
-    n = len(own) + 1
-    total, found = np.zeros(n, dtype=np.uint64), []
-    for i in range(ORDER):
-        power = np.uint64(pow(int(ODD), i, 1 << 64))
-        total = total + padded[ORDER - 1 - i : ORDER - 1 - i + n] * power
-        found.append(mixed(total + np.uint64(i + 1)).view(np.int64))
-    return found
+        own = own[np.concatenate([[True], (own[1:] != BLANK) | (own[:-1] != BLANK)])]
+    return np.concatenate([np.full(ORDER, BLANK, dtype=np.uint32), own])
+
+
+def hashes_of(own: np.ndarray, order: int) -> np.ndarray:
+    """The hash of the n-gram of ``order`` symbols that ends at each symbol, from the last of the padding on."""
+    n = len(own) - ORDER + 1
+    wide = own.astype(np.uint64) + np.uint64(1)
+    total = np.zeros(n, dtype=np.uint64)
+    for i in range(order):
+        total += wide[ORDER - 1 - i : ORDER - 1 - i + n] * np.uint64(pow(int(ODD), i, 1 << 64))
+    return mixed(total + np.uint64(order)).view(np.int64)
+
+
+def _merged(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Hashes, parts, counts and symbols, each hash of a part once."""
+    keys, parts, counts, grams = (np.concatenate(x) for x in zip(*held))
+    order = np.lexsort((keys, parts))
+    keys, parts = keys[order], parts[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1])]))
+    return keys[first], parts[first], np.add.reduceat(counts[order], first), grams[order[first]]
 
 
 def count(texts: DataFrame) -> DataFrame:
-    """How often each n-gram occurs: ``GRAMS``, ``part`` and ``n``.
+    """How often each n-gram of ``ORDER`` letters occurs: ``gram``, ``part`` and ``n``.
 
-    ``texts`` has ``text`` and ``part``, a small number by which counts are kept apart.
+    ``texts`` has ``text`` and ``part``, a small number by which counts are kept
+    apart. Tasks count what they have read before they hand it on.
     """
 
-    def make():
-        def run(batch):
-            parts = batch.column("part").to_pylist()
-            made = []
-            for part in sorted(set(parts)):
-                found = [hashes_of(x) for x, own in zip(_points(batch), parts) if own == part]
-                ends = [np.concatenate([x[k][1:] for x in found]) for k in range(ORDER)]
-                before = [np.concatenate([x[k][:-1] for x in found]) for k in range(ORDER)]
-                _, first, n = np.unique(ends[-1], return_index=True, return_counts=True)
-                columns = [ends[-1][first]]
-                for k in range(ORDER - 1, 0, -1):
-                    columns += [before[k - 1][first], ends[k - 1][first]]
-                made.append([*columns, np.full(len(n), part), n])
-            return pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(x), pa.int64()) for x in zip(*made)], names=[*GRAMS, "part", "n"]
-            )
-
-        return run
-
-    schema = ", ".join(f"{x} long" for x in [*GRAMS, "part", "n"])
-    return (
-        map_slices(texts, make, schema)
-        .groupBy("g5", "part")
-        .agg(F.sum("n").alias("n"), *(F.any_value(x).alias(x) for x in GRAMS[1:]))
-    )
+    def shown(keys, parts, counts, grams):
+        texts = np.ascontiguousarray(grams).view(f"<U{ORDER}").ravel().tolist()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(texts, pa.string()), pa.array(parts, pa.int64()), pa.array(counts, pa.int64())], names=["gram", "part", "n"]
+        )
+
+    def run(batches):
+        held, size, bound = [], 0, GATHERED
+        for batch in slices(batches):
+            parts = batch.column("part").to_numpy()
+            found = [padded(x) for x in _points(batch)]
+            sizes = [len(x) - ORDER for x in found]
+            if not sum(sizes):
+                continue
+            keys = np.concatenate([hashes_of(x, ORDER)[1:] for x in found])
+            grams = np.concatenate([np.lib.stride_tricks.sliding_window_view(x, ORDER)[1:] for x in found])
+            held.append(_merged([(keys, np.repeat(parts, sizes), np.ones(len(keys), dtype=np.int64), grams)]))
+            size += len(held[-1][0])
+            if size >= bound:
+                held = [_merged(held)]
+                size = len(held[0][0])
+                if size >= GATHERED:
+                    yield shown(*held[0])
+                    held, size = [], 0
+                bound = size + GATHERED
+        if held:
+            yield shown(*_merged(held))
+        held.clear()
+        release()
+
+    found = texts.select("text", F.col("part").cast("long").alias("part")).mapInArrow(run, "gram string, part long, n long")
+    return found.groupBy("gram", "part").agg(F.sum("n").alias("n"))
+
+
+def discount(counts: DataFrame, column: str) -> float:
+    """The estimate of absolute discounting, from how many counts are 1 and 2."""
+    once, twice = counts.agg(F.count_if(F.col(column) == 1), F.count_if(F.col(column) == 2)).first()
+    return once / (once + 2 * twice) if once and twice else DISCOUNT
+
+
+def _discounted(column: str, by: float) -> Column:
+    return F.greatest(F.col(column) - by, F.lit(0.0))
 
 
 def _shared(grams: DataFrame) -> DataFrame:
-    """``g4`` and ``shared``, the shared probability of its last letter, from kinds of letters before it."""
-    kinds, above = {}, grams
+    """``end`` and ``shared``, the shared probability of its last letter, from kinds of letters before it.
+
+    ``end`` has the last ``ORDER - 1`` letters of n-grams.
+    """
+    kinds, above = {}, grams.select("gram")
     for k in range(ORDER - 1, 0, -1):
-        rest = GRAMS[GRAMS.index(f"g{k}") + 1 :]
-        above = above.groupBy(f"g{k}").agg(F.count("*").alias("kinds"), *(F.any_value(x).alias(x) for x in rest))
+        above = above.groupBy(F.right("gram", F.lit(k)).alias("gram")).agg(F.count("*").alias("kinds"))
         above = kinds[k] = materialise(above, "letter-kinds")
     total, letters = kinds[1].agg(F.sum("kinds"), F.count("*")).first()
+    total = max(total or 0, 1)
     # One more stands for all letters that were never seen.
-    even = DISCOUNT * letters / max(total or 0, 1) / (letters + 1)
-    found = kinds[1].select("g1", (F.greatest(F.col("kinds") - DISCOUNT, F.lit(0.0)) / max(total or 0, 1) + even).alias("shared"))
+    by = discount(kinds[1], "kinds")
+    even = by * letters / total / (letters + 1)
+    found = kinds[1].select("gram", (_discounted("kinds", by) / total + even).alias("shared"))
     for k in range(2, ORDER):
-        totals = kinds[k].groupBy(f"h{k - 1}").agg(F.sum("kinds").alias("total"), F.count("*").alias("types"))
-        own = F.greatest(F.col("kinds") - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col("types") * F.col("shared")
-        found = kinds[k].join(totals, f"h{k - 1}").join(found, f"g{k - 1}")
-        found = found.select(f"g{k}", (own / F.col("total")).alias("shared"))
-    return found
+        by = discount(kinds[k], "kinds")
+        own = kinds[k].withColumns({"history": F.left("gram", F.lit(k - 1)), "end": F.right("gram", F.lit(k - 1))})
+        totals = own.groupBy("history").agg(F.sum("kinds").alias("total"), F.count("*").alias("types"))
+        value = (_discounted("kinds", by) + by * F.col("types") * F.col("shared")) / F.col("total")
+        found = own.join(totals, "history").join(found.withColumnRenamed("gram", "end"), "end")
+        found = found.select("gram", value.alias("shared"))
+    return found.withColumnRenamed("gram", "end")
+
+
+def keyed(ratios: DataFrame) -> DataFrame:
+    """``key``, the hash of ``gram``, and ``ratio``."""
+
+    def run(batches):
+        for batch in batches:
+            keys = np.zeros(batch.num_rows, dtype=np.int64)
+            sizes = pa.compute.utf8_length(batch.column("gram")).to_numpy()
+            points = np.frombuffer("".join(batch.column("gram").to_pylist()).encode("utf-32-le"), dtype=np.uint32)
+            starts = np.cumsum(sizes) - sizes
+            for size in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == size)
+                total = np.zeros(len(at), dtype=np.uint64)
+                for i in range(size):
+                    symbol = points[starts[at] + size - 1 - i].astype(np.uint64) + np.uint64(1)
+                    total += symbol * np.uint64(pow(int(ODD), i, 1 << 64))
+                keys[at] = mixed(total + np.uint64(size)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("ratio")], names=["key", "ratio"])
+
+    return ratios.select("gram", "ratio").mapInArrow(run, "key long, ratio double")
 
 
 class Model:
@@ -141,38 +204,33 @@ def model_of(counts: DataFrame, toxic: set[int], ordinary: set[int]) -> Model:
     def of(parts: set[int]) -> Column:
         return F.sum(F.when(F.col("part").isin(list(parts)), F.col("n")).otherwise(0))
 
-    grams = counts.where(F.col("part").isin(list(toxic | ordinary))).groupBy("g5")
-    grams = grams.agg(of(toxic).alias("n1"), of(ordinary).alias("n0"), *(F.any_value(x).alias(x) for x in GRAMS[1:]))
-    grams = materialise(grams, "letter-grams")
     sides = ("1", "0")
-    histories = grams.groupBy("h4").agg(
+    grams = counts.where(F.col("part").isin(list(toxic | ordinary))).groupBy("gram")
+    grams = materialise(grams.agg(of(toxic).alias("n1"), of(ordinary).alias("n0")), "letter-grams")
+    grams = grams.withColumns({"history": F.left("gram", F.lit(ORDER - 1)), "end": F.right("gram", F.lit(ORDER - 1))})
+    by = {x: discount(grams, f"n{x}") for x in sides}
+    histories = grams.groupBy("history").agg(
         *(F.sum(f"n{x}").alias(f"total{x}") for x in sides), *(F.count_if(F.col(f"n{x}") > 0).alias(f"kinds{x}") for x in sides)
     )
-    rest = {x: F.when(F.col(f"total{x}") > 0, DISCOUNT * F.col(f"kinds{x}") / F.col(f"total{x}")).otherwise(1.0) for x in sides}
+    rest = {x: F.when(F.col(f"total{x}") > 0, by[x] * F.col(f"kinds{x}") / F.col(f"total{x}")).otherwise(1.0) for x in sides}
     histories = histories.withColumns({f"rest{x}": rest[x] for x in sides})
     log = {
         x: F.log(
-            F.greatest(F.col(f"n{x}") - DISCOUNT, F.lit(0.0)) / F.greatest(F.col(f"total{x}"), F.lit(1))
-            + F.col(f"rest{x}") * F.col("shared")
+            _discounted(f"n{x}", by[x]) / F.greatest(F.col(f"total{x}"), F.lit(1)) + F.col(f"rest{x}") * F.col("shared")
         )
         for x in sides
     }
-    seen = grams.join(histories, "h4").join(_shared(grams), "g4").select(F.col("g5").alias("key"), (log["1"] - log["0"]).alias("ratio"))
-    other = histories.select(F.col("h4").alias("key"), (F.log("rest1") - F.log("rest0")).alias("ratio"))
-    return Model(materialise(seen.unionByName(other), "letter-ratios"))
-
-
-def _bucket_hashes(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the n-grams and of the histories of all letters, and where each text ends."""
-    found = [hashes_of(x) for batch in rows.to_batches() for x in _points(batch)]
-    ends = np.cumsum([len(x[0]) - 1 for x in found])
-    return np.concatenate([x[-1][1:] for x in found]), np.concatenate([x[-2][:-1] for x in found]), ends
+    seen = grams.join(histories, "history").join(_shared(grams), "end").select("gram", (log["1"] - log["0"]).alias("ratio"))
+    other = histories.select(F.col("history").alias("gram"), (F.log("rest1") - F.log("rest0")).alias("ratio"))
+    return Model(materialise(keyed(seen.unionByName(other)), "letter-ratios"))
 
 
 def _asked(rows: pa.Table) -> pa.Table:
     """The different n-grams and histories of a bucket."""
-    own, history, _ = _bucket_hashes(rows)
-    keys = np.concatenate([np.unique(own), np.unique(history)])
+    found = [padded(x) for batch in rows.to_batches() for x in _points(batch)]
+    own = np.unique(np.concatenate([hashes_of(x, ORDER)[1:] for x in found]))
+    history = np.unique(np.concatenate([hashes_of(x, ORDER - 1)[:-1] for x in found]))
+    keys = np.concatenate([own, history])
     return pa.table({"bucket": pa.array(np.full(len(keys), rows.column("bucket")[0].as_py()), pa.int64()), "key": pa.array(keys, pa.int64())})
 
 
@@ -186,26 +244,38 @@ def _features(values: np.ndarray) -> tuple[float, float, float]:
     return sums[-1] / n, sums[-1] / np.sqrt(n), float(best)
 
 
-def _scored(rows: pa.Table, known: pa.Table) -> pa.Table:
-    """The features of a bucket's texts, from the ratios of its n-grams and histories."""
-    own, history, ends = _bucket_hashes(rows)
-    keys, ratios = known.column("key").to_numpy(), known.column("ratio").to_numpy()
-    order = np.argsort(keys)
-    # The last one stands for all that the model does not know.
-    keys, ratios = keys[order], np.append(ratios[order], 0.0)
-
-    def place(asked: np.ndarray) -> np.ndarray:
-        found = np.searchsorted(keys, asked)
-        hit = found < len(keys)
-        hit[hit] = keys[found[hit]] == asked[hit]
-        return np.where(hit, found, len(keys))
-
-    unique, first, inverse = np.unique(own, return_index=True, return_inverse=True)
-    at = place(unique)
-    at = np.where(at < len(keys), at, place(history[first]))
-    values = ratios[at][inverse]
-    found = [_features(x) for x in np.split(values, ends[:-1])]
-    return pa.table({"kept": rows.column("kept"), "features": pa.array(found, pa.list_(pa.float64()))})
+class Ratios:
+    """The ratio of each n-gram, or of its history where the model lacks it, or 0."""
+
+    def __init__(self, keys: np.ndarray, ratios: np.ndarray):
+        order = np.argsort(keys)
+        # The last one stands for all that the model does not know.
+        self.keys, self.ratios = keys[order], np.append(ratios[order], 0.0)
+
+    def place(self, asked: np.ndarray) -> np.ndarray:
+        found = np.searchsorted(self.keys, asked)
+        hit = found < len(self.keys)
+        hit[hit] = self.keys[found[hit]] == asked[hit]
+        return np.where(hit, found, len(self.keys))
+
+    def features(self, texts: list[np.ndarray]) -> list[tuple[float, float, float]]:
+        """The features of texts, given as padded symbols."""
+        if not texts:
+            return []
+        # Texts follow each other, so that the hashes of all are made at once: what is
+        # before a text is its own padding.
+        whole = np.concatenate(texts)
+        edges = np.cumsum([len(x) for x in texts])
+        inside = np.concatenate([np.arange(b - len(x) + ORDER, b) for x, b in zip(texts, edges.tolist())])
+        own, first, inverse = np.unique(
+            hashes_of(whole, ORDER)[inside - ORDER + 1], return_index=True, return_inverse=True
+        )
+        at = self.place(own)
+        unknown = np.flatnonzero(at == len(self.keys))
+        history = hashes_of(whole, ORDER - 1)[inside[first[unknown]] - ORDER]
+        at[unknown] = self.place(history)
+        values = self.ratios[at][inverse]
+        return [_features(x) for x in np.split(values, np.cumsum([len(x) - ORDER for x in texts])[:-1])]
 
 
 def features(df: DataFrame, model: Model, keep: tuple[Column, ...]) -> DataFrame:
@@ -213,13 +283,34 @@ def features(df: DataFrame, model: Model, keep: tuple[Column, ...]) -> DataFrame
     # Kept columns travel as one, so that none of their names can clash.
     rows = df.select("text", F.struct(*keep).alias("kept"))
     schema = rows.select("kept", F.lit(None).cast("array<double>").alias("features")).schema
+
+    def shown(kept: pa.Array, found: list) -> list:
+        return [kept, pa.array(found, pa.list_(pa.float64()))]
+
+    if model.ratios.limit(BROADCAST_RATIOS + 1).count() <= BROADCAST_RATIOS:
+        known = model.ratios.select("key", "ratio").toArrow()
+        shipped = df.sparkSession.sparkContext.broadcast((known.column("key").to_numpy(), known.column("ratio").to_numpy()))
+
+        def make():
+            ratios = Ratios(*shipped.value)
+
+            def run(batch):
+                found = ratios.features([padded(x) for x in _points(batch)])
+                return pa.RecordBatch.from_arrays(shown(batch.column("kept"), found), names=["kept", "features"])
+
+            return run
+
+        return map_slices(rows, make, schema)
+
     buckets = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES + 1
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("text", "kept"), F.lit(buckets)))
     asked = dealt.groupBy("bucket").applyInArrow(_asked, "bucket long, key long")
     known = asked.join(model.ratios, "key").select("bucket", "key", "ratio")
 
     def scored(rows: pa.Table, known: pa.Table) -> pa.Table:
-        return _scored(rows, known)
+        ratios = Ratios(known.column("key").to_numpy(), known.column("ratio").to_numpy())
+        found = ratios.features([padded(x) for batch in rows.to_batches() for x in _points(batch)])
+        return pa.Table.from_arrays(shown(rows.column("kept").combine_chunks(), found), names=["kept", "features"])
 
     return dealt.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(scored, schema)
 
