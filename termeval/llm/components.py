@@ -21,12 +21,16 @@ def components(links: DataFrame) -> DataFrame:
     a link's lesser end way to the least node below it, by a join, and then connects
     all that one node has links to, until every node has one link, to a node that
     has none. The number of rounds grows with the logarithm of the longest path.
-    Each task has at most one link for each node, at first and after each round, before
-    links are dealt by node, so a node brings together no more links than tasks wrote.
+    Links are stored first and reduced in as few tasks as ``GATHERED`` links each allow:
+    few links need no round at all, and a group of many links that all tasks found is
+    not reduced to as many copies of itself. After that each task has at most one link
+    for each node before links are dealt by node, so a node brings together no more
+    links than tasks wrote.
     """
-    proper = links.select("a", "b").where("a != b")
-    links = materialise(_met(proper.mapInArrow(_reduced, KIND)), "links")
-    while not _settled(links):
+    proper = materialise(links.select("a", "b").where("a != b"), "links")
+    tasks = max(1, -(-proper.count() // GATHERED))
+    links = materialise(proper.coalesce(tasks).mapInArrow(_reduced, KIND), "links")
+    while tasks > 1 and not _settled(links):
         least = links.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
         moved = links.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
         links = materialise(_met(moved), "links")
@@ -57,12 +61,12 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _reduced(batches):
-    """The links of a task, reduced to one for each node of at most about ``GATHERED`` links."""
+    """The links of a task, reduced to one for each node of at most about twice ``GATHERED`` links."""
     held, size = [], 0
     for batch in batches:
         held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
         size += batch.num_rows
-        if size > GATHERED:
+        if size > 2 * GATHERED:
             a, b = (np.concatenate(x) for x in zip(*held))
             # The links of the last node may go on in the next batch.
             cut = int(np.flatnonzero(a != a[-1])[-1]) + 1 if (a != a[-1]).any() else 0

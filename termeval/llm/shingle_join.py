@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from termeval.durable import materialise
 from termeval.llm.components import components
-from termeval.llm.shared import BROADCAST_IDS, ODD, buffer_of, map_slices, mixed, slices, words_of
+from termeval.llm.shared import BROADCAST_IDS, ODD, buffer_of, map_slices, mixed, release, slices, words_of
 
 WORDS, PERCENT = 4, 85
+# Linked sets lie in one band or two neighbouring ones from this on.
+LEAST_PERCENT = 67
 # Signatures a task gathers before it combines and hands them on.
 GATHERED = 1_000_000
 # Nodes of a group compared in one task; larger groups are dealt into blocks.
@@ -224,6 +226,8 @@ def candidates(df: DataFrame, text_col: str, words: int = WORDS, percent: int =
                 known.clear()
         if size:
             yield from combined()
+        held.clear()
+        release()
 
     def meet(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one, other = [], []
@@ -342,7 +346,10 @@ def links(
         ids = members.join(keys, "node").groupBy("key").agg(F.collect_list(place).alias("places"))
         few = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
         texts = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-        rows = texts.join(F.broadcast(ids) if few else ids, "key").select("text", "places")
+        # A null id may stand for a node too.
+        ids = ids.withColumnRenamed("key", "node_key")
+        same = F.col("key").eqNullSafe(F.col("node_key"))
+        rows = texts.join(F.broadcast(ids) if few else ids, same).select("text", "places")
         return map_slices(rows, make, "node long, group long, block int, extra boolean, n_shingles long, held binary")
 
     return _connecting(near.select("node", "group"), with_sets, percent, exact=True)
@@ -423,8 +430,10 @@ def join(
     and empty texts, and texts of blanks, have no shingles and link with nothing.
     Texts with fewer words than a shingle have all of them as one. Repeated ids
     and null ids are kept; a null id is greater than any other. Other columns are
-    left out.
+    left out. ``percent`` is at least ``LEAST_PERCENT``.
     """
+    if not LEAST_PERCENT <= percent <= 100 or words < 1:
+        raise ValueError(f"percent must be from {LEAST_PERCENT} to 100, and words 1 at least")
     rows = materialise(nodes(df, id_col, text_col, words, percent), "join-nodes")
     filled = rows.where("n_shingles > 0")
     of_node = filled.groupBy("node").agg(
