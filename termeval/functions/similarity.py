@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -9,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _WORD = 64
+# Bytes of letter masks computed at once, save for a single pair.
+_GROUP_BYTES = 16 * 1024 * 1024
 
 
 def exact_match(predicted: Column, actual: Column) -> Column:
@@ -23,49 +27,90 @@ def exact_match_float(predicted: Column, actual: Column) -> Column:
     )
 
 
-def _lcs_long(x: str, y: str) -> int:
-    """LCS length with one big integer as bit vector, for texts of any length."""
-    positions: dict[str, int] = {}
-    for j, ch in enumerate(y):
-        positions[ch] = positions.get(ch, 0) | (1 << j)
-    full = state = (1 << len(y)) - 1
-    for ch in x:
-        used = state & positions.get(ch, 0)
-        state = ((state + used) | (state - used)) & full
-    return len(y) - state.bit_count()
-
-
-def _lcs_short(xs: list[str], ys: list[str]) -> np.ndarray:
-    """LCS lengths of many pairs at once; no text is longer than one word."""
-    x = np.array(xs, dtype=f"U{_WORD}").view(np.uint32).reshape(-1, _WORD)
-    y = np.array(ys, dtype=f"U{_WORD}").view(np.uint32).reshape(-1, _WORD)
-    x_len = np.fromiter(map(len, xs), np.int64, len(xs))
-    y_len = np.fromiter(map(len, ys), np.int64, len(ys))
+def _points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts end to end, and the length of each."""
+    # Lone halves of surrogate pairs are letters like any other.
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    return points, np.fromiter(map(len, texts), np.int64, len(texts))
+
+
+def _places(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and the position in it of every element of rows of these sizes."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def _lcs(xs: list[str], ys: list[str]) -> np.ndarray:
+    """LCS lengths of many pairs at once; a text of ``ys`` takes as many words as it needs.
+
+    A bit vector holds, for every letter of ``y``, whether the LCS grows there.
+    The letters of all ``xs`` are taken in step; the sum that carries a change
+    from one word of a vector to the next is done for all pairs at once.
+    """
+    x_points, x_len = _points(xs)
+    y_points, y_len = _points(ys)
+    words = max(1, -(-int(y_len.max(initial=0)) // _WORD))
+    letters, codes = np.unique(np.concatenate([x_points, y_points]), return_inverse=True)
+    x_codes, y_codes = codes[: len(x_points)], codes[len(x_points) :]
+    row, at = _places(y_len)
+    # The positions of each letter in each y; those of one word come one after the other.
+    masks = np.zeros((len(xs), len(letters) + 1, words), dtype=np.uint64)
+    np.bitwise_or.at(masks, (row, y_codes, at // _WORD), np.uint64(1) << (at % _WORD).astype(np.uint64))
+    row, at = _places(x_len)
+    # The last letter stands for those behind the end of x: it is in no y.
+    steps = np.full((int(x_len.max(initial=0)), len(xs)), len(letters))
+    steps[at, row] = x_codes
+    left = np.clip(y_len[:, None] - _WORD * np.arange(words), 0, _WORD)
     ones = np.uint64(0xFFFFFFFFFFFFFFFF)
-    shift = np.minimum(_WORD - y_len, _WORD - 1).astype(np.uint64)
-    full = np.where(y_len > 0, ones >> shift, np.uint64(0))
-    state = full.copy()
-    for i in range(int(x_len.max(initial=0))):
-        equal = np.packbits(y == x[:, i : i + 1], axis=1, bitorder="little")
-        used = state & equal.view("<u8").ravel() & np.where(i < x_len, full, np.uint64(0))
-        state = ((state + used) | (state - used)) & full
-    return y_len - np.bitwise_count(state).astype(np.int64)
+    full = np.where(left > 0, ones >> np.minimum(_WORD - left, _WORD - 1).astype(np.uint64), np.uint64(0))
+    state, pairs = full.copy(), np.arange(len(xs))
+    for step in steps:
+        used = state & masks[pairs, step]
+        total = state + used
+        carry = total < used
+        while words > 1 and carry[:, :-1].any():
+            total[:, 1:] += carry[:, :-1]
+            # A word that took one and is 0 now was full, so it hands one on.
+            carry[:, 1:] = carry[:, :-1] & (total[:, 1:] == 0)
+            carry[:, 0] = False
+        state = (total | (state & ~used)) & full
+    return y_len - np.bitwise_count(state).sum(axis=1, dtype=np.int64)
+
+
+def _groups(pairs: list[tuple[str, str]]) -> Iterator[list[int]]:
+    """Numbers of pairs of like lengths, as many as ``_GROUP_BYTES`` of masks allow; the shorter text first."""
+    order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
+    group: list[int] = []
+    letters: set[str] = set()
+    for i in order:
+        x, y = pairs[i]
+        more = letters.union(x, y)
+        words = -(-len(y) // _WORD)
+        # Pairs of a group take as many words as its last; no group holds one and its double.
+        wide = group and words > 2 * -(-len(pairs[group[0]][1]) // _WORD)
+        if group and (wide or 8 * words * (len(more) + 1) * (len(group) + 1) > _GROUP_BYTES):
+            yield group
+            group, more = [], set(x + y)
+        group.append(i)
+        letters = more
+    if group:
+        yield group
 
 
 def _indel_ratios(pairs: list[tuple[str, str]]) -> np.ndarray:
     """100 * (1 - indel distance / total length) of each pair."""
     total = np.array([len(x) + len(y) for x, y in pairs], dtype=np.int64)
     lcs = np.zeros(len(pairs), dtype=np.int64)
-    short = []
+    differ = []
     for i, (x, y) in enumerate(pairs):
         if x == y:
             lcs[i] = len(x)
-        elif len(x) <= _WORD and len(y) <= _WORD:
-            short.append(i)
-        else:
-            lcs[i] = _lcs_long(x, y)
-    if short:
-        lcs[short] = _lcs_short([pairs[i][0] for i in short], [pairs[i][1] for i in short])
+        elif x and y:
+            differ.append(i)
+    ordered = [pairs[i] if len(pairs[i][0]) <= len(pairs[i][1]) else pairs[i][::-1] for i in differ]
+    for group in _groups(ordered):
+        found = _lcs([ordered[k][0] for k in group], [ordered[k][1] for k in group])
+        lcs[[differ[k] for k in group]] = found
     distance = total - 2 * lcs
     return 100.0 * (1.0 - distance / np.maximum(total, 1))
 

@@ -1,4 +1,5 @@
 import math
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -38,6 +39,25 @@ def test_ratios_at_word_boundaries(length):
     assert similarity._indel_ratios([(x, y)]).tolist() == [ratio(x, y)]
 
 
+def test_long_and_mixed_lengths_equal_dynamic_programming():
+    rng = random.Random(7)
+    pairs = [
+        ("".join(rng.choices("abé", k=rng.choice([0, 1, 64, 65, 128, 129, 300]))), "".join(rng.choices("ab𝒳", k=rng.randrange(400))))
+        for _ in range(60)
+    ]
+    # Runs of one letter carry through all words.
+    pairs += [("a" * 500, "a" * 499 + "b"), ("b" + "a" * 300, "a" * 300 + "b"), ("a" * 64, "a" * 640)]
+    assert similarity._indel_ratios(pairs).tolist() == [ratio(x, y) for x, y in pairs]
+
+
+def test_groups_hold_pairs_of_like_lengths(monkeypatch):
+    monkeypatch.setattr(similarity, "_GROUP_BYTES", 1_000)
+    rng = random.Random(8)
+    pairs = [("".join(rng.choices("abcd", k=rng.randrange(1, 30))), "".join(rng.choices("abcd", k=rng.randrange(30, 300)))) for _ in range(80)]
+    assert len(list(similarity._groups(pairs))) > 5
+    assert similarity._indel_ratios(pairs).tolist() == [ratio(x, y) for x, y in pairs]
+
+
 # Expected name and the published ratio of a reply with one extra blank.
 @pytest.mark.parametrize(
     "name, golden",
