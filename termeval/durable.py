@@ -3,9 +3,31 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_SCRATCH: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`materialise` stores inside the block are deleted at its end.
+
+    What was read from them must have been written elsewhere by then.
+    """
+    paths: list[str] = []
+    token = _SCRATCH.set(paths)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in paths:
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, which all executors must share."""
@@ -15,6 +37,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def stored_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark).rstrip('/')}/termeval/{label}-{uuid.uuid4().hex}"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder as parquet and read it back.
 
@@ -22,6 +49,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     may answer differently on a retry, and rankings several plans reuse.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/termeval/{label}-{uuid.uuid4().hex}"
+    path = stored_path(spark, label)
+    owned = _SCRATCH.get()
+    if owned is not None:
+        owned.append(path)
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

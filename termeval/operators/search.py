@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from termeval.functions.text import STOP_WORDS, lexemes
@@ -17,6 +17,16 @@ from termeval.operators.vocabulary import in_vocabularies
 from termeval.sources.vocabulary import Vocabulary
 
 
+FOUND_COLUMNS = (
+    "query_id",
+    "concept_id",
+    "concept_name",
+    "vocabulary_id",
+    "concept_code",
+    "concept_synonym_name",
+)
+
+
 def with_words(
     df: DataFrame,
     text: str,
@@ -45,13 +55,59 @@ def with_words(
     return df.drop(words).join(mapped, text, "left")
 
 
+def as_clauses(mode: str) -> Column:
+    """The clauses of a search ``mode`` over ``terms``: lists of words, one of each of which a text must have."""
+    if mode == "any":
+        return F.when(F.size("terms") > 0, F.array("terms")).otherwise(F.array())
+    if mode == "all":
+        return F.transform("terms", lambda term: F.array(term))
+    if mode == "clauses":
+        return F.filter("clauses", lambda clause: F.size(clause) > 0)
+    raise ValueError("mode must be 'any', 'all' or 'clauses'")
+
+
+def meets(clauses: str, word: str) -> Column:
+    """Whether ``words`` meet all ``clauses``, asked at the first word that meets the clause ``chosen``."""
+    common = F.filter("words", lambda x: F.array_contains("chosen", x))
+    every = F.forall(clauses, lambda clause: F.arrays_overlap(clause, "words"))
+    return (F.get(common, F.lit(0)) == F.col(word)) & every
+
+
+def with_rarest_clause(searches: DataFrame, frequency: DataFrame) -> DataFrame:
+    """``searches`` with the clause the fewest texts can meet, as ``chosen``; those without clauses are left out.
+
+    ``frequency`` has the number of texts, ``_texts``, of each ``_lexeme``.
+    """
+    columns = searches.columns
+    terms = searches.select("*", F.posexplode("clauses").alias("_clause", "_terms"))
+    counted = terms.withColumn("_lexeme", F.explode("_terms")).join(frequency, "_lexeme", "left")
+    sums = counted.groupBy(*columns, "_clause").agg(
+        F.sum(F.coalesce("_texts", F.lit(0))).alias("_texts"), F.any_value("_terms").alias("_terms")
+    )
+    least = F.min(F.struct("_texts", "_clause", "_terms"))["_terms"]
+    return sums.groupBy(*columns).agg(least.alias("chosen"))
+
+
 def matches(searches: DataFrame, texts: DataFrame, mode: str = "any") -> DataFrame:
-    """Searches joined to the texts with any, or all, of their terms.
+    """Searches joined to the texts with any, or all, of their terms, or that meet all of their clauses.
 
     ``searches`` has an array column ``terms``, ``texts`` one named ``words``,
-    both without repeats; all other columns are kept. A search without terms
-    matches nothing.
+    both without repeats; all other columns are kept. For ``mode="clauses"``
+    ``searches`` has ``clauses``, lists of alternative words, instead. A search
+    without terms, or with empty clauses only, matches nothing.
     """
+    if mode == "clauses":
+        searches = searches.withColumn("clauses", as_clauses(mode))
+        asked = searches.select(F.explode(F.flatten("clauses")).alias("_lexeme")).distinct()
+        frequency = (
+            texts.select(F.explode("words").alias("_lexeme"))
+            .join(asked, "_lexeme", "left_semi")
+            .groupBy("_lexeme")
+            .agg(F.count("*").alias("_texts"))
+        )
+        keyed = with_rarest_clause(searches, frequency).withColumn("_lexeme", F.explode("chosen"))
+        met = keyed.join(texts.withColumn("_lexeme", F.explode("words")), "_lexeme")
+        return met.filter(meets("clauses", "_lexeme")).drop("_lexeme", "chosen", "clauses", "words")
     if mode == "any":
         # Of several common words only the first joins.
         keyed = searches.withColumn("_lexeme", F.explode("terms"))
@@ -61,7 +117,7 @@ def matches(searches: DataFrame, texts: DataFrame, mode: str = "any") -> DataFra
         keyed = _by_rarest_term(searches, texts)
         verified = F.forall("terms", lambda term: F.array_contains("words", term))
     else:
-        raise ValueError("mode must be 'any' or 'all'")
+        raise ValueError("mode must be 'any', 'all' or 'clauses'")
     met = keyed.join(texts.withColumn("_lexeme", F.explode("words")), "_lexeme")
     return met.filter(verified).drop("_lexeme", "terms", "words")
 
@@ -98,9 +154,7 @@ def concept_hits(
     stop_words: Sequence[str] = STOP_WORDS,
 ) -> DataFrame:
     """As :func:`text_search`, with the ``search_term`` of each row."""
-    terms = with_words(
-        searches.select("query_id", "search_term"), "search_term", "terms", dictionary, stop_words
-    )
+    terms = asked_words(searches, mode, dictionary, stop_words)
     standard = in_vocabularies(
         vocab.concept.filter(F.col("standard_concept") == "S"), vocabulary_ids
     ).drop("standard_concept")
@@ -119,10 +173,25 @@ def concept_hits(
         dictionary,
         stop_words,
     )
-    by_synonym = matches(terms, synonyms, mode)
-    found_both_ways = by_synonym.select("query_id", "concept_id").distinct()
-    name_only = by_name.join(found_both_ways, ["query_id", "concept_id"], "left_anti")
-    return by_synonym.join(standard, "concept_id").unionByName(name_only)
+    return found_by_either(by_name, matches(terms, synonyms, mode).join(standard, "concept_id"))
+
+
+def asked_words(
+    searches: DataFrame, mode: str, dictionary: DataFrame | None, stop_words: Sequence[str]
+) -> DataFrame:
+    """``query_id``, ``search_term`` and ``terms``, or for clauses ``query_id`` and ``clauses``."""
+    if mode == "clauses":
+        return searches.select("query_id", "clauses")
+    return with_words(
+        searches.select("query_id", "search_term"), "search_term", "terms", dictionary, stop_words
+    )
+
+
+def found_by_either(by_name: DataFrame, by_synonym: DataFrame) -> DataFrame:
+    """A row for each matching synonym, and one for each concept found by its name alone."""
+    both_ways = by_synonym.select("query_id", "concept_id").distinct()
+    name_only = by_name.join(both_ways, ["query_id", "concept_id"], "left_anti")
+    return by_synonym.unionByName(name_only)
 
 
 def text_search(
@@ -138,15 +207,9 @@ def text_search(
 
     With ``concept_synonym``, concepts with a matching synonym are found too, one
     row per matching synonym; a concept found by its name alone has one row with
-    a NULL synonym.
+    a NULL synonym. For ``mode="clauses"`` searches are ``(query_id, clauses)``:
+    lists of alternative lexemes, of each of which a text must have one.
     """
     return concept_hits(
         searches, vocab, vocabulary_ids, concept_synonym, mode, dictionary, stop_words
-    ).select(
-        "query_id",
-        "concept_id",
-        "concept_name",
-        "vocabulary_id",
-        "concept_code",
-        "concept_synonym_name",
-    )
+    ).select(*FOUND_COLUMNS)

@@ -46,7 +46,7 @@ def list_matrix(column) -> np.ndarray:
     if len(lengths) and lengths.min() != lengths.max():
         raise ValueError("vectors differ in length")
     width = int(lengths[0]) if len(lengths) else 0
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), width)
 
 
 def unit_rows(matrix: np.ndarray) -> np.ndarray:

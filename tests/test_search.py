@@ -83,3 +83,21 @@ def test_links_of_candidates(spark, vocab, rows):
         key=repr,
     )
     assert found.filter("query_id = 2 AND concept_id = 5").count() == 6
+
+
+def test_one_answer_for_each_term(searches, vocab):
+    found = {r.query_id: r for r in lookup.concept_answers(searches, vocab, ["RxNorm"], n=2, n_links=2).collect()}
+    assert set(found) == {"t", "ac", "p", "s"}
+    assert found["p"].CONCEPT == found["s"].CONCEPT == []
+    best = found["ac"].CONCEPT
+    assert [c.concept_id for c in best] == [4, 1] and best[0][lookup.SCORE] >= best[1][lookup.SCORE]
+    assert list(best[0].asDict()) == [
+        "concept_name", "concept_id", "vocabulary_id", "concept_code", "concept_name_similarity_score",
+        "CONCEPT_SYNONYM", "CONCEPT_ANCESTOR", "CONCEPT_RELATIONSHIP",
+    ]
+    (tablet,) = found["t"].CONCEPT
+    assert [(x.linked_id, x.linked_name) for x in tablet.CONCEPT_ANCESTOR] == [(1, "Acetaminophen"), (6, "Analgesics")]
+
+
+def test_answers_of_no_terms(searches, vocab):
+    assert lookup.concept_answers(searches.limit(0), vocab).count() == 0
