@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termeval.durable import materialise
 from termeval.sources.vocabulary import CONCEPT_COLUMNS, Vocabulary
 
 
@@ -136,25 +137,49 @@ def name_pairs(
     """Distinct ``(seed_key, target_key)`` pairs of names linked by an edge.
 
     ``wanted`` holds the pairs ``(seed_key, target_key)`` an evaluation asks
-    about. Names repeat, so a name-first lookup multiplies rows; here every edge
-    looks up its two ends by the unique concept id, and only ends whose names
-    are asked about take part. The result has no repeats, so a left join to it
+    about, as a table that is cheap to read again. Names repeat, so a name-first
+    lookup multiplies rows; here every edge looks up its two ends by the unique
+    concept id. The concepts whose names are asked about are found in one scan
+    and stored; edges between others are dropped, and repeated edges reduced to
+    one, before names are joined. The result has no repeats, so a left join to it
     never multiplies the rows of an evaluation set.
     """
-    seed_names = wanted.select("seed_key").distinct()
-    target_names = wanted.select("target_key").distinct()
-    seed_ends = (
-        in_vocabularies(vocab.concept, vocabulary_ids)
-        .select(F.col("concept_id").alias("seed_id"), F.lower("concept_name").alias("seed_key"))
-        .join(seed_names, "seed_key", "left_semi")
+    asked = (
+        wanted.select(F.explode(F.array(_end(SEED, "seed_key"), _end(TARGET, "target_key"))).alias("end"))
+        .select("end.*")
+        .where("key is not null")
+        .distinct()
     )
-    target_name = F.lower("concept_name") if lower_targets else F.col("concept_name")
-    target_ends = vocab.concept.select(
-        F.col("concept_id").alias("target_id"), target_name.alias("target_key")
-    ).join(target_names, "target_key", "left_semi")
-    return (
-        edges.join(seed_ends, "seed_id")
-        .join(target_ends, "target_id")
-        .select("seed_key", "target_key")
+    name = F.col("concept_name")
+    seed_name = F.lower(name)
+    if vocabulary_ids:
+        seed_name = F.when(F.col("vocabulary_id").isin(list(vocabulary_ids)), seed_name)
+    bearing = vocab.concept.withColumn("seed_key", seed_name).withColumn(
+        "target_key", F.lower(name) if lower_targets else name
+    )
+    bearing = bearing.select(
+        "concept_id", F.explode(F.array(_end(SEED, "seed_key"), _end(TARGET, "target_key"))).alias("end")
+    ).select("concept_id", "end.*")
+    ends = materialise(bearing.join(asked, ["kind", "key"], "left_semi"), "name-ends")
+
+    def of(kind: int, side: str) -> DataFrame:
+        chosen = ends.where(F.col("kind") == kind)
+        return chosen.select(F.col("concept_id").alias(f"{side}_id"), F.col("key").alias(f"{side}_key"))
+
+    seeds, targets = of(SEED, "seed"), of(TARGET, "target")
+    linked = (
+        edges.join(seeds.select("seed_id"), "seed_id", "left_semi")
+        .join(targets.select("target_id"), "target_id", "left_semi")
         .distinct()
     )
+    return (
+        linked.join(seeds, "seed_id").join(targets, "target_id").select("seed_key", "target_key").distinct()
+    )
+
+
+# The kinds of ends of an edge.
+SEED, TARGET = 0, 1
+
+
+def _end(kind: int, key: str) -> Column:
+    return F.struct(F.lit(kind).alias("kind"), F.col(key).alias("key"))

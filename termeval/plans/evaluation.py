@@ -15,6 +15,12 @@ from termeval.durable import materialise
 from termeval.plans.metrics import Metric
 from termeval.plans.pipelines import Pipeline
 
+RUN_SCHEMA = (
+    "run_id string, experiment string, description string, time double, "
+    "pipeline_position int, pipeline string, metric_position int, metric string, "
+    "metric_description string"
+)
+
 
 @dataclass
 class Evaluation:
@@ -70,7 +76,13 @@ class Experiment:
             raise ValueError(f"pipeline names must differ: {names}")
 
     def run(self, dataset: DataFrame) -> DataFrame:
-        """The long-form scores of all evaluations."""
+        """The long-form scores of all evaluations.
+
+        The dataset is stored first, so that all pipelines read the same rows and
+        none derives them again.
+        """
+        if len(self.evaluations) > 1:
+            dataset = materialise(dataset, "dataset")
         runs = [evaluation.run(dataset) for evaluation in self.evaluations]
         return reduce(DataFrame.unionByName, runs)
 
@@ -81,12 +93,7 @@ class Experiment:
             for i, e in enumerate(self.evaluations)
             for j, m in enumerate(e.metrics)
         ]
-        return spark.createDataFrame(
-            rows,
-            "run_id string, experiment string, description string, time double, "
-            "pipeline_position int, pipeline string, metric_position int, metric string, "
-            "metric_description string",
-        )
+        return spark.createDataFrame(rows, RUN_SCHEMA)
 
 
 def summarise(scores: DataFrame) -> DataFrame:

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from abc import ABC, abstractmethod
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termeval.durable import materialise
 from termeval.functions import lists, similarity
 from termeval.functions.text import normalise
 from termeval.operators.list_scores import named_list_precision
@@ -96,6 +98,47 @@ class CosineVectorSimilarity(ColumnMetric):
         return similarity.cosine(predicted, actual)
 
 
+class PythonMetric(ColumnMetric):
+    """A metric of one's own in Python, on batches of both columns.
+
+    ``load`` is called once per task in the Python worker and returns a function
+    from a batch of predictions and one of expected outputs, of equal length, to
+    as many scores. Rows with a NULL on either side score NULL and are not handed
+    on, unless ``nulls=True``; a score of None or NaN is NULL. A function that
+    returns another number of scores fails the job.
+    """
+
+    def __init__(
+        self,
+        load: Callable[[], Callable[[list, list], Sequence[float | None]]],
+        description: str = "",
+        nulls: bool = False,
+        **names,
+    ):
+        super().__init__(**names)
+        self.load = load
+        self.nulls = nulls
+        self.description = description
+
+    def expr(self, predicted, actual):
+        load, nulls = self.load, self.nulls
+
+        @F.pandas_udf("double")
+        def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            function = load()
+            for p, a in batches:
+                asked = pd.Series(True, index=p.index) if nulls else p.notna() & a.notna()
+                found = pd.Series(float("nan"), index=p.index, dtype=float)
+                given = list(function(p[asked].tolist(), a[asked].tolist())) if asked.any() else []
+                if len(given) != int(asked.sum()):
+                    raise ValueError(f"{len(given)} scores for {int(asked.sum())} rows")
+                found[asked] = pd.Series(given, index=p.index[asked], dtype=float)
+                yield found
+
+        found = score(predicted, actual)
+        return F.when(~F.isnan(found), found)
+
+
 class _ListMetric(ColumnMetric):
     """Metrics of a predicted array against an array of relevant items."""
 
@@ -177,6 +220,8 @@ class _NameMatch(_VocabularyMetric):
         keyed = df.withColumns(
             {"seed_key": F.lower(actual), "target_key": self.sought(predicted)}
         )
+        # Read twice more, and a model should not predict again for it.
+        keyed = materialise(keyed, "name-match")
         pairs = name_pairs(self.edges(), self.vocab, keyed, self.vocabulary_ids)
         found = keyed.join(
             pairs.withColumn("_linked", F.lit(True)), ["seed_key", "target_key"], "left"
@@ -227,6 +272,7 @@ class _NamePrecision(_VocabularyMetric):
         keyed = items.select(
             "row_id", F.lower("name").alias("seed_key"), F.col("item").alias("target_key")
         )
+        keyed = materialise(keyed, "name-lists")
         pairs = name_pairs(
             self.edges(), self.vocab, keyed, self.vocabulary_ids, lower_targets=False
         )

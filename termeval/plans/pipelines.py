@@ -5,6 +5,7 @@ from __future__ import annotations
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,6 +84,67 @@ def model_predictor(
     return predict
 
 
+def vector_predictor(
+    load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]],
+    width: int,
+    column: str = "input_data",
+) -> Callable[[DataFrame], DataFrame]:
+    """A predictor that runs a user's encoder over the text in ``column``.
+
+    ``load`` is called once per task in the Python worker and returns a function
+    from a batch of texts to as many vectors of ``width`` numbers; anything else
+    fails the job. Equal texts of a batch are encoded once. A NULL text has a
+    NULL vector. Predictions are ``array<float>``.
+    """
+
+    @F.pandas_udf("array<float>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = load()
+        for batch in batches:
+            texts = batch.dropna().unique().tolist()
+            found = np.asarray(model(texts) if texts else np.zeros((0, width)), dtype=np.float32)
+            if found.shape != (len(texts), width):
+                raise ValueError(f"vectors of shape {found.shape} for {len(texts)} texts of width {width}")
+            known = dict(zip(texts, found))
+            yield pd.Series([known.get(text) for text in batch], dtype=object)
+
+    def predict(df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", encode(F.col(column)))
+
+    return predict
+
+
+def one_vector(vectors: DataFrame, column: str, name: str) -> DataFrame:
+    """``column`` and the vector of each text as ``name``; two different vectors of a text fail the job."""
+    conflict = F.raise_error(F.lit("two different vectors for one text"))
+    vector = F.when(F.min("vector").eqNullSafe(F.max("vector")), F.min("vector")).otherwise(conflict)
+    return vectors.groupBy(F.col("text").alias(column)).agg(vector.alias(name))
+
+
+class EncoderPipeline(Pipeline):
+    """Encodes each input text by a predictor of vectors; the prediction is the vector.
+
+    With ``expected``, the expected outputs are encoded too, as the column
+    ``expected_vector`` that vector metrics compare with.
+    """
+
+    def __init__(
+        self,
+        load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]],
+        width: int,
+        expected: bool = False,
+        costly: bool = True,
+    ):
+        self.predictor = vector_predictor(load, width)
+        self.expected = vector_predictor(load, width, "expected_output") if expected else None
+        self.costly = costly
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if self.expected is not None:
+            df = self.expected(df).withColumnRenamed("prediction", "expected_vector")
+        return self.predictor(df)
+
+
 class PromptPipeline(Pipeline):
     """Renders a prompt per row and lets a predictor answer it."""
 
@@ -105,8 +167,8 @@ class PromptPipeline(Pipeline):
 class EmbeddingPipeline(Pipeline):
     """Looks up the vector of each input text; the prediction is the vector.
 
-    ``vectors`` has unique ``text`` and ``vector``. Inputs without a vector get
-    NULL.
+    ``vectors`` has ``text`` and ``vector``. Inputs without a vector get NULL; a
+    text with two different ones fails the job.
     """
 
     def __init__(self, vectors: DataFrame, column: str = "input_data"):
@@ -114,9 +176,7 @@ class EmbeddingPipeline(Pipeline):
         self.column = column
 
     def transform(self, df: DataFrame) -> DataFrame:
-        known = self.vectors.select(
-            F.col("text").alias(self.column), F.col("vector").alias("prediction")
-        )
+        known = one_vector(self.vectors, self.column, "prediction")
         return df.join(known, self.column, "left")
 
 
@@ -144,7 +204,9 @@ class RetrievalPipeline(Pipeline):
 
     Rows carry a ``vector``, or ``vectors`` ``(text, vector)`` supplies it. A
     ranking computed once for a larger ``k`` can be handed in as ``ranked``; its
-    prefix is used. Without a predictor, the nearest name is the prediction.
+    prefix is used; without one, predictions are stored before they are scored, so
+    that no metric ranks again. Without a predictor, the nearest name is the
+    prediction.
     """
 
     def __init__(
@@ -163,14 +225,14 @@ class RetrievalPipeline(Pipeline):
         self.prompt = prompt
         self.vectors = vectors
         self.ranked = ranked
-        self.costly = costly
+        self.costly = costly or ranked is None
 
     def retrieved(self, df: DataFrame) -> DataFrame:
         """``df`` with ``documents`` and the ranked names as ``retrieved``."""
         ranked = self.ranked
         if ranked is None:
             if self.vectors is not None:
-                known = self.vectors.select(F.col("text").alias("input_data"), "vector")
+                known = one_vector(self.vectors, "input_data", "vector")
                 ranked = retrieve(df.join(known, "input_data"), self.vocab, self.k)
             else:
                 ranked = retrieve(df, self.vocab, self.k)

@@ -6,6 +6,7 @@ functions here cover CSV files, parquet folders and catalog tables.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,28 +18,62 @@ REQUIRED = ("input_data", "expected_output")
 def as_pairs(df: DataFrame, key: str | None = None, extra: tuple[str, ...] = ()) -> DataFrame:
     """Select and check the columns of an evaluation set.
 
-    ``key`` names a unique column to identify rows. Without one, ids follow the
-    order of the rows within each file; they are unique but have gaps. Such ids
-    are given once and stored, as plans that join a set to itself would go wrong
-    if a second reading numbered the rows differently.
+    ``key`` names a unique column to identify rows. Without one, rows are
+    numbered from 0 without gaps: those of files by the names of the files and
+    their order in them, others in the order in which they came. The numbers are
+    given once and stored, as plans that join a set to itself would go wrong if a
+    second reading numbered the rows differently.
     """
     wanted = [*REQUIRED, *extra, *([key] if key else [])]
     missing = [name for name in wanted if name not in df.columns]
     if missing:
         raise ValueError(f"the evaluation set lacks the columns {', '.join(missing)}")
-    row_id = F.col(key) if key else F.monotonically_increasing_id()
-    pairs = df.select(row_id.alias("row_id"), *(_text(c) for c in REQUIRED), *extra)
-    return pairs if key else materialise(pairs, "pairs")
+    columns = [*(_text(c) for c in REQUIRED), *(F.col(c) for c in extra)]
+    if key:
+        return df.select(F.col(key).alias("row_id"), *columns)
+    try:
+        placed = df.select(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), *columns)
+    except AnalysisException:
+        # Rows that come from no file, or not straight from one.
+        placed = df.select(F.lit("").alias("file_path"), F.spark_partition_id().alias("file_block_start"), *columns)
+    return _numbered(placed)
+
+
+def _numbered(placed: DataFrame) -> DataFrame:
+    """``row_id`` for rows with the file and the block they were read from.
+
+    Rows of one block are read one after the other in one task. The number of a
+    row is that of all rows in blocks before its own, and its place in the
+    block; only one count for each block comes to the driver.
+    """
+    spark = placed.sparkSession
+    columns = placed.columns[2:]
+    stored = materialise(placed.withColumn("_at", F.monotonically_increasing_id()), "pairs")
+    blocks = stored.groupBy("file_path", "file_block_start").agg(F.min("_at").alias("first"), F.count("*").alias("n"))
+    before, offsets = 0, []
+    for block in sorted(blocks.collect()):
+        offsets.append((block.file_path, block.file_block_start, before - block.first))
+        before += block.n
+    kind = stored.schema["file_block_start"].dataType.simpleString()
+    known = spark.createDataFrame(offsets, f"file_path string, file_block_start {kind}, offset long")
+    # One row for each block: a task's input, not a row of the set.
+    numbered = stored.join(F.broadcast(known), ["file_path", "file_block_start"])
+    return numbered.select((F.col("_at") + F.col("offset")).alias("row_id"), *columns)
 
 
 def read_csv_pairs(
-    spark: SparkSession, path: str, key: str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, key: str | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """Evaluation pairs of CSV files with a header; other columns are ignored.
 
-    All values are text and empty cells are NULL. ``multi_line=False`` lets
-    Spark split large files, for files whose cells hold no line breaks.
+    All values are text and empty cells are NULL. Files are split between tasks
+    unless a cell holds a line break, ``multi_line``; by default that is looked
+    up: a cell that goes on in the next line leaves a line with an odd number of
+    quotes behind.
     """
+    if multi_line is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
     df = spark.read.csv(
         path, header=True, quote='"', escape='"', multiLine=multi_line, inferSchema=False
     )
@@ -46,7 +81,7 @@ def read_csv_pairs(
 
 
 def read_csv_prompt_pairs(
-    spark: SparkSession, path: str, key: str | None = None, multi_line: bool = True
+    spark: SparkSession, path: str, key: str | None = None, multi_line: bool | None = None
 ) -> DataFrame:
     """As :func:`read_csv_pairs` with the input wrapped in a one-element array."""
     return wrap_input(read_csv_pairs(spark, path, key, multi_line))

@@ -1,8 +1,9 @@
 """The result log: long-form scores, and the nested result document.
 
-Scores are appended as parquet, partitioned by experiment. The metadata of a run
-is written last, and only runs with metadata are read back, so a run that failed
-half-way is not seen.
+Scores are appended as parquet, partitioned by experiment and run. A run's own
+partitions are overwritten, so an append that is repeated, or was broken off and
+is done again, leaves each score once. The metadata of a run is written last, and
+only runs with metadata are read back, so a run that failed half-way is not seen.
 """
 
 from __future__ import annotations
@@ -11,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from termeval.plans.evaluation import Experiment
+from termeval.durable import scratch
+from termeval.plans.evaluation import RUN_SCHEMA, Experiment
 
 DOCUMENT_SCHEMA = (
     "Experiment string, Description string, Time double, "
@@ -35,7 +37,7 @@ class ResultLog:
         )
 
     def append(self, experiment: Experiment, scores: DataFrame) -> None:
-        """Store the scores of one run of ``experiment``."""
+        """Store the scores of one run of ``experiment``; doing so again changes nothing."""
         (
             scores.select(
                 F.lit(experiment.name).alias("experiment"),
@@ -46,15 +48,23 @@ class ResultLog:
                 "value",
             )
             .to(T.StructType.fromDDL(self.schema))
-            .write.mode("append")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
             .partitionBy("experiment", "run_id")
             .parquet(f"{self.path}/scores")
         )
-        metadata = experiment.metadata(self.spark)
-        metadata.coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
+        metadata = experiment.metadata(self.spark).coalesce(1)
+        heads = metadata.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        heads.partitionBy("run_id").parquet(f"{self.path}/runs")
+
+    def record(self, experiment: Experiment, dataset: DataFrame) -> None:
+        """Run ``experiment`` and store its scores; the tables it stores on the way are deleted."""
+        with scratch(self.spark):
+            self.append(experiment, experiment.run(dataset))
 
     def runs(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/runs")
+        # Run ids are texts, even if all of their letters are digits.
+        return self.spark.read.schema(RUN_SCHEMA).parquet(f"{self.path}/runs")
 
     def scores(self) -> DataFrame:
         """Scores of the completed runs."""

@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 from pyspark.errors import PySparkException
@@ -196,3 +197,89 @@ def test_unfinished_runs_are_not_read(spark, dataset, tmp_path):
     with pytest.raises(RuntimeError):
         log.append(failed, failed.run(dataset))
     assert {r.experiment for r in log.scores().collect()} == {"done"}
+
+
+def test_appending_a_run_again_changes_nothing(spark, dataset, rows, tmp_path):
+    log = results.ResultLog(spark, str(tmp_path / "log"))
+    one, other = ev.Experiment("one", [identity()]), ev.Experiment("other", [identity()], run_id="0012")
+    for experiment in (one, other, one):
+        log.append(experiment, experiment.run(dataset))
+    assert log.scores().count() == 2 * one.run(dataset).count() and log.runs().count() == 2 * one.metadata(spark).count()
+    assert {r.run_id for r in log.scores().collect()} == {one.run_id, "0012"}
+
+
+def test_an_append_that_broke_off_is_done_again(spark, dataset, tmp_path):
+    log = results.ResultLog(spark, str(tmp_path / "log"))
+    run = ev.Experiment("run", [identity()])
+    metadata = run.metadata
+    run.metadata = lambda spark: (_ for _ in ()).throw(RuntimeError("lost"))
+    with pytest.raises(RuntimeError):
+        log.append(run, run.run(dataset))
+    run.metadata = metadata
+    log.append(run, run.run(dataset))
+    assert log.scores().count() == run.run(dataset).count()
+
+
+def test_a_recorded_run_leaves_only_its_scores(spark, dataset, tmp_path):
+    seen = []
+
+    class Once(p.IdentityPipeline):
+        costly = True
+
+        def transform(self, df):
+            seen.append(df)
+            return super().transform(df)
+
+    experiment = ev.Experiment("two", [ev.Evaluation(x, Once(), [m.ExactMatch()]) for x in "ab"])
+    before = set(os.listdir(f"{shared_folder(spark)}/termeval"))
+    log = results.ResultLog(spark, str(tmp_path / "log"))
+    log.record(experiment, dataset)
+    assert set(os.listdir(f"{shared_folder(spark)}/termeval")) == before
+    assert log.scores().count() == 6 and len(seen) == 2
+
+
+# Encoders and metrics of one's own
+
+
+def letters():
+    return lambda texts: [[float(len(x)), float(x.count("a"))] for x in texts]
+
+
+def test_encoder_pipeline(spark, rows):
+    data = [(0, "banana", "a"), (1, None, "b"), (2, "", None), (3, "banana", "a")]
+    df = spark.createDataFrame(data, "row_id bigint, input_data string, expected_output string")
+    found = p.EncoderPipeline(letters, 2, expected=True).transform(df)
+    assert dict(found.dtypes)["prediction"] == "array<float>"
+    assert rows(found, "row_id", "prediction", "expected_vector") == [
+        (0, [6.0, 3.0], [1.0, 1.0]), (1, None, [1.0, 0.0]), (2, [0.0, 0.0], None), (3, [6.0, 3.0], [1.0, 1.0]),
+    ]
+    run = ev.Evaluation("encoder", p.EncoderPipeline(letters, 2, expected=True), [m.DotVectorSimilarity()])
+    assert rows(run.run(df), "row_id", "value") == [(0, 9.0), (1, None), (2, None), (3, 9.0)]
+
+
+def test_vectors_of_another_width_fail(spark, dataset):
+    with pytest.raises(PySparkException, match="of width 3"):
+        p.EncoderPipeline(letters, 3).transform(dataset).collect()
+
+
+def test_two_vectors_of_one_text_fail(spark, dataset):
+    data = [("aspirin", [1.0, 2.0]), ("aspirin", [1.0, 2.0]), ("other", [0.0, 0.0]), ("other", [0.0, 1.0])]
+    vectors = spark.createDataFrame(data, "text string, vector array<double>")
+    same = p.EmbeddingPipeline(vectors.where("text = 'aspirin'")).transform(dataset)
+    assert same.count() == 3
+    with pytest.raises(PySparkException, match="two different vectors"):
+        p.EmbeddingPipeline(vectors).transform(dataset).collect()
+
+
+def lengths():
+    return lambda predicted, actual: [None if p == "" else len(p or "") + len(a or "") for p, a in zip(predicted, actual)]
+
+
+def test_python_metric(spark, rows):
+    data = [(0, "ab", "c"), (1, None, "c"), (2, "ab", None), (3, "", "c")]
+    df = spark.createDataFrame(data, "row_id bigint, prediction string, expected_output string")
+    strict, loose = m.PythonMetric(lengths, label="x"), m.PythonMetric(lengths, label="x", nulls=True)
+    assert rows(strict.apply(df), "row_id", "x") == [(0, 3.0), (1, None), (2, None), (3, None)]
+    assert rows(loose.apply(df), "row_id", "x") == [(0, 3.0), (1, 1.0), (2, 2.0), (3, None)]
+    with pytest.raises(PySparkException, match="0 scores for"):
+        m.PythonMetric(lambda: lambda p, a: [], label="x").apply(df).collect()
