@@ -194,6 +194,30 @@ def name_searches(t: Tables) -> DataFrame:
     )
 
 
+def clause_searches(t: Tables) -> DataFrame:
+    """Every distinct part name and type: one of the first word or the type, and one of the last word or "bolt"."""
+    words = F.split("p_name", " ")
+    kind = F.lower("p_type")
+    return (
+        t.part.select("p_name", "p_type")
+        .distinct()
+        .select(
+            F.concat("p_name", F.lit(" "), kind).alias("query_id"),
+            F.array(
+                F.array_distinct(F.array(F.element_at(words, 1), kind)),
+                F.array_distinct(F.array(F.element_at(words, -1), F.lit("bolt"))),
+            ).alias("clauses"),
+        )
+    )
+
+
+def lookup_searches(t: Tables) -> DataFrame:
+    """Every distinct part name and type as a search; most types match nothing."""
+    kinds = t.part.select(F.col("p_type").alias("query_id")).distinct()
+    kinds = kinds.select("query_id", F.concat(F.lit("the "), F.lower("query_id")).alias("search_term"))
+    return name_searches(t).unionByName(kinds)
+
+
 def mean_vectors(vectors: DataFrame, key: str) -> DataFrame:
     """``(key, vector)``: mean of ``embedding`` per key, rounded to 9 places.
 
@@ -220,13 +244,14 @@ def label_vectors(t: Tables) -> DataFrame:
 
 
 def naming_set(t: Tables) -> DataFrame:
-    """Find a name from its mean vector: one row per distinct name."""
-    return name_vectors(t).select(
-        F.col("text").alias("row_id"),
-        F.col("text").alias("input_data"),
-        F.upper("text").alias("expected_output"),
-        F.array("text").alias("relevant"),
-        "vector",
+    """Find a name from a vector: one row per concept that has a vector."""
+    name = F.lower("concept_name")
+    return concept(t).join(concept_embedding(t), "concept_id").select(
+        F.col("concept_id").alias("row_id"),
+        name.alias("input_data"),
+        F.upper("concept_name").alias("expected_output"),
+        F.array(name).alias("relevant"),
+        F.col("embedding").alias("vector"),
     )
 
 
@@ -279,6 +304,20 @@ def eval_hierarchy(t: Tables) -> DataFrame:
     )
 
 
+def eval_descriptions(t: Tables) -> DataFrame:
+    """A description of each supplier as expected, that of the next one as prediction."""
+    n_suppliers = t.supplier.count()
+    located = t.supplier.join(t.nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    located = located.join(t.region, F.col("n_regionkey") == F.col("r_regionkey"))
+    place = F.concat(F.col("n_name"), F.lit(", "), F.col("r_name"))
+    told = F.concat(
+        F.col("s_name"), F.lit(" delivers all goods from "), place, F.lit(" to buyers outside "), F.upper("n_name"), F.lit(". "), place
+    )
+    told = located.select("s_suppkey", told.alias("told"))
+    other = told.select(((F.col("s_suppkey") + 1) % n_suppliers).alias("row_id"), F.col("told").alias("prediction"))
+    return other.join(told.withColumnRenamed("s_suppkey", "row_id").withColumnRenamed("told", "expected_output"), "row_id")
+
+
 def eval_turns(t: Tables) -> DataFrame:
     """A user turn and the assistant's reply to it, whole texts."""
     replies = t.conversations.filter(F.col("role") == "assistant").select(

@@ -46,11 +46,11 @@ VIEWS = {
             GROUP BY text, pos)
         GROUP BY text""",
     "ranked": """
-        SELECT text, concept_name, concept_id, score,
-               row_number() OVER (PARTITION BY text ORDER BY round(score, 12), concept_id) AS rank
-        FROM (SELECT text, concept_name, concept_id,
-                     1 - list_cosine_similarity(v, vector) AS score
-              FROM name_vectors CROSS JOIN vectors)""",
+        SELECT row_id, text, concept_name, concept_id, score,
+               row_number() OVER (PARTITION BY row_id ORDER BY round(score, 12), concept_id) AS rank
+        FROM (SELECT q.concept_id AS row_id, lower(q.concept_name) AS text, c.concept_name, c.concept_id,
+                     1 - list_cosine_similarity(c.v, q.v) AS score
+              FROM vectors q CROSS JOIN vectors c)""",
     "name_seeds": "SELECT DISTINCT lower(concept_name) AS query_id FROM concept",
     "found_ids": """
         SELECT query_id, concept_id FROM name_seeds JOIN concept ON lower(concept_name) = query_id""",
@@ -103,7 +103,7 @@ USES = {
     "concept_ancestor": ["concept"],
     "vectors": ["concept"],
     "name_vectors": ["vectors"],
-    "ranked": ["name_vectors"],
+    "ranked": ["vectors"],
     "name_seeds": ["concept"],
     "found_ids": ["name_seeds"],
     "eval_related": ["eval_pairs"],
@@ -187,6 +187,26 @@ ORACLES["fuzzy_match_ratio"] = sql(
     "eval_pairs",
     **ratios("SELECT prediction AS x, expected_output AS y FROM eval_pairs"),
 )
+_TOLD = """
+    SELECT s_suppkey AS k, concat(s_name, ' delivers all goods from ', n_name, ', ', r_name, ' to buyers outside ',
+                                  upper(n_name), '. ', n_name, ', ', r_name) AS told
+    FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"""
+_DESCRIPTIONS = f"""
+    SELECT a.k AS row_id, b.told AS prediction, a.told AS expected_output FROM ({_TOLD}) a JOIN ({_TOLD}) b
+    ON a.k = (b.k + 1) % (SELECT count(*) FROM supplier)"""
+ORACLES["fuzzy_match_long"] = sql(
+    "SELECT row_id, round(ratio, 6) AS score FROM descriptions "
+    "JOIN ratios ON a = lower(prediction) AND b = lower(expected_output)",
+    descriptions=_DESCRIPTIONS,
+    **ratios("SELECT prediction AS x, expected_output AS y FROM descriptions"),
+)
+_SPLIT = "list_distinct(list_filter(regexp_split_to_array(lower({}), '\\s+'), lambda w: w <> ''))"
+ORACLES["python_metric"] = sql(
+    "SELECT row_id, CASE WHEN row_id % 7 <> 0 THEN round(len(list_intersect(p, a)) / "
+    "len(list_distinct(list_concat(p, a))), 6) END AS score FROM ("
+    f"SELECT row_id, {_SPLIT.format('prediction')} AS p, {_SPLIT.format('expected_output')} AS a FROM eval_pairs)",
+    "eval_pairs",
+)
 for _name, _function in (("dot", "inner_product"), ("cosine", "cosine_similarity")):
     ORACLES[f"{_name}_similarity"] = sql(
         f"SELECT concept_id AS row_id, round(list_{_function}(v, vector), 4) AS score "
@@ -277,6 +297,10 @@ ORACLES["vector_self_topk"] = sql(
     "vectors",
 )
 
+_SELF_TOP = "SELECT query_id, rank, concept_id, score FROM ({})".format(ORACLES["vector_self_topk"])
+for _name in ("vector_grid_topk", "vector_index_every_cell"):
+    ORACLES[_name] = _SELF_TOP
+
 ORACLES["search_term_preprocess"] = (
     "SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(text), "
     rf"'[\s\x0b\p{{Z}}]+'), lambda w: NOT list_contains({STOPS}, w)), ' | ') AS search_term FROM documents"
@@ -313,6 +337,28 @@ ORACLES["text_search_all_terms"] = _search("branded", "all", False)
 ORACLES["text_search_synonyms"] = _search("standard", "any", True)
 ORACLES["text_search_synonyms_all_terms"] = _search("branded", "all", True)
 
+ORACLES["text_search_indexed"] = ORACLES["text_search"]
+_CLAUSES = {
+    "clauses": "SELECT DISTINCT concat(p_name, ' ', lower(p_type)) AS query_id, "
+    "[string_split(p_name, ' ')[1], lower(p_type)] AS one, [string_split(p_name, ' ')[-1], 'bolt'] AS other FROM part"
+}
+_MEETS = "list_has_any(words, one) AND list_has_any(words, other)"
+ORACLES["text_search_clauses"] = sql(
+    "SELECT query_id, s.concept_id, concept_name, vocabulary_id, concept_code, "
+    f"CAST(NULL AS VARCHAR) AS concept_synonym_name FROM clauses JOIN names s ON {_MEETS}",
+    "standard", **_CLAUSES, names=f"SELECT *, {words('concept_name')} AS words FROM standard",
+)
+ORACLES["text_search_indexed_clauses"] = sql(
+    "SELECT c.query_id, s.concept_id, concept_name, vocabulary_id, concept_code, concept_synonym_name "
+    "FROM clauses c CROSS JOIN names s LEFT JOIN synonym_hits h "
+    f"ON h.query_id = c.query_id AND h.concept_id = s.concept_id WHERE ({_MEETS}) OR h.concept_id IS NOT NULL",
+    "branded", "concept_synonym", **_CLAUSES,
+    names=f"SELECT *, {words('concept_name')} AS words FROM branded",
+    synonyms=f"SELECT concept_id, concept_synonym_name, {words('concept_synonym_name')} AS words "
+    "FROM concept_synonym WHERE concept_id IN (SELECT concept_id FROM branded)",
+    synonym_hits=f"SELECT query_id, concept_id, concept_synonym_name FROM clauses JOIN synonyms ON {_MEETS}",
+)
+
 _RELATED = (
     "SELECT DISTINCT lower(a.concept_name) AS seed, lower(b.concept_name) AS target "
     "FROM concept_relationship JOIN concept a ON a.concept_id = concept_id_1 "
@@ -395,9 +441,9 @@ for _name, _score in (
     ("prompt_rag_scores", " || ' (cosine distance = ' || CAST(CAST(round(score, 4) AS DECIMAL(18, 4)) AS VARCHAR) || ')'"),
 ):
     ORACLES[_name] = sql(
-        f"SELECT text AS row_id, {_HEAD} 'Possible related terms:' || chr(10) || "
+        f"SELECT row_id, {_HEAD} 'Possible related terms:' || chr(10) || "
         f"string_agg('    ' || concept_name{_score}, chr(10) ORDER BY rank) || chr(10) || chr(10) || "
-        f"'Informal name: ' || text || '<|eot_id|>' {_TAIL} FROM ranked WHERE rank <= 5 GROUP BY text",
+        f"'Informal name: ' || text || '<|eot_id|>' {_TAIL} FROM ranked WHERE rank <= 5 GROUP BY row_id, text",
         "ranked",
     )
 
@@ -443,21 +489,34 @@ ORACLES["embedding_eval"] = sql(
     "eval_pairs", "name_vectors",
 )
 
+_COUNTS = "[{}]".format(
+    ", ".join(f"CAST(len({{0}}) - len(replace({{0}}, '{letter}', '')) AS DOUBLE)" for letter in "abcdefgh")
+)
+ORACLES["encoder_eval"] = sql(
+    " UNION ALL ".join(
+        f"SELECT 'encoder' AS pipeline, row_id, '{metric}VectorSimilarity' AS metric, "
+        f"round(list_{function}(p, a), 4) AS value FROM counted"
+        for metric, function in (("Dot", "inner_product"), ("Cosine", "cosine_similarity"))
+    ),
+    "eval_pairs",
+    counted=f"SELECT row_id, {_COUNTS.format('input_data')} AS p, {_COUNTS.format('expected_output')} AS a FROM eval_pairs",
+)
+
 _LISTS = {
     "depths": "SELECT unnest([5, 10, 20]) AS k",
     "lists": """
-        SELECT k, text, min_by(concept_name, rank) AS first,
+        SELECT k, row_id, text, min_by(concept_name, rank) AS first,
                CAST(count(*) AS DOUBLE) AS n,
                CAST(count(*) FILTER (concept_name = text) AS DOUBLE) AS hits
-        FROM ranked JOIN depths ON rank <= k GROUP BY k, text""",
+        FROM ranked JOIN depths ON rank <= k GROUP BY k, row_id, text""",
 }
 ORACLES["rag_eval"] = sql(
-    "SELECT 'top ' || k AS pipeline, text AS row_id, metric, round(value, 4) AS value FROM ("
-    "SELECT k, text, 'UncasedMatch' AS metric, CAST(lower(first) = text AS DOUBLE) AS value FROM lists "
-    "UNION ALL SELECT k, text, 'FuzzyMatchRatio', ratio FROM lists JOIN ratios ON a = lower(first) AND b = text "
-    "UNION ALL SELECT k, text, 'PrecisionMetric', hits / n FROM lists "
-    "UNION ALL SELECT k, text, 'RecallMetric', hits FROM lists "
-    "UNION ALL SELECT k, text, 'FScoreMetric', 5 * (hits / n) * hits / nullif(4 * hits / n + hits, 0) FROM lists)",
+    "SELECT 'top ' || k AS pipeline, row_id, metric, round(value, 4) AS value FROM ("
+    "SELECT k, row_id, 'UncasedMatch' AS metric, CAST(lower(first) = text AS DOUBLE) AS value FROM lists "
+    "UNION ALL SELECT k, row_id, 'FuzzyMatchRatio', ratio FROM lists JOIN ratios ON a = lower(first) AND b = text "
+    "UNION ALL SELECT k, row_id, 'PrecisionMetric', hits / n FROM lists "
+    "UNION ALL SELECT k, row_id, 'RecallMetric', hits FROM lists "
+    "UNION ALL SELECT k, row_id, 'FScoreMetric', 5 * (hits / n) * hits / nullif(4 * hits / n + hits, 0) FROM lists)",
     "ranked", **_LISTS, **ratios("SELECT first AS x, text AS y FROM lists"),
 )
 ORACLES["retrieval_naming"] = sql(
@@ -490,3 +549,42 @@ ORACLES["concept_lookup_links"] = sql(
     "searches", "standard", "concept_synonym", "concept_ancestor", "concept_relationship", **_FOUND,
     found="SELECT query_id, concept_id FROM terms JOIN names ON list_has_all(words, terms)",
 )
+
+# The links of the best concepts, each section cut to its first four entries.
+_SECTIONS = {
+    "concept_synonym": "SELECT concept_id, CAST(NULL AS BIGINT) AS linked_id, concept_synonym_name AS linked_name FROM concept_synonym",
+    "concept_ancestor": "SELECT descendant_id AS concept_id, c.concept_id AS linked_id, c.concept_name AS linked_name "
+    "FROM concept_ancestor JOIN concept c ON c.concept_id = ancestor_id",
+    "concept_relationship": "SELECT concept_id_1 AS concept_id, c.concept_id AS linked_id, c.concept_name AS linked_name "
+    "FROM concept_relationship JOIN concept c ON c.concept_id = concept_id_2",
+}
+_LINKS = ", ".join(
+    f"coalesce(string_agg(coalesce({name}, ''), ';' ORDER BY rank) FILTER (rank IS NOT NULL), '') AS {name}" for name in _SECTIONS
+)
+ORACLES["concept_answers"] = sql(
+    "SELECT s.query_id, s.search_term, "
+    "coalesce(string_agg(CAST(b.concept_id AS VARCHAR), ';' ORDER BY rank), '') AS concept_ids, "
+    f"coalesce(round(sum(score), 4), 0.0) AS score_sum, {_LINKS} "
+    "FROM asked s LEFT JOIN best b ON b.query_id = s.query_id "
+    + " ".join(f"LEFT JOIN cut_{name} ON cut_{name}.concept_id = b.concept_id" for name in _SECTIONS)
+    + " GROUP BY s.query_id, s.search_term",
+    "searches", "standard", "concept_synonym", "concept_ancestor", "concept_relationship",
+    asked="SELECT * FROM searches UNION ALL SELECT DISTINCT p_type, concat('the ', lower(p_type)) FROM part",
+    terms=f"SELECT query_id, search_term, {words('search_term')} AS terms FROM asked",
+    names=_FOUND["names"],
+    found="SELECT * FROM terms JOIN names ON list_has_any(words, terms)",
+    **ratios("SELECT search_term AS x, concept_name AS y FROM found"),
+    best="""
+        SELECT query_id, concept_id, ratio AS score, row_number() OVER (
+            PARTITION BY query_id ORDER BY ratio DESC, concept_id) AS rank
+        FROM found JOIN ratios ON a = lower(search_term) AND b = lower(concept_name) QUALIFY rank <= 5""",
+    **{
+        f"cut_{name}": f"""
+        SELECT concept_id, string_agg(linked_name, ',' ORDER BY place) AS {name} FROM (
+            SELECT concept_id, linked_name, row_number() OVER (
+                PARTITION BY concept_id ORDER BY linked_name, linked_id NULLS FIRST) AS place
+            FROM (SELECT DISTINCT * FROM ({body})) WHERE concept_id IN (SELECT concept_id FROM best))
+        WHERE place <= 4 GROUP BY concept_id"""
+        for name, body in _SECTIONS.items()
+    },
+)

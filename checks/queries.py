@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from checks import fixtures as fx
 from termeval.durable import materialise
 from termeval.functions import prompts, similarity, text
-from termeval.operators import list_scores, lookup, search, vectors, vocabulary
+from termeval.operators import list_scores, lookup, search, vector_index, vectors, vocabulary
+from termeval.operators.text_index import ConceptIndex
+from termeval.operators.vector_grid import nearest_by_blocks
 from termeval.plans import evaluation, metrics, pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,6 +67,30 @@ def fuzzy_match_turns(t):
     return turns.select("conv_id", "turn", F.round(ratio, 6).alias("score"))
 
 
+@query
+def fuzzy_match_long(t):
+    """Descriptions of over 64 letters: each supplier's against the next one's."""
+    pairs = fx.eval_descriptions(t)
+    return scored(pairs, metrics.FuzzyMatchRatio(), 6)
+
+
+def shared_words():
+    """Scores pairs by the share of their different words that both have."""
+
+    def score(predicted, actual):
+        split = [(set(p.lower().split()), set(a.lower().split())) for p, a in zip(predicted, actual)]
+        return [len(p & a) / len(p | a) if p | a else None for p, a in split]
+
+    return score
+
+
+@query
+def python_metric(t):
+    """A metric of one's own, in Python."""
+    pairs = fx.eval_pairs(t).withColumn("prediction", F.when(F.col("row_id") % 7 != 0, F.col("prediction")))
+    return scored(pairs, metrics.PythonMetric(shared_words, label="SharedWords"), 6)
+
+
 def _vector_pairs(t):
     named = fx.concept(t).join(fx.concept_embedding(t), "concept_id")
     means = fx.name_vectors(t).withColumnRenamed("vector", "expected_vector")
@@ -160,14 +186,51 @@ def vector_topk_batch(t):
     return found.withColumn("score", F.round("score", 4))
 
 
+def _own_vectors(t):
+    """The vector of each concept that has one: ``(query_id, vector)``."""
+    known = fx.concept_embedding(t).join(fx.concept(t), "concept_id", "left_semi")
+    return known.select(F.col("concept_id").alias("query_id"), F.col("embedding").alias("vector"))
+
+
+def _others(found):
+    """The five nearest but for the concept itself."""
+    order = Window.partitionBy("query_id").orderBy("rank")
+    found = found.filter("query_id != concept_id").withColumn("rank", F.row_number().over(order))
+    return found.filter("rank <= 5").withColumn("score", F.round("score", 4))
+
+
 @query
 def vector_self_topk(t):
     """The five other concepts nearest to each concept that has a vector."""
-    own = fx.concept_embedding(t).select(F.col("concept_id").alias("query_id"), F.col("embedding").alias("vector"))
-    found = vectors.nearest_concepts_batch(own, fx.vocabulary(t), 6).filter("query_id != concept_id")
-    order = Window.partitionBy("query_id").orderBy("rank")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter("rank <= 5")
-    return ranked.withColumn("score", F.round("score", 4))
+    return _others(vectors.nearest_concepts_batch(_own_vectors(t), fx.vocabulary(t), 6))
+
+
+@query
+def vector_grid_topk(t):
+    """The same by blocks of queries and of vectors."""
+    own = _own_vectors(t)
+    known = own.select(F.col("query_id").alias("concept_id"), F.col("vector").alias("embedding"))
+    return _others(nearest_by_blocks(own, known, 6, block_rows=512))
+
+
+def _indexed(t):
+    own = _own_vectors(t)
+    known = own.select(F.col("query_id").alias("concept_id"), F.col("vector").alias("embedding"))
+    return own, vector_index.build(known)
+
+
+@query
+def vector_index_topk(t):
+    """The same by an index, whose queries probe some of its cells."""
+    own, index = _indexed(t)
+    return _others(index.search(own, 6))
+
+
+@query
+def vector_index_every_cell(t):
+    """The same by an index, whose queries probe all of its cells."""
+    own, index = _indexed(t)
+    return _others(index.search(own, 6, probes=len(index.centroids)))
 
 
 # Text search
@@ -202,6 +265,24 @@ def text_search_synonyms_all_terms(t):
     )
 
 
+@query
+def text_search_clauses(t):
+    """Names that have one word of each of two lists."""
+    return search.text_search(fx.clause_searches(t), fx.vocabulary(t), mode="clauses")
+
+
+@query
+def text_search_indexed(t):
+    return ConceptIndex.build(fx.vocabulary(t)).text_search(fx.name_searches(t))
+
+
+@query
+def text_search_indexed_clauses(t):
+    """Names or synonyms that have one word of each of two lists, by an index."""
+    index = ConceptIndex.build(fx.vocabulary(t))
+    return index.text_search(fx.clause_searches(t), fx.BRANDS, concept_synonym=True, mode="clauses")
+
+
 # Metrics backed by the vocabulary
 
 
@@ -365,10 +446,29 @@ def embedding_eval(t):
     return rounded(run.run(_dataset(t).join(expected, "expected_output", "left")))
 
 
+LETTERS = "abcdefgh"
+
+
+def letter_counts():
+    """An encoder: how often each of eight letters occurs."""
+    return lambda texts: [[float(x.count(letter)) for letter in LETTERS] for x in texts]
+
+
+@query
+def encoder_eval(t):
+    """Vectors that an encoder gives to the inputs and to the expected names."""
+    run = evaluation.Evaluation(
+        "encoder",
+        pipelines.EncoderPipeline(letter_counts, len(LETTERS), expected=True),
+        [metrics.DotVectorSimilarity(), metrics.CosineVectorSimilarity()],
+    )
+    return rounded(run.run(_dataset(t)))
+
+
 def retrieval_experiment(t, depths=(5, 10, 20)):
     """Nearest name and retrieved lists at several depths of one ranking."""
     vocab = fx.vocabulary(t)
-    dataset = fx.naming_set(t)
+    dataset = materialise(fx.naming_set(t), "naming-set")
     ranked = materialise(pipelines.retrieve(dataset, vocab, max(depths)), "ranking")
     scores = [
         metrics.UncasedMatch(),
@@ -449,3 +549,24 @@ def concept_lookup_links(t):
     vocab = fx.vocabulary(t)
     found = search.text_search(fx.name_searches(t), vocab, mode="all")
     return lookup.concept_links(found, vocab)
+
+
+@query
+def concept_answers(t):
+    """One answer for each search, also for those that match nothing."""
+    found = lookup.concept_answers(fx.lookup_searches(t), fx.vocabulary(t), n=5, n_links=4)
+
+    def joined(values, separator=";"):
+        return F.array_join(F.transform("CONCEPT", values), separator)
+
+    def names(section):
+        return lambda c: F.array_join(F.transform(c[section], lambda x: x["linked_name"]), ",")
+
+    score = lookup.SCORE
+    return found.select(
+        "query_id",
+        "search_term",
+        joined(lambda c: c["concept_id"].cast("string")).alias("concept_ids"),
+        F.round(F.aggregate("CONCEPT", F.lit(0.0), lambda z, c: z + c[score]), 4).alias("score_sum"),
+        *(joined(names(section)).alias(section.lower()) for section in lookup.SECTIONS),
+    )

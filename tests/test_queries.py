@@ -1,6 +1,8 @@
 """Every registered query against its SQL on the smallest driver tables."""
 
 import os
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables absent")
 
 # Too slow as SQL over whole texts; checked by brute force below.
-WITHOUT_SQL = {"fuzzy_match_turns"}
+# What an index finds is measured against the exact search.
+WITHOUT_SQL = {"fuzzy_match_turns", "vector_index_topk"}
 
 
 @pytest.fixture(scope="module")
@@ -42,11 +45,49 @@ def test_fuzzy_match_turns_by_brute_force(spark):
     assert found == pytest.approx(expected) and len(found) > 30
 
 
+def test_index_finds_what_the_exact_search_does(spark):
+    def pairs(name):
+        return {(r.query_id, r.concept_id) for r in QUERIES[name](spark, FOLDER).collect()}
+
+    exact = pairs("vector_self_topk")
+    assert len(pairs("vector_index_topk") & exact) >= 0.9 * len(exact)
+
+
+def test_vectors_without_a_concept_ask_nothing(spark):
+    t = fx.Tables(spark, FOLDER)
+    without = fx.concept_embedding(t).join(fx.concept(t), "concept_id", "left_anti").count()
+    asked = QUERIES["vector_self_topk"](spark, FOLDER).select("query_id").distinct().count()
+    assert without > 0 and asked == fx.concept_embedding(t).count() - without
+
+
 def test_entry(spark):
     assert {r.metric for r in contract.entry(spark).collect()} == {"UncasedMatch", "PrecisionMetric"}
     assert contract.queries().keys() >= QUERIES.keys()
 
 
+@pytest.mark.parametrize("name, table, most", [("related_name_precision", "lineitem", 2), ("related_name_match", "part", 3), ("rag_eval", "embeddings", 1)])
+def test_tables_are_not_read_again_and_again(spark, name, table, most):
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert sum("FileScan" in line and f"/{table}.parquet" in line for line in plan.splitlines()) <= most
+
+
+HIDDEN = """
+import importlib.util
+find = importlib.util.find_spec
+importlib.util.find_spec = lambda name, *a: None if name.startswith("termeval.llm") else find(name, *a)
+import __spark_entry__ as contract
+assert not [x for x in contract.queries() if x.startswith("op") or x == "pipeline"] and "exact_match" in contract.queries()
+assert set(contract.oracle_sql()) <= set(contract.queries())
+import sys
+assert not [x for x in sys.modules if x.startswith("termeval.llm") or x == "corpus_pipeline"]
+"""
+
+
+def test_the_rest_imports_without_the_operators_for_training_text():
+    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", HIDDEN], check=True, cwd=folder)
+
+
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_plan_has_no_cross_join(spark, name):
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
