@@ -18,20 +18,32 @@ from termeval.llm.shared import held_out, table, without
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that the models of toxic and ordinary text, trained on the labels, do not reject."""
+    """Documents that the models of toxic and ordinary text, trained on the labels, do not reject.
+
+    Each row is judged by its own text; null and empty texts get the score of no
+    letters. Repeated rows and rows without an id are judged like any other.
+    """
     known = toxicity.labelled(docs.where(~held_out(F.col("doc_id"))), table(spark, folder, "labels"))
     scored = toxicity.score(docs, toxicity.train(known), tuple(F.col(c) for c in docs.columns))
     return scored.where("predicted = 0").select(docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """The document with the least id of each group of near copies: texts that share 80 % of all five-word shingles of both."""
+    """The document with the least id of each group of near copies: texts that share 80 % of all five-word shingles of both.
+
+    Rows that share an id are one document: they stay, or go if one of their
+    texts is a near copy of a document with a lesser id. A row without an id
+    stays, and takes no other's place. Null and empty texts are no copies.
+    """
     joined = shingle_join.join(docs, words=5, percent=80)
     return without(docs, joined.where("component_id < doc_id"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, nor 64 letters of a longer one from a place on that is searched for.
+
+    Rows that share an id go together; a row without an id stays.
+    """
     return without(docs, decontaminate.matches(docs, table(spark, folder, "benchmark")))
 
 
