@@ -51,8 +51,8 @@ PATTERNS = {
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 UNIT = r"[\p{L}\p{N}]"
-# Draws before the surrogates of a format count as used up.
-MOST_DRAWS = 60
+# Draws in vain after which a surrogate gets one character more, as its format may be used up.
+DRAWS_A_LENGTH = 12
 # Every entity holds one of these; a text without any needs no further search.
 SIGNS = [*(title for titles in TITLES.values() for title in titles), "AKIA"]
 # Or one of these, in any case.
@@ -104,6 +104,41 @@ def _like(c: Column, number: Column) -> Column:
     return out
 
 
+def _with_card_digit(digits: Column) -> Column:
+    """The card number with a last digit that fits the others (every second one is doubled)."""
+
+    def part(i: Column) -> Column:
+        d = F.substring(digits, i, F.lit(1)).cast("int")
+        return F.when(i % 2 == 0, d).when(d > 4, 2 * d - 9).otherwise(2 * d)
+
+    places = F.sequence(F.lit(1), F.lit(15))
+    total = F.aggregate(F.transform(places, part), F.lit(0), lambda z, x: z + x)
+    return F.concat(F.substring(digits, 1, 15), F.pmod(10 - total % 10, F.lit(10)).cast("string"))
+
+
+def _with_check_digits(account: Column) -> Column:
+    """The account number (country, two digits, the rest) with digits that make its remainder by 97 right."""
+    rest, country = F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 2)
+    turned = F.split(F.concat(rest, country, F.lit("00")), "")
+
+    def onwards(z: Column, c: Column) -> Column:
+        letter = (c >= "a") & (c <= "z")
+        # Letters count from 10 on, as two digits.
+        return F.when(letter, (z * 100 + F.ascii(c) - 87) % 97).when(c != "", (z * 10 + F.try_to_number(c, F.lit("9")).cast("int")) % 97).otherwise(z)
+
+    remainder = F.aggregate(turned, F.lit(0), lambda z, c: F.coalesce(onwards(z, c).cast("int"), z))
+    return F.concat(country, F.lpad((98 - remainder).cast("string"), 2, "0"), rest)
+
+
+def _address(canon: Column, attempt: Column, at) -> Column:
+    """An address of the same private network, if it is one, or any; in vain ones go on to a larger network."""
+    net = F.regexp_extract(canon, r"^(?:10\.|127\.|192\.168\.|172\.(?:1[6-9]|2\d|3[01])\.)", 0)
+    net = F.when(net == "", net).when(attempt >= 2 * DRAWS_A_LENGTH, "").when(attempt >= DRAWS_A_LENGTH, "10.").otherwise(net)
+    left = F.when(net == "", 4).when(net.rlike(r"\..+\.$"), 2).otherwise(3)
+    octets = F.transform(F.sequence(F.lit(1), left), lambda i: (at(i, 254) + 1).cast("string"))
+    return F.concat(net, F.array_join(octets, "."))
+
+
 def _surrogate(key: str, of_kind: Column, canon: Column, attempt: Column) -> Column:
     """The canonical form of the surrogate of ``canon``."""
     salt = F.concat_ws("|", of_kind, canon)
@@ -111,9 +146,10 @@ def _surrogate(key: str, of_kind: Column, canon: Column, attempt: Column) -> Col
     def at(place, below: int = 1_000_003) -> Column:
         return _draw(key, salt, attempt, F.lit(place) if not isinstance(place, Column) else place, F.lit(below))
 
-    # Characters of the domain's last part and of separators stay, as does a card's first digit.
+    # Characters of the domain's last part and of separators stay, as do a card's first digit
+    # and an account's country.
     ending = F.when(of_kind == "email", F.length(F.substring_index(canon, ".", -1)) + 1).otherwise(F.lit(0))
-    kept = F.when(of_kind == "card", 1).when(of_kind == "phone", 1).when((of_kind == "secret") & canon.startswith("akia"), 4).otherwise(0)
+    kept = F.when(of_kind.isin("card", "phone"), 1).when(of_kind == "iban", 2).when((of_kind == "secret") & canon.startswith("akia"), 4).otherwise(0)
     # What is written in hexadecimal digits stays so.
     hexadecimal = (of_kind == "secret") & canon.rlike("^[0-9a-f]+$")
 
@@ -122,6 +158,12 @@ def _surrogate(key: str, of_kind: Column, canon: Column, attempt: Column) -> Col
         letter = F.substring(F.lit("abcdef"), (F.pmod(number, F.lit(6)) + 1).cast("int"), F.lit(1))
         return F.when(hexadecimal & (c >= "a"), letter).otherwise(_like(c, number))
 
+    # Longer ones begin with further characters like the first.
+    longer = F.floor(attempt / DRAWS_A_LENGTH).cast("int")
+    first = F.substring(canon, 1, 1)
+    ahead = F.when(
+        longer > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(longer, F.lit(1))), lambda i: _like(first, at(-i))), "")
+    ).otherwise("")
     places = F.sequence(F.lit(1), F.length(canon))
     drawn = F.array_join(
         F.transform(
@@ -132,8 +174,8 @@ def _surrogate(key: str, of_kind: Column, canon: Column, attempt: Column) -> Col
         ),
         "",
     )
-    octets = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (at(i, 254) + 1).cast("string")), ".")
-    found = F.when(of_kind == "ip", octets).otherwise(drawn)
+    drawn = F.when(of_kind == "card", _with_card_digit(drawn)).when(of_kind == "iban", _with_check_digits(drawn)).otherwise(drawn)
+    found = F.when(of_kind == "ip", _address(canon, attempt, at)).otherwise(F.concat(ahead, drawn))
     for (gender, script), given in GIVEN.items():
         syllables = SYLLABLES[script]
         # Every fourth draw in vain makes family names longer, so names never run out.
@@ -151,17 +193,14 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     ``entities`` has distinct ``kind`` and ``canon``. Entities whose surrogate is
     taken, or is an entity itself, draw again; the least of those that draw the
-    same keeps it. Names of all genders and scripts count as one kind here. A
+    same keeps it. Where a format is used up, surrogates get longer. Names of all genders and scripts count as one kind here. A
     surrogate is what is shown, so for a name of one word the family name alone.
     """
     pending = materialise(entities.withColumn("attempt", F.lit(0)), "entities")
     alike = F.when(F.col("kind").startswith("name"), "name").otherwise(F.col("kind"))
     originals = pending.select(alike.alias("alike"), F.lower("canon").alias("form"))
-    given, draws = None, 0
+    given = None
     while not pending.isEmpty():
-        draws += 1
-        if draws > MOST_DRAWS:
-            raise ValueError("there are more entities than surrogates of their format")
         drawn = pending.withColumn(
             "surrogate", _surrogate(key, F.col("kind"), F.col("canon"), F.col("attempt"))
         ).withColumns({"alike": alike, "form": F.lower("surrogate")})
@@ -181,20 +220,24 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
 
 
 def rendered(surface: Column, of_kind: Column, surrogate: Column) -> Column:
-    """The surrogate in the form of ``surface``: its separators, its cases, its title."""
+    """The surrogate in the form of ``surface``: its separators, its cases, its title.
+
+    Characters that a longer surrogate has more come first.
+    """
     title = F.regexp_extract(surface, r"^\p{L}+\.?[ \x{A0}]", 0)
     name = F.concat(title, surrogate)
     letters = F.regexp_replace(surrogate, r"[^\p{L}\p{N}]", "")
+    more = F.length(letters) - F.length(F.regexp_replace(surface, r"[^\p{L}\p{N}]", ""))
     places = F.sequence(F.lit(1), F.length(surface))
 
     def one(i: Column) -> Column:
         c = F.substring(surface, i, F.lit(1))
         n = F.length(F.regexp_replace(F.substring(surface, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-        new = F.substring(letters, n, F.lit(1))
+        new = F.substring(letters, n + more, F.lit(1))
         new = F.when((c == F.upper(c)) & (c != F.lower(c)), F.upper(new)).otherwise(new)
         return F.when(c.rlike(UNIT), new).otherwise(c)
 
-    plain = F.array_join(F.transform(places, one), "")
+    plain = F.concat(F.substring(letters, F.lit(1), more), F.array_join(F.transform(places, one), ""))
     return F.when(of_kind == "ip", surrogate).when(of_kind.startswith("name"), name).otherwise(plain)
 
 
@@ -214,11 +257,12 @@ def replace(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "te
         signs = signs | F.lower(text).contains(keyword)
     has = F.coalesce(signs & text.rlike(ENTITY), F.lit(False))
     plain = df.where(~has).withColumn("n_entities", F.lit(0))
-    # Few texts hold an entity; only these are written, dealt and joined.
-    held = materialise(
-        df.where(has).withColumns({"_found": found, "_row": F.sha2(F.to_json(F.struct(F.col(id_col), text)), 256)}), "held-texts"
-    )
-    each = held.select("_row", F.posexplode("_found").alias("place", "surface"))
+    # Few texts hold an entity; only these are written, dealt and joined. Their columns
+    # travel as one, so that none of their names can clash.
+    row, name = F.struct(*(F.col(f"`{c}`") for c in df.columns)), F.sha2(F.to_json(F.struct(F.col(id_col), text)), 256)
+    held = df.where(has).select(row.alias("row"), text.alias("text"), found.alias("found"), name.alias("name"))
+    held = materialise(held, "held-texts")
+    each = held.select("name", F.posexplode("found").alias("place", "surface"))
     surfaces = each.select("surface").distinct().withColumn("kind", kind(F.col("surface")))
     surfaces = materialise(surfaces.withColumn("canon", canonical(F.col("surface"), F.col("kind"))), "surfaces")
     made = surrogates(surfaces.select("kind", "canon").distinct(), key)
@@ -227,12 +271,13 @@ def replace(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "te
     )
     new = (
         each.join(shown, "surface")
-        .groupBy("_row")
-        .agg(F.sort_array(F.collect_set(F.struct("place", "shown"))).alias("_shown"))
+        .groupBy("name")
+        .agg(F.sort_array(F.collect_set(F.struct("place", "shown"))).alias("shown"))
     )
-    between = F.split(text, ENTITY, -1)
+    between = F.split(F.col("text"), ENTITY, -1)
     whole = F.array_join(
-        F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(F.col("_shown"), i)["shown"], F.lit("")))), ""
+        F.transform(between, lambda s, i: F.concat(s, F.coalesce(F.get(F.col("shown"), i)["shown"], F.lit("")))), ""
     )
-    changed = held.join(new, "_row").withColumns({text_col: whole, "n_entities": F.size("_found")})
-    return plain.unionByName(changed.select(plain.columns))
+    changed = {text_col: whole, "n_entities": F.size("found")}
+    columns = [changed.get(c, F.col("row")[c]).alias(c) for c in plain.columns]
+    return plain.unionByName(held.join(new, "name").select(columns))
