@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of the text operators that SQL can express."""
 
+import math
+
 from termeval.llm import licence_digest, url_trust
 from termeval.llm.licence_texts import LICENCES
 from termeval.llm.queries import RULES
@@ -11,10 +13,14 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+# As many steps as it takes until no value can change by the tolerance.
+_STEPS = math.ceil(math.log(url_trust.TOLERANCE / (1 - url_trust.DAMPING)) / math.log(url_trust.DAMPING))
+
+
 def _url_trust() -> str:
     rules = ", ".join(f"({quoted(rule)}, {quoted(verdict)})" for rule, verdict in RULES)
     steps = ""
-    for i in range(1, url_trust.STEPS + 1):
+    for i in range(1, _STEPS + 1):
         steps += f""",
     r{i} AS MATERIALIZED (SELECT kind, host, sum(value) AS value FROM (
         SELECT * FROM r0 UNION ALL
@@ -58,7 +64,7 @@ def _url_trust() -> str:
     ranks AS (
         SELECT host, coalesce(sum(value) FILTER (kind = 'trust'), 0) AS trust,
                coalesce(sum(value) FILTER (kind = 'distrust'), 0) AS distrust
-        FROM r{url_trust.STEPS} GROUP BY host)
+        FROM r{_STEPS} GROUP BY host)
     SELECT page_id, f.host, path, rule,
            CASE WHEN ruled IS NOT NULL THEN ruled
                 WHEN distrust >= {url_trust.LEAST_DISTRUST!r} AND distrust > trust THEN 'block' ELSE 'allow' END AS verdict

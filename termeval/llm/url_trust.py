@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 from termeval.durable import materialise
 
 DAMPING = 0.85
-# Steps of propagation; a table is written, and convergence tested, after each round of them.
-STEPS = 24
-STEPS_PER_ROUND = 4
+# Propagation goes on until no value changes by this. Each step's changes are less than
+# the last one's by the damping, so it ends. A table is written, and the changes are
+# looked at, after each round of steps.
 TOLERANCE = 1e-9
+STEPS_PER_ROUND = 8
 # A host is blocked if it has at least half of what a wholly blocked host starts
 # with, and more distrust than trust.
 LEAST_DISTRUST = 0.5 * (1 - DAMPING)
 
+# The pages of one host are dealt into so many parts when something of the host is joined to them.
+PARTS = 64
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"""(?i)\bhref\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]*)"""
 
@@ -68,11 +72,22 @@ def ruled(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     parsed = pages.select(F.col(id_col), host(F.col(url_col)).alias("host"), path(F.col(url_col)).alias("path"))
     known = _rules_of_hosts(parsed.select("host").distinct(), rules)
     best = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])))
-    return parsed.join(known, "host", "left").select(
+    return with_host(parsed, known, id_col).select(
         F.col(id_col), "host", "path", best["rule"].alias("rule"), best["verdict"].alias("ruled")
     )
 
 
+def with_host(pages: DataFrame, hosts: DataFrame, id_col: str) -> DataFrame:
+    """``pages`` left-joined to ``hosts`` (one row a host), the pages of a host in ``PARTS`` parts.
+
+    A host's row is copied to the parts that have pages only, so a host of any
+    share of all pages is spread, and others are copied as often as they have pages at most.
+    """
+    dealt = pages.withColumn("_part", F.pmod(F.xxhash64(id_col, "path"), F.lit(PARTS)))
+    copies = dealt.select("host", "_part").distinct().join(hosts, "host")
+    return dealt.join(copies, ["host", "_part"], "left").drop("_part")
+
+
 def links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``src``, ``dst``, ``share``: of all links from a host to other hosts, the part that leads to ``dst``."""
     found = F.regexp_extract_all(F.col(html_col), F.lit(LINK), F.lit(1))
@@ -108,20 +123,25 @@ def propagate(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     ranks = start
     if flows.isEmpty():
         return _wide(ranks)
-    for _ in range(0, STEPS, STEPS_PER_ROUND):
-        before = ranks
+    while True:
         for _ in range(STEPS_PER_ROUND):
+            before = ranks
             moved = flows.join(ranks.withColumnRenamed("host", "source"), ["kind", "source"]).select(
                 "kind", "host", (DAMPING * F.col("share") * F.col("value")).alias("value")
             )
             ranks = start.unionByName(moved).groupBy("kind", "host").agg(F.sum("value").alias("value"))
-        ranks = materialise(ranks, "host-ranks")
-        change = ranks.join(before.withColumnRenamed("value", "was"), ["kind", "host"], "full").agg(
-            F.max(F.abs(F.coalesce("value", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))
+        # Both the last step's values and those before it, so that none is computed twice.
+        both = ranks.withColumn("last", F.lit(True)).unionByName(before.withColumn("last", F.lit(False)))
+        both = materialise(
+            both.groupBy("kind", "host").agg(
+                F.coalesce(F.sum(F.when(F.col("last"), F.col("value"))), F.lit(0.0)).alias("value"),
+                F.coalesce(F.sum(F.when(~F.col("last"), F.col("value"))), F.lit(0.0)).alias("was"),
+            ),
+            "host-ranks",
         )
-        if (change.first()[0] or 0.0) < TOLERANCE:
-            break
-    return _wide(ranks)
+        ranks = both.select("kind", "host", "value")
+        if (both.agg(F.max(F.abs(F.col("value") - F.col("was")))).first()[0] or 0.0) < TOLERANCE:
+            return _wide(ranks)
 
 
 def _wide(ranks: DataFrame) -> DataFrame:
@@ -155,6 +175,6 @@ def judge(
     blocked = ranks.where((F.col("distrust") >= LEAST_DISTRUST) & (F.col("distrust") > F.col("trust"))).select(
         "host", F.lit("block").alias("by_host")
     )
-    return found.join(blocked, "host", "left").select(
+    return with_host(found, blocked, id_col).select(
         id_col, "host", "path", "rule", F.coalesce("ruled", "by_host", F.lit("allow")).alias("verdict")
     )
