@@ -16,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from termeval.durable import materialise
 from termeval.llm.shared import buffer_of, map_slices, slices
 
 # N-grams in a profile.
 PROFILE = 300
-# Languages a model may hold: its profiles are sent to every task.
+# Languages whose profiles are sent to the tasks at once.
 MOST_LANGUAGES = 4096
 # Distinct n-grams that a task gathers before it hands their counts on.
 GATHERED = 500_000
@@ -38,6 +39,12 @@ def letters() -> np.ndarray:
     return lower
 
 
+@lru_cache(maxsize=1)
+def is_letter() -> np.ndarray:
+    """Whether a code point is a letter; marks alone are none."""
+    return np.array([unicodedata.category(chr(p))[0] == "L" for p in range(0x110000)])
+
+
 def ngrams(points: np.ndarray) -> np.ndarray:
     """The codes of all 1- to 3-grams of one text; 21 bits per letter, words end in a blank.
 
@@ -123,12 +130,31 @@ def profiles(training: DataFrame, text_col: str = "text", lang_col: str = "lang"
     totals = texts.mapInArrow(counts, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     return (
-        totals.withColumn("rank", F.row_number().over(order) - 1)
-        .where(F.col("rank") < PROFILE)
-        .select("lang", "code", F.col("rank").cast("int"))
+        # The limit stands by itself, so that tasks apply it before the shuffle.
+        totals.withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= PROFILE)
+        .select("lang", "code", (F.col("place") - 1).cast("int").alias("rank"))
     )
 
 
+class Profiles:
+    """Some languages' profiles: of each n-gram the languages that have it, and its ranks there."""
+
+    def __init__(self, names: list[str], lang: np.ndarray, code: np.ndarray, rank: np.ndarray):
+        order = np.argsort(code, kind="stable")
+        self.names, self.lang, self.rank = names, lang[order].astype(np.int32), rank[order].astype(np.int32)
+        self.codes, self.first, self.count = np.unique(code[order], return_index=True, return_counts=True)
+
+    def saved(self, own: np.ndarray) -> np.ndarray:
+        """Of each language, what its ranks of ``own`` n-grams take from the greatest distance."""
+        at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
+        place = np.flatnonzero(self.codes[at] == own)
+        n = self.count[at[place]]
+        index = np.repeat(self.first[at[place]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        apart = np.abs(self.rank[index] - np.repeat(place, n))
+        return np.bincount(self.lang[index], weights=PROFILE - apart, minlength=len(self.names))
+
+
 def predict(
     df: DataFrame, model: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[Column, ...] = ()
 ) -> DataFrame:
@@ -136,51 +162,62 @@ def predict(
 
     ``lang_pred`` is ``und``, with score 0, where the text is null, has no letter
     or the model is empty. Of equally near profiles the first name wins. The
-    score is 1 less the distance as a part of the greatest one possible.
-    Repeated rows come out as often as they went in.
+    score is 1 less the distance as a part of the greatest one possible. Profiles
+    are sent to the tasks in blocks of about ``MOST_LANGUAGES`` languages, one pass
+    each. Repeated rows come out as often as they went in.
     """
-    rows = model.limit(MOST_LANGUAGES * PROFILE + 1).toArrow()
-    names = sorted(set(rows.column("lang").to_pylist()))
-    if len(rows) > MOST_LANGUAGES * PROFILE:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    place = {name: i for i, name in enumerate(names)}
-    code = rows.column("code").to_numpy().astype(np.uint64)
-    lang = np.array([place[x] for x in rows.column("lang").to_pylist()], dtype=np.int64)
-    all_codes, inverse = np.unique(code, return_inverse=True)
-    # For each n-gram of any profile its rank in each; bounded by the two limits above.
-    ranks = np.full((len(all_codes), len(names)), -1, dtype=np.int32)
-    ranks[inverse, lang] = rows.column("rank").to_numpy()
-    shipped = df.sparkSession.sparkContext.broadcast((all_codes, ranks, names))
+    spark = df.sparkSession
+    languages = model.select("lang").distinct().count()
+    blocks = languages // MOST_LANGUAGES + 1
+    of_block = F.pmod(F.xxhash64("lang"), F.lit(blocks))
+    # Kept columns travel as one, so that none of their names can clash.
+    kept = F.struct(F.col(id_col), *keep)
+    rows = df.select(
+        F.col(text_col).alias("text"), kept.alias("kept"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score")
+    )
+    for block in range(blocks):
+        known = model.where(of_block == block).toArrow()
+        names = sorted(set(known.column("lang").to_pylist()))
+        if not names:
+            continue
+        place = {name: i for i, name in enumerate(names)}
+        lang = np.array([place[x] for x in known.column("lang").to_pylist()], dtype=np.int64)
+        code, rank = known.column("code").to_numpy().astype(np.uint64), known.column("rank").to_numpy()
+        rows = _judged(rows, spark.sparkContext.broadcast(Profiles(names, lang, code, rank)), with_text=blocks > 1)
+        if blocks > 1:
+            rows = materialise(rows, "languages")
+    return rows.select("kept.*", "lang_pred", "score")
+
+
+def _judged(rows: DataFrame, shipped, with_text: bool) -> DataFrame:
+    """``rows`` with the nearer of the language they have and the nearest of the profiles that are sent."""
+    schema = rows.schema if with_text else rows.drop("text").schema
 
     def make():
-        codes, ranks, names = shipped.value
+        profiles = shipped.value
 
-        def judge(points: np.ndarray) -> tuple[str, float]:
+        def judge(points: np.ndarray, name: str, score: float) -> tuple[str, float]:
+            if not is_letter()[points].any():
+                return name, score
             own = ranked(*counted(ngrams(points)))
-            if not len(own) or not names:
-                return UNKNOWN, 0.0
-            at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-            there = ranks[at]
-            there = np.where((codes[at] == own)[:, None], there, -1)
-            apart = np.where(there < 0, PROFILE, np.abs(there - np.arange(len(own))[:, None]))
-            away = apart.sum(axis=0)
-            best = int(away.argmin())
-            return names[best], 1.0 - float(away[best]) / (PROFILE * len(own))
+            saved = profiles.saved(own)
+            best, most = int(saved.argmax()), PROFILE * len(own)
+            found = profiles.names[best], 1.0 - float(most - saved[best]) / most
+            if name == UNKNOWN or found[1] > score or (found[1] == score and found[0] < name):
+                return found
+            return name, score
 
         def run(batch):
-            judged = [judge(points) for points in _points(batch)]
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column("key"),
-                    *(batch.column(i) for i in range(2, batch.num_columns)),
-                    pa.array([x[0] for x in judged], pa.string()),
-                    pa.array([x[1] for x in judged], pa.float64()),
-                ],
-                names=schema.names,
-            )
+            before = zip(batch.column("lang_pred").to_pylist(), batch.column("score").to_pylist())
+            judged = [judge(points, *x) for points, x in zip(_points(batch), before)]
+            columns = {"text": batch.column("text")} if with_text else {}
+            columns |= {
+                "kept": batch.column("kept"),
+                "lang_pred": pa.array([x[0] for x in judged], pa.string()),
+                "score": pa.array([x[1] for x in judged], pa.float64()),
+            }
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
         return run
 
-    texts = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"), *keep)
-    schema = df.select(F.col(id_col), *keep, F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-    return map_slices(texts, make, schema)
+    return map_slices(rows, make, schema)
