@@ -20,11 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termeval.durable import materialise
-from termeval.llm.shared import BROADCAST_IDS, ODD, buffer_of, map_slices, mixed, slices, words_of
+from termeval.llm.shared import ODD, buffer_of, map_slices, mixed, slices, words_of
 
 # Words of the shortest passage, and of the part by which suffixes are sorted first.
 PASSAGE, ANCHOR = 50, 25
 BUCKETS_PER_PARTITION = 2
+# Bytes of marked places that are sent to every task, and of a document besides its places.
+BROADCAST_BYTES, ENTRY_BYTES = 16_000_000, 40
 # Entries that a task gathers before it hands them on.
 GATHERED = 1_000_000
 
@@ -170,7 +172,8 @@ def passages(
         return materialise(found, "repeat-marks")
 
     def picked(marks: DataFrame) -> DataFrame:
-        few = marks.count() <= BROADCAST_IDS // 10
+        size = marks.agg(F.sum(F.octet_length("marks") + ENTRY_BYTES)).first()[0] or 0
+        few = size <= BROADCAST_BYTES
         return texts.join(F.broadcast(marks) if few else marks, "key")
 
     def windows(batch):
