@@ -74,13 +74,23 @@ appreciated but is not required.
 misrepresented as being the original software.
 3. This notice may not be removed or altered from any source distribution."""
 
+# The licence of three clauses has one more before the disclaimer.
+_THIRD = """3. Neither the name of the copyright holder nor the names of its contributors
+may be used to endorse or promote products derived from this software without
+specific prior written permission.
+
+"""
+BSD_3 = BSD_2.replace("THIS SOFTWARE IS PROVIDED", _THIRD + "THIS SOFTWARE IS PROVIDED", 1)
+
+# One-line notices, which only name a licence, are marked as such.
 LICENCES = {
     "MIT": MIT,
     "ISC": ISC,
     "BSD-2-Clause": BSD_2,
+    "BSD-3-Clause": BSD_3,
     "Zlib": ZLIB,
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
+    "Apache-2.0 (notice)": "Licensed under the Apache License, Version 2.0.",
+    "GPL-3.0 (notice)": "This work is licensed under the GNU General Public License, version 3.",
     "MIT (notice)": "Released under the MIT License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
+    "CC-BY-NC-4.0 (notice)": "Licensed under CC BY-NC 4.0.",
 }
