@@ -29,7 +29,7 @@ WORDS, PERCENT = 4, 85
 # Linked sets lie in one band or two neighbouring ones from this on.
 LEAST_PERCENT = 67
 # Signatures a task gathers before it combines and hands them on.
-GATHERED = 1_000_000
+GATHERED = 600_000
 # Nodes of a group compared in one task; larger groups are dealt into blocks.
 BLOCK = 2_048
 # Divisions a set is dealt by at most, each only if those before leave too many parts empty.

@@ -40,7 +40,7 @@ BROADCAST_RATIOS = 2_000_000
 # Bytes of text that are scored together otherwise, save for a single longer text.
 BUCKET_BYTES = 4_000_000
 # Different n-grams a task gathers before it hands them on.
-GATHERED = 1_000_000
+GATHERED = 400_000
 # Up to so many labels are sent to every task; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 # Rows the logistic fit takes at most: a bounded sample of labelled texts, by hash of the id.
