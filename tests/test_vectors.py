@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -136,3 +137,29 @@ def test_no_concepts_at_all(spark, vocab):
     empty = Vocabulary.of({"concept": vocab.concept.limit(0), "concept_embedding": vocab.concept_embedding})
     queries = spark.createDataFrame([(1, [1.0, 0.0, 0.0])], "query_id int, vector array<float>")
     assert vectors.nearest_concepts_batch(queries, empty, 5).collect() == []
+
+
+def test_bundles_equal_brute_force(spark):
+    items = made(21, 90, copies=5)
+    queries, frame = frames(spark, items[:60], items)
+    found = vector_grid.nearest_by_blocks(queries, frame, 3, 4, bundle_bytes=20 * 4 * 8)
+    assert sorted((r.query_id, r["rank"], r.concept_id) for r in found.collect()) == brute_force(items[:60], items, 3)
+
+
+def test_copies_grow_with_bundles_and_not_with_blocks():
+    assert vector_blocks.bundles(100_000, 64, 100_000 // 512) == vector_blocks.LEAST_BUNDLES
+    assert vector_blocks.bundles(1_000_000, 64, 1_000_000 // 512) == 16
+    assert vector_blocks.bundles(1_000, 64, 2) == 2
+    assert vector_blocks.bundles(0, 0, 0) == 1
+
+
+def test_pairs_are_ranked_in_little_memory():
+    draw = np.random.default_rng(3)
+    queries, units = (vector_blocks.unit_rows(draw.normal(size=(rows, 8))) for rows in (6000, 9000))
+    tracemalloc.start()
+    query, distance, ids = vector_blocks.top_pairs(queries, units, np.arange(9000), 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert query.tolist() == np.repeat(np.arange(6000), 4).tolist()
+    assert ids.reshape(-1, 4)[::500].tolist() == np.argsort(1.0 - queries[::500] @ units.T, axis=1)[:, :4].tolist()
