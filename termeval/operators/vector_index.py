@@ -23,7 +23,12 @@ from pyspark.sql import functions as F
 
 from termeval.durable import stored_path
 from termeval.operators.vector_blocks import (
+    BLOCK_ELEMENTS,
+    BUNDLE_BYTES,
+    TILE_ROWS,
+    Nearest,
     best_per_query,
+    bundles,
     candidate_schema,
     first_n,
     list_matrix,
@@ -37,7 +42,7 @@ from termeval.operators.vectors import BROADCAST_BYTES, BROADCAST_QUERIES, neare
 SAMPLE_ROWS, ROUNDS = 20_000, 12
 # Cells at most; their centroids are sent to every task.
 MOST_CELLS = 4_096
-# Vectors of a block: what one task compares with queries at once.
+# Vectors of a block at most; a large cell has several.
 BLOCK_ROWS = 32_768
 # Vectors whose exact neighbours tell how many cells to probe, and how many neighbours each.
 MEASURED, NEIGHBOURS = 200, 10
@@ -77,8 +82,8 @@ class VectorIndex:
         ``probes`` as cells the answer is exact. Queries without a direction
         (NULL, of length 0, with an element that is no finite number) have no
         row, and no such vector is found. A query set of checked small size is
-        sent to the tasks that scan the probed cells; a larger one is dealt by
-        cells.
+        sent to the tasks that scan the probed cells; a larger one is dealt to
+        bundles of cells.
         """
         probes = min(len(self.centroids), probes or self.probes)
         rows = queries.select("query_id", "vector").filter(F.col("vector").isNotNull())
@@ -120,35 +125,56 @@ class VectorIndex:
         met = chosen.filter("cell >= 0").select("cell", "concept_id", "embedding")
         return met.mapInArrow(best_of_task, candidate_schema(kind))
 
-    def _dealt(self, queries: DataFrame, n: int, probes: int) -> DataFrame:
-        """Queries are copied to the blocks of the cells they probe; blocks of queries share a block."""
-        shared = self.spark.sparkContext.broadcast((self.centroids, self.blocks))
-        kind = queries.schema["query_id"].dataType
-        query_blocks = max(1, -(-queries.count() * probes // (BLOCK_ROWS * len(self.centroids))))
+    def _dealt(self, queries: DataFrame, n: int, probes: int, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+        """Queries are copied to the bundles of blocks that hold a cell they probe, with a bit for each block."""
+        kind, width = queries.schema["query_id"].dataType, self.centroids.shape[1]
+        asking = queries.count()
+        query_parts = bundles(asking, width, -(-asking // TILE_ROWS), bundle_bytes)
+        stored = self.vectors.filter("cell >= 0")
+        sizes = sorted(tuple(row) for row in stored.groupBy("cell", "block").count().collect())
+        rows = np.array([size for _, _, size in sizes], dtype=np.int64)
+        share = -(-rows.sum() // bundles(int(rows.sum()), width, len(sizes), bundle_bytes))
+        # A block belongs to the bundle that its first row falls into.
+        bundle = (np.cumsum(rows) - rows) // max(1, share)
+        members = [np.flatnonzero(bundle == x) for x in np.unique(bundle)]
+        cells_of = [np.array([sizes[i][0] for i in member]) for member in members]
+        places = [(*sizes[i][:2], k, j) for k, member in enumerate(members) for j, i in enumerate(member.tolist())]
+        shared = self.spark.sparkContext.broadcast((self.centroids, cells_of))
 
         def place(batches):
-            centroids, blocks = shared.value
+            centroids, cells_of = shared.value
+            step = max(1, BLOCK_ELEMENTS // max(1, len(centroids)))
             for batch in batches:
-                units = unit_rows(list_matrix(batch.column("vector")))
-                proper = np.flatnonzero(np.isfinite(units).all(axis=1))
-                near = nearest_cells(units[proper], centroids, probes)
-                row, cell = np.repeat(proper, near.shape[1]), near.ravel()
-                times = np.array([blocks.get(x, 0) for x in cell.tolist()], dtype=np.int64)
-                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                row, cell = np.repeat(row, times), np.repeat(cell, times)
-                placed = batch.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell, pa.int32()), pa.array(block, pa.int32()), placed.column("query_id"), placed.column("vector")],
-                    names=["cell", "block", "query_id", "vector"],
-                )
+                for start in range(0, batch.num_rows, step):
+                    some = batch.slice(start, step)
+                    units = unit_rows(list_matrix(some.column("vector")))
+                    proper = np.flatnonzero(np.isfinite(units).all(axis=1))
+                    probed = np.zeros((len(proper), len(centroids)), dtype=bool)
+                    np.put_along_axis(probed, nearest_cells(units[proper], centroids, probes), True, axis=1)
+                    for number, cells in enumerate(cells_of):
+                        asked = np.flatnonzero(probed[:, cells].any(axis=1))
+                        if not len(asked):
+                            continue
+                        bits = np.packbits(probed[np.ix_(asked, cells)], axis=1)
+                        placed = some.take(pa.array(proper[asked]))
+                        columns = [
+                            pa.array(np.full(len(asked), number), pa.int32()),
+                            pa.array([row.tobytes() for row in bits], pa.binary()),
+                            placed.column("query_id"),
+                            placed.column("vector"),
+                        ]
+                        yield pa.RecordBatch.from_arrays(columns, names=["bundle", "bits", "query_id", "vector"])
 
         vector_kind = queries.schema["vector"].dataType.simpleString()
-        schema = f"cell int, block int, query_id {kind.simpleString()}, vector {vector_kind}"
+        schema = f"bundle int, bits binary, query_id {kind.simpleString()}, vector {vector_kind}"
         asking = queries.mapInArrow(place, schema).withColumn(
-            "part", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")
+            "part", F.pmod(F.xxhash64("query_id"), F.lit(query_parts)).cast("int")
+        )
+        every = F.explode(F.sequence(F.lit(0), F.lit(query_parts - 1)))
+        placing = self.spark.createDataFrame(places, "cell int, block int, bundle int, place int")
+        answering = stored.join(F.broadcast(placing), ["cell", "block"]).select(
+            "bundle", every.alias("part"), "place", "concept_id", "embedding"
         )
-        every = F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)))
-        answering = self.vectors.filter("cell >= 0").select("cell", "block", every.alias("part"), "concept_id", "embedding")
         schema = candidate_schema(kind)
 
         def nearest(asked: pa.Table, met: pa.Table) -> pa.Table:
@@ -156,19 +182,36 @@ class VectorIndex:
             if asked.num_rows == 0 or met.num_rows == 0:
                 empty = [ids.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())]
                 return pa.Table.from_arrays(empty, names=schema.fieldNames())
-            query, distance, concept = top_pairs(
-                unit_rows(list_matrix(asked.column("vector"))),
-                unit_rows(list_matrix(met.column("embedding"))),
-                met.column("concept_id").to_numpy(),
-                n,
-            )
+            met = met.sort_by("place")
+            places, concepts = met.column("place").to_numpy(), met.column("concept_id").to_numpy()
+            units = unit_rows(list_matrix(met.column("embedding")))
+            numbers, starts = np.unique(places, return_index=True)
+            ends = np.r_[starts[1:], len(places)]
+            found = []
+            for start in range(0, asked.num_rows, TILE_ROWS):
+                some = asked.slice(start, TILE_ROWS)
+                near = Nearest(unit_rows(list_matrix(some.column("vector"))), n)
+                bits = np.frombuffer(b"".join(some.column("bits").to_pylist()), dtype=np.uint8)
+                probed = np.unpackbits(bits.reshape(some.num_rows, -1), axis=1).astype(bool)
+                for number, first, last in zip(numbers.tolist(), starts.tolist(), ends.tolist()):
+                    near.meet(units[first:last], concepts[first:last], np.flatnonzero(probed[:, number]))
+                query, distance, concept = near.best
+                found.append((query + start, distance, concept))
+            query, distance, concept = (np.concatenate(parts) for parts in zip(*found))
             found = [ids.take(pa.array(query)), pa.array(concept), pa.array(distance)]
             return pa.Table.from_arrays(found, names=schema.fieldNames())
 
-        keys = ["cell", "block", "part"]
+        keys = ["bundle", "part"]
         return asking.groupBy(*keys).cogroup(answering.groupBy(*keys)).applyInArrow(nearest, schema)
 
 
+def own_cells(units: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The number of the nearest centroid of each row."""
+    step = max(1, BLOCK_ELEMENTS // max(1, len(centroids)))
+    own = [(units[at : at + step] @ centroids.T).argmax(axis=1) for at in range(0, len(units), step)]
+    return np.concatenate(own) if own else np.zeros(0, dtype=np.int64)
+
+
 def nearest_cells(units: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
     """The numbers of the ``probes`` nearest centroids of each row, nearest first."""
     return np.argsort(-(units @ centroids.T), axis=1, kind="stable")[:, :probes]
@@ -178,7 +221,7 @@ def fitted(units: np.ndarray, cells: int) -> np.ndarray:
     """Centroids of unit length by rounds of assignment and means, from rows spread over the sample."""
     centroids = units[np.linspace(0, len(units) - 1, cells).astype(int)]
     for _ in range(ROUNDS):
-        own = (units @ centroids.T).argmax(axis=1)
+        own = own_cells(units, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, units)
         lengths = np.linalg.norm(sums, axis=1, keepdims=True)
@@ -217,7 +260,7 @@ def build(
             proper = np.flatnonzero(batch.column("proper").to_numpy(zero_copy_only=False).astype(bool))
             if len(proper):
                 units = unit_rows(list_matrix(batch.column("embedding").take(pa.array(proper))))
-                cell[proper] = (units @ shared.value.T).argmax(axis=1)
+                cell[proper] = own_cells(units, shared.value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cell), batch.column("concept_id"), batch.column("embedding")], names=["cell", "concept_id", "embedding"]
             )

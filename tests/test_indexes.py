@@ -171,3 +171,15 @@ def test_a_word_of_half_of_all_texts_is_spread(spark, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert tasks.sum() == 20_000 and len(tasks) > 1 and tasks.max() <= 2 * tasks.median()
+
+
+@pytest.mark.parametrize("probes", [3, 100])
+def test_bundles_of_cells_are_probed_as_in_the_scan(spark, probes):
+    items = clustered(31, 400)
+    index = vector_index.build(frame(spark, items), cells=9)
+    queries = frame(spark, items).selectExpr("concept_id AS query_id", "embedding AS vector")
+    probes = min(probes, len(index.centroids))
+    dealt = vector_index.best_per_query(index._dealt(queries, 4, probes, bundle_bytes=60 * 16 * 8), 4)
+    scanned = index.search(queries, 4, probes=probes)
+    columns = "query_id", "rank", "concept_id"
+    assert sorted(map(tuple, dealt.select(*columns).collect())) == sorted(map(tuple, scanned.select(*columns).collect()))
