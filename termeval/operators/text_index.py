@@ -64,23 +64,31 @@ class TextIndex:
         postings.sort("word", "block").write.parquet(f"{index.path}/postings")
         return index
 
-    def candidates(self, searches: DataFrame) -> DataFrame:
-        """``searches`` with ``_word`` and ``text_id`` of the texts that hold a word of their ``chosen`` clause."""
+    def candidates(self, searches: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+        """``searches`` with ``_word`` and the texts that hold a word of their ``chosen`` clause.
+
+        ``texts`` are the rows of the table of texts to search among, by default all.
+        Texts are looked up once for each word asked, however many searches ask it,
+        and meet the searches by word and block, so no match is shuffled.
+        """
+        texts = self.table("texts") if texts is None else texts
         words = self.table("words").select(F.col("word").alias("_word"), "blocks")
         asked = searches.withColumn("_word", F.explode("chosen")).join(words, "_word")
-        asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
         postings = self.table("postings").select(F.col("word").alias("_word"), F.col("block").alias("_block"), "ids")
-        return asked.join(postings, ["_word", "_block"]).select(*searches.columns, "_word", F.explode("ids").alias("text_id"))
+        held = postings.join(asked.select("_word").distinct(), "_word", "left_semi")
+        held = held.select("_word", "_block", F.explode("ids").alias("text_id")).join(texts, "text_id")
+        asked = asked.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+        return asked.join(held, ["_word", "_block"]).drop("_block")
 
-    def matches(self, searches: DataFrame, mode: str = "any") -> DataFrame:
-        """As :func:`termeval.operators.search.matches` over the indexed texts."""
+    def matches(self, searches: DataFrame, mode: str = "any", texts: DataFrame | None = None) -> DataFrame:
+        """As :func:`termeval.operators.search.matches` over the indexed texts, or over some rows of their table."""
         clauses = searches.withColumn("clauses", as_clauses(mode))
         if mode == "any":
             chosen = clauses.filter(F.size("clauses") > 0).withColumn("chosen", F.flatten("clauses"))
         else:
             frequency = self.table("words").select(F.col("word").alias("_lexeme"), F.col("n").alias("_texts"))
             chosen = with_rarest_clause(clauses, frequency)
-        met = self.candidates(chosen).join(self.table("texts"), "text_id")
+        met = self.candidates(chosen, texts)
         return met.filter(meets("clauses", "_word")).drop("text_id", "_word", "chosen", "clauses", "terms", "words")
 
 
@@ -122,10 +130,12 @@ class ConceptIndex:
     ) -> DataFrame:
         """As :func:`termeval.operators.search.text_search` over the indexed concepts."""
         terms = asked_words(searches, mode, self.dictionary, self.stop_words)
-        by_name = in_vocabularies(self.names.matches(terms, mode), vocabulary_ids).withColumn(
-            "concept_synonym_name", F.lit(None).cast("string")
-        )
+
+        def found(index: TextIndex) -> DataFrame:
+            return index.matches(terms, mode, in_vocabularies(index.table("texts"), vocabulary_ids))
+
+        by_name = found(self.names).withColumn("concept_synonym_name", F.lit(None).cast("string"))
         if concept_synonym:
-            by_synonym = in_vocabularies(self.synonyms.matches(terms, mode), vocabulary_ids)
-            by_name = found_by_either(by_name.select(*FOUND_COLUMNS), by_synonym.select(*FOUND_COLUMNS))
+            by_synonym = found(self.synonyms).select(*FOUND_COLUMNS)
+            by_name = found_by_either(by_name.select(*FOUND_COLUMNS), by_synonym)
         return by_name.select(*FOUND_COLUMNS)

@@ -183,3 +183,13 @@ def test_bundles_of_cells_are_probed_as_in_the_scan(spark, probes):
     scanned = index.search(queries, 4, probes=probes)
     columns = "query_id", "rank", "concept_id"
     assert sorted(map(tuple, dealt.select(*columns).collect())) == sorted(map(tuple, scanned.select(*columns).collect()))
+
+
+def test_searches_of_an_index_share_its_texts(spark):
+    """However many searches ask a word, its texts are looked up once, so candidates carry whole texts."""
+    words = [(i, ["red", "bolt"] if i % 2 else ["red"]) for i in range(10)]
+    index = text_index.TextIndex.build(spark.createDataFrame(words, "id long, words array<string>"))
+    searches = spark.createDataFrame([(q, ["bolt"]) for q in range(3)], "query_id long, chosen array<string>")
+    some = index.table("texts").filter("id < 4")
+    met = index.candidates(searches, some)
+    assert sorted((r.query_id, r.id, r.words) for r in met.collect()) == [(q, i, ["red", "bolt"]) for q in range(3) for i in (1, 3)]
