@@ -164,16 +164,15 @@ def concept_hits(
     )
     if not concept_synonym:
         return by_name
+    # Synonyms meet their concepts before they meet searches: texts are fewer than matches.
     synonyms = with_words(
-        vocab.concept_synonym.select("concept_id", "concept_synonym_name").join(
-            standard.select("concept_id"), "concept_id", "left_semi"
-        ),
+        vocab.concept_synonym.select("concept_id", "concept_synonym_name").join(standard, "concept_id"),
         "concept_synonym_name",
         "words",
         dictionary,
         stop_words,
     )
-    return found_by_either(by_name, matches(terms, synonyms, mode).join(standard, "concept_id"))
+    return found_by_either(by_name, matches(terms, synonyms, mode))
 
 
 def asked_words(
@@ -189,7 +188,8 @@ def asked_words(
 
 def found_by_either(by_name: DataFrame, by_synonym: DataFrame) -> DataFrame:
     """A row for each matching synonym, and one for each concept found by its name alone."""
-    both_ways = by_synonym.select("query_id", "concept_id").distinct()
+    # Repeats do no harm to an anti join; to find them, a task would hold all of its matches.
+    both_ways = by_synonym.select("query_id", "concept_id")
     name_only = by_name.join(both_ways, ["query_id", "concept_id"], "left_anti")
     return by_synonym.unionByName(name_only)
 

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from termeval.operators import list_scores, vectors, vocabulary
+from termeval.operators import list_scores, search, vectors, vocabulary
 from termeval.sources.vocabulary import Vocabulary
 
 
@@ -78,3 +78,10 @@ def test_hot_row_of_a_list_is_spread(spark):
     hot = found.filter("row_id = 0").first()
     assert hot.precision == 1.0 and hot.recall == size / 3 / 50
     assert found.count() == rows.count()
+
+
+def test_synonym_matches_are_not_gathered(spark, vocab):
+    """A task that gathered its matches to tell repeats would hold them all."""
+    searches = spark.createDataFrame([("t", "tablet")], "query_id string, search_term string")
+    found = plan(search.text_search(searches, vocab, concept_synonym=True))
+    assert "Aggregate" not in found and "LeftAnti" in found
