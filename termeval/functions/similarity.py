@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 _WORD = 64
 # Bytes of letter masks computed at once, save for a single pair.
 _GROUP_BYTES = 16 * 1024 * 1024
+# Pairs compared at once times the letters of the longest text, save for a single pair.
+_GROUP_LETTERS = 512 * 1024
 
 
 def exact_match(predicted: Column, actual: Column) -> Column:
@@ -78,7 +80,7 @@ def _lcs(xs: list[str], ys: list[str]) -> np.ndarray:
 
 
 def _groups(pairs: list[tuple[str, str]]) -> Iterator[list[int]]:
-    """Numbers of pairs of like lengths, as many as ``_GROUP_BYTES`` of masks allow; the shorter text first."""
+    """Numbers of pairs of like lengths, as many as ``_GROUP_BYTES`` of masks and ``_GROUP_LETTERS`` allow; the shorter text first."""
     order = sorted(range(len(pairs)), key=lambda i: (len(pairs[i][1]), len(pairs[i][0])))
     group: list[int] = []
     letters: set[str] = set()
@@ -88,6 +90,7 @@ def _groups(pairs: list[tuple[str, str]]) -> Iterator[list[int]]:
         words = -(-len(y) // _WORD)
         # Pairs of a group take as many words as its last; no group holds one and its double.
         wide = group and words > 2 * -(-len(pairs[group[0]][1]) // _WORD)
+        wide = wide or len(y) * (len(group) + 1) > _GROUP_LETTERS
         if group and (wide or 8 * words * (len(more) + 1) * (len(group) + 1) > _GROUP_BYTES):
             yield group
             group, more = [], set(x + y)

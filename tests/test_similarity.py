@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import pytest
 from hypothesis import given, settings
@@ -106,3 +107,15 @@ def test_vectors_of_different_length_fail(spark):
     df = spark.createDataFrame([([1.0], [1.0, 2.0])], "a array<double>, b array<double>")
     with pytest.raises(PySparkException, match="vectors differ in length"):
         df.select(similarity.dot(F.col("a"), F.col("b"))).collect()
+
+
+def test_pairs_of_long_texts_are_compared_in_little_memory():
+    draw = random.Random(5)
+    texts = ["".join(draw.choices("abcdefgh ", k=700)) for _ in range(6001)]
+    pairs = list(zip(texts, texts[1:]))
+    tracemalloc.start()
+    found = similarity._indel_ratios(pairs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60_000_000
+    assert found[:3].tolist() == similarity._indel_ratios(pairs[:3]).tolist()
