@@ -193,3 +193,13 @@ def test_searches_of_an_index_share_its_texts(spark):
     some = index.table("texts").filter("id < 4")
     met = index.candidates(searches, some)
     assert sorted((r.query_id, r.id, r.words) for r in met.collect()) == [(q, i, ["red", "bolt"]) for q in range(3) for i in (1, 3)]
+
+
+def test_a_large_query_set_probes_in_slices(spark, monkeypatch):
+    """What a task places at once is bounded in queries times cells, with the same rows found."""
+    index = vector_index.build(frame(spark, clustered(33, 300)), cells=20)
+    queries = frame(spark, clustered(33, 300)).selectExpr("concept_id AS query_id", "embedding AS vector")
+    scanned = index.search(queries, 4, probes=2).select("query_id", "rank", "concept_id")
+    monkeypatch.setattr(vector_index, "BLOCK_ELEMENTS", 60)
+    dealt = vector_index.best_per_query(index._dealt(queries, 4, 2), 4).select("query_id", "rank", "concept_id")
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, scanned.collect()))
