@@ -30,6 +30,9 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 REMEMBERED = 400_000
 REMEMBERED_LENGTH = 48
 
+# Bytes of text that are encoded at once, save for a single longer text.
+ENCODED_CHARS = 300_000
+
 # Fragments up to so many bytes are merged together, longer ones one by one.
 LONG = 32
 NO_PAIR = 2**62
@@ -422,7 +425,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
-    return map_slices(rows, make, f"`{id_col}` {kind}, ids array<int>")
+    return map_slices(rows, make, f"`{id_col}` {kind}, ids array<int>", chars=ENCODED_CHARS)
 
 
 def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -486,4 +489,4 @@ def round_trip(
     rows = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"))
     names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
     schema = f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return map_slices(rows, make, schema + ", ids array<int>" * with_ids)
+    return map_slices(rows, make, schema + ", ids array<int>" * with_ids, chars=ENCODED_CHARS)

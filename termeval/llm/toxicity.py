@@ -39,8 +39,10 @@ PASSAGE = 32
 BROADCAST_RATIOS = 2_000_000
 # Bytes of text that are scored together otherwise, save for a single longer text.
 BUCKET_BYTES = 4_000_000
-# Different n-grams a task gathers before it hands them on.
-GATHERED = 400_000
+# Different n-grams a task gathers before it hands them on, and how many it hands on at once.
+GATHERED, HANDED = 250_000, 50_000
+# Bytes of text whose n-grams are counted or looked up at once, save for a single longer text.
+COUNTED_CHARS = 250_000
 # Up to so many labels are sent to every task; more are joined by a shuffle.
 BROADCAST_LABELS = 1_000_000
 # Rows the logistic fit takes at most: a bounded sample of labelled texts, by hash of the id.
@@ -101,15 +103,16 @@ def count(texts: DataFrame) -> DataFrame:
     apart. Tasks count what they have read before they hand it on.
     """
 
-    def shown(keys, parts, counts, grams):
-        texts = np.ascontiguousarray(grams).view(f"<U{ORDER}").ravel().tolist()
-        return pa.RecordBatch.from_arrays(
-            [pa.array(texts, pa.string()), pa.array(parts, pa.int64()), pa.array(counts, pa.int64())], names=["gram", "part", "n"]
-        )
+    def shown(_, parts, counts, grams):
+        for at in range(0, len(grams), HANDED):
+            some = slice(at, at + HANDED)
+            texts = np.ascontiguousarray(grams[some]).view(f"<U{ORDER}").ravel().tolist()
+            columns = [pa.array(texts, pa.string()), pa.array(parts[some], pa.int64()), pa.array(counts[some], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["gram", "part", "n"])
 
     def run(batches):
         held, size, bound = [], 0, GATHERED
-        for batch in slices(batches):
+        for batch in slices(batches, chars=COUNTED_CHARS):
             parts = batch.column("part").to_numpy()
             found = [padded(x) for x in _points(batch)]
             sizes = [len(x) - ORDER for x in found]
@@ -123,11 +126,11 @@ def count(texts: DataFrame) -> DataFrame:
                 held = [_merged(held)]
                 size = len(held[0][0])
                 if size >= GATHERED:
-                    yield shown(*held[0])
+                    yield from shown(*held[0])
                     held, size = [], 0
                 bound = size + GATHERED
         if held:
-            yield shown(*_merged(held))
+            yield from shown(*_merged(held))
         held.clear()
         release()
 
@@ -300,7 +303,7 @@ def features(df: DataFrame, model: Model, keep: tuple[Column, ...]) -> DataFrame
 
             return run
 
-        return map_slices(rows, make, schema)
+        return map_slices(rows, make, schema, chars=COUNTED_CHARS)
 
     buckets = (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BUCKET_BYTES + 1
     dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("text", "kept"), F.lit(buckets)))

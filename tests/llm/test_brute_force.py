@@ -10,12 +10,14 @@ import unicodedata
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from termeval.durable import materialise
 from termeval.llm import decontaminate, language, merkle, repeats, shingle_join, surrogates, toxicity, url_trust
+from termeval.llm.shared import slices
 from tests.llm.test_operators import LONG, ODD, VOCABULARY, frame, words
 
 FOLDER = "/root/testdata/sf0.001"
@@ -111,6 +113,21 @@ def test_ratios_equal_kneser_ney_in_plain_python(spark):
     assert found == pytest.approx({key_of(g): x for g, x in expected.items()}, abs=1e-12)
 
 
+def test_counts_do_not_depend_on_how_much_is_held(spark, monkeypatch):
+    rows = [(t, y) for t, y in LABELLED] + [(" ".join(words(random.Random(i), 40, 50)), i % 2) for i in range(30)]
+    df = spark.createDataFrame(rows, "text string, part int").repartition(2)
+    expected = sorted(map(tuple, toxicity.count(df).collect()))
+    for name, value in (("GATHERED", 10), ("HANDED", 3), ("COUNTED_CHARS", 20)):
+        monkeypatch.setattr(toxicity, name, value)
+    assert sorted(map(tuple, toxicity.count(df).collect())) == expected
+
+
+def test_slices_are_as_small_as_asked_for():
+    batch = pa.RecordBatch.from_arrays([pa.array(["abcd", None, "abcdef", "a" * 50, "", "abc"])], names=["text"])
+    found = [x.column("text").to_pylist() for x in slices(iter([batch]), chars=10)]
+    assert found == [["abcd", None, "abcdef"], ["a" * 50], ["", "abc"]]
+
+
 @pytest.mark.parametrize("most", [0, 2_000_000])
 def test_features_equal_sums_of_ratios(spark, monkeypatch, most):
     """Whether the model is sent to the tasks or joined to buckets of texts."""
