@@ -27,6 +27,7 @@ from termeval.operators.vector_blocks import (
     BUNDLE_BYTES,
     TILE_ROWS,
     Nearest,
+    Units,
     best_per_query,
     bundles,
     candidate_schema,
@@ -182,10 +183,10 @@ class VectorIndex:
             if asked.num_rows == 0 or met.num_rows == 0:
                 empty = [ids.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())]
                 return pa.Table.from_arrays(empty, names=schema.fieldNames())
-            met = met.sort_by("place")
             places, concepts = met.column("place").to_numpy(), met.column("concept_id").to_numpy()
-            units = unit_rows(list_matrix(met.column("embedding")))
-            numbers, starts = np.unique(places, return_index=True)
+            units = Units(met.column("embedding"))
+            order = np.argsort(places, kind="stable")
+            numbers, starts = np.unique(places[order], return_index=True)
             ends = np.r_[starts[1:], len(places)]
             found = []
             for start in range(0, asked.num_rows, TILE_ROWS):
@@ -194,7 +195,10 @@ class VectorIndex:
                 bits = np.frombuffer(b"".join(some.column("bits").to_pylist()), dtype=np.uint8)
                 probed = np.unpackbits(bits.reshape(some.num_rows, -1), axis=1).astype(bool)
                 for number, first, last in zip(numbers.tolist(), starts.tolist(), ends.tolist()):
-                    near.meet(units[first:last], concepts[first:last], np.flatnonzero(probed[:, number]))
+                    probing = np.flatnonzero(probed[:, number])
+                    for at in range(first, last, TILE_ROWS) if len(probing) else ():
+                        rows = order[at : min(at + TILE_ROWS, last)]
+                        near.meet(units.take(rows), concepts[rows], probing)
                 query, distance, concept = near.best
                 found.append((query + start, distance, concept))
             query, distance, concept = (np.concatenate(parts) for parts in zip(*found))
