@@ -3,6 +3,7 @@ import random
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.errors import PySparkException
 
@@ -163,3 +164,29 @@ def test_pairs_are_ranked_in_little_memory():
     assert peak < 60_000_000
     assert query.tolist() == np.repeat(np.arange(6000), 4).tolist()
     assert ids.reshape(-1, 4)[::500].tolist() == np.argsort(1.0 - queries[::500] @ units.T, axis=1)[:, :4].tolist()
+
+
+def test_a_column_of_vectors_is_made_of_doubles_in_slices():
+    draw = np.random.default_rng(4)
+    values = draw.normal(size=(60_000, 16)).astype(np.float32)
+    column = pa.ListArray.from_arrays(pa.array(np.arange(60_001) * 16, pa.int32()), pa.array(values.ravel()))
+    whole = vector_blocks.unit_rows(vector_blocks.list_matrix(column))
+    tracemalloc.start()
+    units = vector_blocks.Units(pa.chunked_array([column]))
+    found = units[50_000:50_512]
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert units.shape == (60_000, 16) and peak < 1_000_000
+    assert np.array_equal(found, whole[50_000:50_512])
+    rows = np.array([3, 59_999, 7])
+    assert np.array_equal(units.take(rows), whole[rows])
+    with pytest.raises(ValueError, match="differ in length"):
+        vector_blocks.Units(pa.array([[1.0], [1.0, 2.0]]))
+
+
+def test_middling_sets_are_dealt_to_several_tasks(spark):
+    """10,000 vectors on either side are more than a block, so more than one task ranks them."""
+    frame = spark.range(10_000).selectExpr("id concept_id", "array(sin(id), cos(id), 1.0) embedding")
+    queries = frame.selectExpr("concept_id query_id", "embedding vector")
+    ranked = vector_grid.nearest_by_blocks(queries, frame, 1)
+    assert "sequence(0, 2" in ranked._jdf.queryExecution().logical().toString()
