@@ -3,8 +3,11 @@
 Sets alike in all elements are one node. Nodes meet in tiles: for each band of
 set sizes the hashes are dealt into more parts than two linked sets can differ
 in elements, so two linked sets hold the same elements in at least one part, and
-that part's elements name a tile. What meets in tiles of one band forms groups of
-candidates. Inside a group only bitmaps of hashed elements are compared: the bits
+that part's elements name a tile. Parts that only hold shingles of many sets, as
+of a line that many texts have, and the smallest parts would bring together sets that
+are not alike. So sets are dealt into spare parts, and each leaves out as many parts, the most
+common first: linked sets then agree in one more part than is left out, and rank the
+parts they agree in alike. What meets in tiles of one band forms groups of candidates. Inside a group only bitmaps of hashed elements are compared: the bits
 in which two bitmaps differ are at most the elements in which the sets differ, so
 their count bounds the overlap from above. What these let pass forms much smaller
 groups, whose sets are intersected exactly, as sorted arrays.
@@ -34,8 +37,16 @@ GATHERED = 600_000
 BLOCK = 2_048
 # Divisions a set is dealt by at most, each only if those before leave too many parts empty.
 DIVISIONS = 8
-# Buckets of tiles for each shuffle partition.
+# Spare parts for each element in which linked sets differ: one for so many.
+APART_PER_SPARE = 2
+# Buckets of tiles for each shuffle partition, at least, and shingles for each bucket, at most.
 BUCKETS_PER_PARTITION = 2
+SHINGLES_PER_BUCKET = 2_000_000
+# Shingles a task gathers before it counts them, and how many of the sets gathered
+# hold one that is told of.
+COUNTED, TOLD = 600_000, 2
+# Sets told of that make a shingle common, and the common shingles sent to tasks at most.
+COMMON, MOST_COMMON = 16, 1_000_000
 
 
 def linked(shared: int, one: int, other: int, percent: int) -> bool:
@@ -58,7 +69,7 @@ def bands(percent: int, largest: int) -> tuple[list[int], list[int], list[int]]:
     for low, high in zip(least, [x - 1 for x in least[1:]] + [least[-1] * 2]):
         totals = range(2 * low, high + high * 100 // percent + 1)
         apart = max(most_apart(t, percent) for t in totals)
-        spare.append(apart // 12)
+        spare.append(apart // APART_PER_SPARE)
         parts.append(apart + 1 + spare[-1])
     return least, parts, spare
 
@@ -116,8 +127,22 @@ def bitmap_of(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
-def signatures(own: np.ndarray, percent: int) -> list[np.ndarray]:
-    """The tiles of a set in each of its bands."""
+def sets_holding(own: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """In about how many sets each of ``own`` is, 0 if it is not ``common``."""
+    shingles, sets = common
+    if not len(shingles):
+        return np.zeros(len(own), dtype=np.int64)
+    place = np.minimum(np.searchsorted(shingles, own), len(shingles) - 1)
+    return np.where(shingles[place] == own, sets[place], 0)
+
+
+def signatures(own: np.ndarray, percent: int, holding: np.ndarray) -> list[np.ndarray]:
+    """The tiles of a set in each of its bands; ``holding`` tells in how many sets its elements are.
+
+    As many parts as are spare are left out: those without elements first, then those whose
+    rarest element is in most sets, then those of fewest elements. Of the parts in which two linked
+    sets agree, more than are left out, both rank the same one last, so neither leaves it out.
+    """
     all_found = []
     for b, m, spare in bands_of(len(own), percent):
         found = []
@@ -132,12 +157,15 @@ def signatures(own: np.ndarray, percent: int) -> list[np.ndarray]:
             ends = np.cumsum(counts)
             value = sums[ends] - sums[ends - counts]
             held = counts > 0
+            rarest = np.full(m, np.iinfo(np.int64).max)
+            rarest[held] = np.minimum.reduceat(holding[order], (ends - counts)[held])
+            kept = np.lexsort((value, counts, -rarest))[spare:]
             # With so many empty parts two linked sets might agree in these alone. Then
             # both have them empty, so both go on to the next division.
             enough = m - np.count_nonzero(held) <= spare
-            if not enough and division == DIVISIONS - 1:
-                held[:] = True
-            found.append(mixed(value[held] * ODD + mixed(numbers[held] | seed << np.uint64(40))))
+            if enough or division < DIVISIONS - 1:
+                kept = kept[held[kept]]
+            found.append(mixed(value[kept] * ODD + mixed(numbers[kept] | seed << np.uint64(40))))
             if enough:
                 break
         all_found.append(np.concatenate(found))
@@ -179,13 +207,67 @@ def _first_of_each(signature: np.ndarray, node: np.ndarray) -> tuple[np.ndarray,
     return signature[first], node[first], pairs[:, 0], pairs[:, 1]
 
 
-def candidates(df: DataFrame, text_col: str, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def common_shingles(df: DataFrame, text_col: str, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many different sets hold, sorted, and in about how many each is.
+
+    Tasks count all their shingles and tell of those that several sets in a row of sets hold.
+    Which are told of only decides what parts ``signatures`` leaves out, not what links.
+    """
+
+    def count(batches):
+        known: set[int] = set()
+        held, size = [], 0
+
+        def told():
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            several = n >= TOLD
+            columns = [pa.array(found[several].view(np.int64), pa.int64()), pa.array(n[several], pa.int64())]
+            return pa.RecordBatch.from_arrays(columns, names=["shingle", "n"])
+
+        for batch in slices(batches):
+            for own in sets_of(*buffer_of(batch.column("text")), words):
+                if not len(own) or (node := node_of(own)) in known:
+                    continue
+                known.add(node)
+                held.append(own)
+                size += len(own)
+            if size > COUNTED:
+                yield told()
+                held, size = [], 0
+                known.clear()
+        if size:
+            yield told()
+        held.clear()
+        release()
+
+    told = df.select(F.col(text_col).alias("text")).mapInArrow(count, "shingle long, n long")
+    sums = told.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON)
+    sums = materialise(sums.withColumn("power", F.floor(F.log2("n"))), "join-common")
+    least, left = 0, MOST_COMMON
+    for row in sums.groupBy("power").count().orderBy(F.desc("power")).collect():
+        left -= row["count"]
+        if left < 0:
+            least = row["power"] + 1
+            break
+    rows = sums.where(F.col("power") >= least).select("shingle", "n").toArrow()
+    shingles = rows.column("shingle").to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], rows.column("n").to_numpy()[order]
+
+
+def candidates(
+    df: DataFrame, text_col: str, words: int = WORDS, percent: int = PERCENT, shingles: int = 0
+) -> DataFrame:
     """Pairs ``a``, ``b`` of places that chain together all nodes that meet in tiles of one band.
 
     Tasks combine what they have gathered first: one node of each tile goes on,
     with pairs for the others, so a tile never holds more rows than tasks wrote.
+    ``shingles`` is how many all nodes have; more of them take more buckets of tiles.
     """
-    buckets = BUCKETS_PER_PARTITION * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    buckets = BUCKETS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(buckets, -(-shingles // SHINGLES_PER_BUCKET))
+    shipped = spark.sparkContext.broadcast(common_shingles(df, text_col, words))
 
     def packed(bucket: int, one: np.ndarray, other: np.ndarray):
         place = (one % np.uint64(buckets)).astype(np.int64)
@@ -203,6 +285,7 @@ def candidates(df: DataFrame, text_col: str, words: int = WORDS, percent: int =
         )
 
     def gather(batches):
+        common = shipped.value
         known: set[int] = set()
         held, size = [], 0
 
@@ -217,7 +300,7 @@ def candidates(df: DataFrame, text_col: str, words: int = WORDS, percent: int =
                 if not len(own) or (node := node_of(own)) in known:
                     continue
                 known.add(node)
-                for found, place in zip(signatures(own, percent), places_of(node, len(own), percent)):
+                for found, place in zip(signatures(own, percent, sets_holding(own, common)), places_of(node, len(own), percent)):
                     held.append((found, np.full(len(found), place, dtype=np.int64)))
                     size += len(found)
             if size > GATHERED:
@@ -313,7 +396,8 @@ def links(
 
     ``of_node`` has one row of ``nodes`` for each node.
     """
-    met = components(candidates(df, text_col, words, percent)).select(F.col("node").alias("place"), F.col("component").alias("group"))
+    shingles = of_node.agg(F.sum("n_shingles")).first()[0] or 0
+    met = components(candidates(df, text_col, words, percent, shingles)).select(F.col("node").alias("place"), F.col("component").alias("group"))
     placed = of_node.select("node", F.explode("places").alias("place")).join(met, "place").select("node", "group")
 
     def with_bits(members: DataFrame) -> DataFrame:
