@@ -7,6 +7,8 @@ import random
 import numpy as np
 import pytest
 
+import corpus_pipeline
+
 from termeval.llm import shingle_join
 from termeval.llm.components import components
 
@@ -75,3 +77,19 @@ def test_common_shingles_are_those_of_many_different_sets(spark, monkeypatch):
     assert not len(shingle_join.common_shingles(df, "text", 4)[0])
     monkeypatch.setattr(shingle_join, "MOST_COMMON", len(line))
     assert len(shingle_join.common_shingles(df, "text", 4)[0]) == len(line)
+
+
+def test_near_copies_of_the_pipeline_do_not_meet_by_a_line(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(i, f"{LINE}\n" + " ".join(f"v{rng.randrange(10**9)}" for _ in range(100))) for i in range(600)]
+    compared = []
+    connecting = shingle_join._connecting
+
+    def counted(groups, *others, **more):
+        compared.append(groups.count())
+        return connecting(groups, *others, **more)
+
+    monkeypatch.setattr(shingle_join, "_connecting", counted)
+    df = frame(spark, rows + [(1000, rows[5][1] + " more"), (1001, rows[5][1] + " more")]).repartition(2)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()} == {i for i, _ in rows}
+    assert max(compared) <= 30
